@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, once, patches
-from ..shared import fresh_path, materialize
+from ..operators import incremental, nested, once, patches
+from ..shared import fresh_path, materialize, spread
 from ..sources.frames import UNAVAILABLE, parse_messages, read_table
 
 
@@ -76,3 +76,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     state = incremental.HashState(spark, fresh_path(spark, "state"), STATE_COLUMNS)
     state.swap(processed)
     return incremental.select_new(slim, state.read(), ["topic", "row_id"], exact=["lsn"]).select("topic", "row_id", "lsn")
+
+
+def _objects(spark: SparkSession, d: str, details: bool = True) -> DataFrame:
+    t = read_table(spark, d, "doc_messages")
+    return nested.shred(spread(t.select("rec_id", "msg_value"), "rec_id", t), "rec_id", "msg_value", details=details)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each object that is an element of a list, with the nearest such object around it."""
+    return _objects(spark, d).select("rec_id", "parent_path", "child_path")
+
+
+def p1_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Every structural variant of each member, and how many objects have it."""
+    return nested.variants(_objects(spark, d))
+
+
+def p1_order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The typed subtype table of order lines."""
+    return nested.subtype_table(_objects(spark, d), "payload.after.orders.lines", {"sku": "string", "qty": "bigint"}).drop("misfit")

@@ -44,3 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of what ``df`` reads, in bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, key: str, source: DataFrame | None = None, bytes_per_task: int = 4 << 20) -> DataFrame:
+    """Rows dealt out by the hash of ``key`` to as many tasks as the input's size asks for.
+
+    For steps that cost much more CPU than reading: a file split is too coarse a
+    task for them. ``key`` should be unique, so that no task gets more than its share.
+    """
+    spark = df.sparkSession
+    tasks = -(-plan_bytes(source if source is not None else df) // bytes_per_task)
+    return df.repartition(int(min(max(tasks, 2 * spark.sparkContext.defaultParallelism), 20_000)), key)
