@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, nested, once, patches
+from ..operators import drift, incremental, nested, once, patches
 from ..shared import fresh_path, materialize, spread
 from ..sources.frames import UNAVAILABLE, parse_messages, read_table
 
@@ -96,3 +96,19 @@ def p1_variants(spark: SparkSession, d: str) -> DataFrame:
 def p1_order_lines(spark: SparkSession, d: str) -> DataFrame:
     """The typed subtype table of order lines."""
     return nested.subtype_table(_objects(spark, d), "payload.after.orders.lines", {"sku": "string", "qty": "bigint"}).drop("misfit")
+
+
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "feed_records").select("feed", "file_no", "rec_id", "written_at", "rec_value")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each change of a feed's schema from one file to the next."""
+    return drift.schema_changes(_feed(spark, d))
+
+
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """All records under their feed's last schema, as JSON, with what it can't hold rescued."""
+    changes = drift.schema_changes(_feed(spark, d))
+    rows = drift.consistent_rows(_feed(spark, d), changes)
+    return rows.withColumn("row", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row")))))
