@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.frames import read_table
-from . import encode
+from . import encode, pack
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -13,5 +13,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in the containers of each kind."""
+    return pack.pack_documents(read_table(spark, d, "documents"), read_table(spark, d, "pack_capacities"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers each kind took, against the least possible."""
+    return pack.report(p7_bins(spark, d), read_table(spark, d, "pack_capacities"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_bins": p7_bins, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
