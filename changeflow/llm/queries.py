@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.frames import read_table
-from . import encode, pack
+from . import encode, pack, sentences
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -23,5 +23,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return pack.report(p7_bins(spark, d), read_table(spark, d, "pack_capacities"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_bins": p7_bins, "p7_report": p7_report}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every document."""
+    return sentences.split(read_table(spark, d, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_bins": p7_bins, "p7_report": p7_report, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ often over all documents they stand at the end and at the start of a block.
 The model is trained on boundaries that are reliable without it: the end of a block
 followed by the start of the next one (positive), and marks followed by a small letter,
 after tokens that never end a block, or before tokens that never start one (negative).
+Words that end blocks as often as words do on average are reliable within one, too.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..shared import spread
 
 BUCKETS = 1 << 17
 DIMS = 1 << 16
-#: Different neighbours from which on a token's habits count as known.
+#: Different surroundings from which on a token's habits count as known.
 MANY = 8
 #: White space, zero-width space and byte-order mark included.
 SPACE = r"\s​﻿"
@@ -200,6 +201,8 @@ class Candidate:
     run: int = 1
     opened: int = -1  # of a quotation: where it was opened
     final: bool = False
+    tongue: str = ""
+    around: int = 0  # hash of the text on both sides
 
 
 @dataclass(slots=True)
@@ -208,13 +211,43 @@ class Block:
     end: int
     listed: bool
     thai: bool
+    tongue: str = ""
     first: str = ""  # its first token
     candidates: list[Candidate] = field(default_factory=list)
     inside: list[tuple[int, int]] = field(default_factory=list)
 
 
+#: Common function words that tell Latin-script languages apart.
+_TONGUES = {
+    w: k
+    for k, words in {
+        "en": "the of and was were it its by at from which with is that what who for an to",
+        "de": "der die das und wurde war im am um dem den des wer ist sie es zu von mit nach",
+        "fr": "le les et est une du dans fut par qui elle au où était on selon jusqu",
+        "es": "el los y fue una del por qué está dónde según había nació quién preguntó dijo",
+    }.items()
+    for w in words.split()
+}
+_SCRIPTS = regex.compile(r"(?P<el>\p{Greek})|(?P<ru>\p{Cyrillic})|(?P<ar>\p{Arabic})|(?P<hi>\p{Devanagari})|(?P<ja>[\p{Hiragana}\p{Katakana}])|(?P<zh>\p{Han})|(?P<th>\p{Thai})|(?P<x>\p{Latin})")
+
+
+def tongue(text: str) -> str:
+    """A rough language of a passage, by function words or script; the declared one may be missing or wrong."""
+    votes: dict[str, int] = {}
+    for w in text.lower().split():
+        if k := _TONGUES.get(w):
+            votes[k] = votes.get(k, 0) + 2
+    for i in range(0, len(text), max(1, len(text) // 16)):
+        m = _SCRIPTS.match(text, i)
+        if m and m.lastgroup != "x":
+            votes[m.lastgroup] = votes.get(m.lastgroup, 0) + 1
+    return max(votes, key=lambda k: (votes[k], k)) if votes else ""
+
+
 def _norm(token: str) -> str:
     token = token.replace("­", "")
+    if len(token) < 3 and token.isalpha():
+        return token  # M. and m. are different things
     if any(ch.isdigit() for ch in token):
         token = "".join("0" if ch.isdigit() else ch for ch in token)
     return token.casefold()
@@ -261,6 +294,7 @@ def analyze(text: str) -> list[Block]:
     by_start = {o.start: o for o in spans}
     out = []
     k = 0
+    main: str | None = None
     for s, e, listed in blocks(text, spans):
         m = _VISIBLE.search(text, s, e)
         if not m:
@@ -275,7 +309,11 @@ def analyze(text: str) -> list[Block]:
         while i < len(spans) and spans[i].start < e:
             own.append(spans[i])
             i += 1
-        b = Block(s, e, listed, bool(_THAI.search(text, s, e)))
+        b = Block(s, e, listed, bool(_THAI.search(text, s, e)), tongue(text[s:e]))
+        if not b.tongue:
+            if main is None:
+                main = tongue(text)
+            b.tongue = main
         b.first = _follow(text, s, e, by_start)[0]
         _scan(text, b, own, by_start)
         out.append(b)
@@ -405,11 +443,13 @@ def _around(text: str, b: Block, c: Candidate, p: int, by_start: dict[int, Opaqu
     c.gap = bool(m)
     c.final = c.next >= b.end
     c.right, c.form = _follow(text, c.next, b.end, by_start)
+    c.tongue = b.tongue
+    c.around = zlib.crc32((text[max(b.start, p - 24) : p] + "|" + text[c.next : c.next + 16]).encode("utf8", "surrogatepass"))
     lo = max(b.start, p - 40)
     c.left = _LEFT.search(text, lo, p).group().lstrip("'’.-–,/")
     at = p - len(c.left)
-    while at > lo and text[at - 1].isspace():
-        at -= 1
+    while at > lo and (text[at - 1].isspace() or text.endswith("&nbsp;", lo, at)):
+        at -= 1 if text[at - 1] != ";" else 6
     c.before = _LEFT.search(text, max(b.start, at - 20), at).group()
     return c
 
@@ -450,12 +490,12 @@ def _quote(text: str, b: Block, opened: int, q: int, notes: dict[int, int], by_s
 # ---------------------------------------------------------------- features
 
 
-def bucket(token: str) -> int:
-    return zlib.crc32(_norm(token).encode("utf8", "surrogatepass")) % BUCKETS
+def bucket(token: str, tongue_: str) -> int:
+    return zlib.crc32(f"{tongue_}|{_norm(token)}".encode("utf8", "surrogatepass")) % BUCKETS
 
 
-def _bit(token: str) -> int:
-    h = zlib.crc32(b"~" + token.encode("utf8", "surrogatepass")) & 63
+def _bit(h: int) -> int:
+    h = (h ^ (h >> 16)) & 63
     return (1 << h) - (1 << 64 if h == 63 else 0)
 
 
@@ -463,24 +503,24 @@ def count(text: str, sums: np.ndarray) -> None:
     """Adds a text's tokens to ``sums``.
 
     Rows: left of a mark; of these at a block's end; right of a mark; at a block's
-    start; and 64-bit sketches of the different neighbours of tokens left and right of
-    a mark (a page's many revisions repeat one neighbour, they don't add any).
+    start; and 64-bit sketches of the different surroundings of tokens left and right of
+    a mark (a page's many revisions repeat one, they don't add any).
     """
     for b in analyze(text):
         if not b.listed and b.first:
-            sums[3, bucket(b.first)] += 1
+            sums[3, bucket(b.first, b.tongue)] += 1
         for c in b.candidates:
             if c.kind == "dot" and c.run == 1 and c.left:
-                k = bucket(c.left)
+                k = bucket(c.left, c.tongue)
                 sums[0, k] += 1
                 if c.final:
                     sums[1, k] += 1
                 else:
-                    sums[4, k] |= _bit(c.right)
+                    sums[4, k] |= _bit(c.around)
             if not c.final and c.right and c.kind in ("dot", "strong"):
-                k = bucket(c.right)
+                k = bucket(c.right, c.tongue)
                 sums[2, k] += 1
-                sums[5, k] |= _bit(c.left)
+                sums[5, k] |= _bit(c.around)
 
 
 @dataclass
@@ -495,21 +535,21 @@ class Counts:
         every = self.sums[2].sum() + self.sums[3].sum()
         self.start_rate = float(self.sums[3].sum() / every) if every else 0.5
 
-    def left(self, token: str) -> tuple[int, float]:
-        """How many different tokens follow (as far as the sketch tells), and how often it ends a block, against all."""
-        k = bucket(token)
+    def left(self, token: str, tongue_: str) -> tuple[int, float]:
+        """In how many different surroundings it stands within blocks (as far as the sketch tells), and how often it ends a block, against all."""
+        k = bucket(token, tongue_)
         n = int(self.sums[0, k])
         return (int(self.sums[4, k]) & (1 << 64) - 1).bit_count(), float(self.sums[1, k] / n / max(self.rate, 1e-9)) if n else 1.0
 
-    def right(self, token: str) -> tuple[int, float]:
-        """How many different tokens stand before it, and how often it starts a block, against all."""
-        k = bucket(token)
+    def right(self, token: str, tongue_: str) -> tuple[int, float]:
+        """In how many different surroundings it follows a mark, and how often it starts a block, against all."""
+        k = bucket(token, tongue_)
         n = int(self.sums[2, k] + self.sums[3, k])
         return (int(self.sums[5, k]) & (1 << 64) - 1).bit_count(), float(self.sums[3, k] / n / max(self.start_rate, 1e-9)) if n else 1.0
 
 
 def _level(n: int, share: float) -> str:
-    if n < 3:  # too few different neighbours to tell its habits
+    if n < 3:  # too few different surroundings to tell its habits
         return "a"
     return ("b" if n < MANY else "c") + ("0" if share < 0.02 else "1" if share < 0.1 else "2" if share < 0.3 else "3" if share < 0.7 else "4")
 
@@ -534,12 +574,12 @@ def _script(token: str) -> str:
 
 def features(c: Candidate, counts: Counts) -> list[int]:
     """Indexes of the features that hold."""
-    nl, sl = counts.left(c.left)
-    nr, sr = counts.right(c.right)
+    nl, sl = counts.left(c.left, c.tongue)
+    nr, sr = counts.right(c.right, c.tongue)
     ll, lr, sh, bs = _level(nl, sl), _level(nr, sr), _shape(c.left), _shape(c.before)
     run = min(c.run, 2)
     parts = [
-        "bias", f"kind={c.kind}{run}", f"left={_norm(c.left)}" if nl >= 2 else "left=?", f"ll={ll}", f"sh={sh}", f"form={c.form}", f"lr={lr}",
+        "bias", f"kind={c.kind}{run}", f"left={c.tongue}|{_norm(c.left)}" if nl >= 2 else "left=?", f"ll={ll}", f"sh={sh}", f"form={c.form}", f"lr={lr}",
         f"ll={ll}|form={c.form}", f"sh={sh}|form={c.form}", f"ll={ll}|lr={lr}", f"sh={sh}|lr={lr}", f"before={bs}|sh={sh}", f"before={_norm(c.before)[-8:]}|sh={sh}",
         f"gap={c.gap}|form={c.form}", f"script={_script(c.left)}|ll={ll}", f"run={run}|form={c.form}", f"ll={ll}|sh={sh}",
     ]
@@ -554,18 +594,22 @@ def label(c: Candidate, counts: Counts, start: str | None) -> tuple[int, Candida
         if start is None:
             return None
         token, form = start
-        n, share = counts.left(c.left)
+        n, share = counts.left(c.left, c.tongue)
         if n >= MANY and share < 0.02:
             return None
-        return 1, Candidate(c.end, c.next, c.kind, c.left, c.before, token, form, True, c.run)
+        return 1, Candidate(c.end, c.next, c.kind, c.left, c.before, token, form, True, c.run, tongue=c.tongue)
     if c.form in ("lower", "olower", "dlower") or c.right in (",", ";", ":", ")", "،", "、"):
         return 0, c
     if c.kind == "dot" and c.run == 1:
-        n, share = counts.left(c.left)
+        n, share = counts.left(c.left, c.tongue)
         if n >= MANY and share < 0.02:
             return 0, c
-        n, share = counts.right(c.right)
-        if n >= MANY and share < 0.02 and c.form not in ("template", "digit"):
+        if share >= 0.5 and n >= MANY and len(c.left) > 2 and c.left.isalpha():
+            return 1, c  # a word that ends blocks as often as words do
+        n, share = counts.right(c.right, c.tongue)
+        if share >= 0.5 and n >= MANY and len(c.left) > 3 and c.left.isalpha():
+            return 1, c  # and before one that starts them as often
+        if n >= MANY and share < 0.02 and c.form not in ("template", "digit") and not (len(c.left) > 3 and c.left.isalpha()):
             return 0, c
     return None
 
@@ -663,6 +707,8 @@ class Model:
             return c.gap or c.form in ("upper", "uncased", "ouncased", "oupper", "camel", "qupper", "digit", "template", "caps", "oother")
         if not c.gap and not self._glued(c):
             return False
+        if c.run > 1:
+            return True  # an abbreviation's full stop, and one of its own
         return float(self.weights[features(c, self.counts)].sum()) > 0
 
     @staticmethod
