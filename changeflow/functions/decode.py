@@ -8,6 +8,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.frames import UNAVAILABLE
 
@@ -36,9 +37,13 @@ def date(days: Column) -> Column:
     return F.when(days <= _LAST_DAY, F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")))
 
 
+def _micros(c: Column, unit: str) -> Column:
+    return (c * 1000 if unit == "ms" else c if unit == "us" else F.call_function("div", c, F.lit(1000))).cast("bigint")
+
+
 def clock(c: Column, unit: str) -> Column:
     """Time of day as ``HH:mm:ss.SSSSSS`` from ``ms``, ``us`` or ``ns`` since midnight; nanoseconds are cut."""
-    micros = {"ms": c * 1000, "us": c, "ns": F.floor(c / 1000) if unit == "ns" else c}[unit].cast("bigint")
+    micros = _micros(c, unit)
     return F.date_format(F.timestamp_micros(micros).cast("timestamp_ntz"), "HH:mm:ss.SSSSSS")
 
 
@@ -51,7 +56,7 @@ def zoned_clock(c: Column) -> Column:
 
 def timestamp(c: Column, unit: str) -> Column:
     """Timestamp without zone from ``ms``, ``us`` or ``ns`` since the epoch; null beyond the year 9999."""
-    micros = (c * 1000 if unit == "ms" else c if unit == "us" else (c - c % 1000) / 1000).cast("bigint")
+    micros = _micros(c, unit)
     return F.when(micros < _END_MICROS, F.timestamp_micros(micros).cast("timestamp_ntz"))
 
 
@@ -79,12 +84,12 @@ def fixed_decimal(c: Column, scale: int, precision: int = 38) -> Column:
     value = F.when(negative, (F.lit(Decimal(0)).cast("decimal(38,0)") - magnitude - 1).cast("decimal(38,0)")).otherwise(magnitude)
     text = value.cast("string")
     if scale:
-        plain = F.lpad(F.regexp_replace(text, "^-", ""), F.greatest(F.length(F.regexp_replace(text, "^-", "")), F.lit(scale + 1)), "0")
-        text = F.concat(F.when(value < 0, "-").otherwise(""), F.substring(plain, F.lit(1), F.length(plain) - scale), F.lit("."), F.substring(plain, F.length(plain) - (scale - 1), F.lit(scale)))
+        padded_text = F.regexp_replace(text, r"^(-?)(\d+)$", "$1" + "0" * scale + "$2")
+        text = F.regexp_replace(padded_text, rf"^(-?)0*(\d+?)(\d{{{scale}}})$", "$1$2.$3")
     return F.when(F.length(digits).between(2, 32), text.try_cast(f"decimal({precision},{scale})"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _any_decimal(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     import base64
 
@@ -188,7 +193,7 @@ def read_wkb(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"type": _SHAPES[kind], "coordinates": xy}, at
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _geometry(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import base64
     import json
@@ -212,7 +217,7 @@ def geometry(c: Column) -> Column:
     return _geometry(F.get_json_object(c, "$.wkb"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _gunzip(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import base64
     import gzip

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kinds import Kind, spark_type
 
@@ -88,7 +89,7 @@ def overlong(c: Column, limit: int = 65_535, action: str = "mark", json_limit: i
     return F.when(n > (65_535 if action == "widen" else limit), F.lit(EXCEEDED)).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cut_udf(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for v, n in values:
         yield pd.Series([None if a is None else a.encode()[:b].decode("utf8", "ignore") for a, b in zip(v, n, strict=True)], dtype=object)
@@ -109,7 +110,7 @@ def repair_utf8(c: Column) -> Column:
     return F.coalesce(ok, _latin(c.cast("binary")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _latin(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(b: bytes | None) -> str | None:
         out = []

@@ -12,6 +12,7 @@ from datetime import UTC, datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BARE = re.compile(r'"(?:[^"\\]|\\.)*"|-?\b(?:NaN|Infinity)\b')
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -85,7 +86,7 @@ def plain(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for v in values:
         yield pd.Series([plain(x) for x in v], dtype=object)
