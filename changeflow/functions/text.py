@@ -136,7 +136,7 @@ def to_text(c: Column, kind: Kind, cut_scale: int | None = None, binary_bool: bo
             return (F.bround(c, cut_scale) if cut_scale is not None else c).cast("string")
         case "float":
             plain = F.regexp_replace(F.regexp_replace(F.format_string("%.17f", c), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-            return F.when(c == c.cast("bigint"), c.cast("bigint").cast("string")).when(c.cast("string").contains("E"), plain).otherwise(c.cast("string"))
+            return F.when(c == c.try_cast("bigint"), c.try_cast("bigint").cast("string")).when(c.cast("string").contains("E"), plain).otherwise(c.cast("string"))
         case "struct" | "array":
             return F.to_json(c)
         case "date":

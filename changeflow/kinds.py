@@ -95,7 +95,7 @@ def type_text(kind: Kind, dialect: str) -> str:
     return words.get(kind.name, words["string"])
 
 
-_TYPE = re.compile(r"^\s*([A-Za-z_0-9 ]+?)\s*(?:\(([^)]*)\))?\s*([A-Za-z ]*)$")
+_TYPE = re.compile(r"^\s*([a-z_0-9 ]+?)\s*(?:\(([^)]*)\)\s*([a-z ]*))?$")
 #: Names that the dialects use for each kind.
 _NAMES = {
     "bool": "bool boolean bit", "float": "float float4 float8 float32 float64 double real double_precision", "struct": "variant json jsonb super object struct map",
@@ -117,7 +117,7 @@ def kind_from_text(text: str, dialect: str = "spark") -> Kind:
     m = _TYPE.match(low)
     if not m:
         return INVALID
-    name = "_".join(f"{m[1]} {m[3]}".split())
+    name = "_".join(f"{m[1]} {m[3] or ''}".split())
     args = [int(a) for a in re.findall(r"\d+", m[2] or "")]
     name = name.removesuffix("_null")
     if name in ("decimal", "numeric", "bignumeric", "number", "bigdecimal"):

@@ -53,7 +53,7 @@ def fold(changes: DataFrame, keys: list[str], seq: list[str], op: str, columns:
     )
 
 
-#: A placeholder that came with a delete: nothing before it is carried over to it.
+#: A placeholder whose column the row before it lacked: nothing older is carried over to it.
 _SETTLED = UNAVAILABLE + "\x01"
 
 
@@ -61,9 +61,9 @@ def _step(acc: Column, e: Column) -> Column:
     """The fold of one more change onto a net row: structs of (seq, gone, only, row)."""
     held = F.map_filter(e["row"], lambda k, v: F.coalesce(v != UNAVAILABLE, F.lit(True)) | ~F.map_contains_key(acc["row"], k))
     carried = F.map_filter(acc["row"], lambda k, v: F.map_contains_key(e["row"], k) & ~F.map_contains_key(held, k))
-    upsert = F.map_concat(held, carried)
-    extra = F.map_filter(e["row"], lambda k, v: ~F.map_contains_key(acc["row"], k))
-    extra = F.transform_values(extra, lambda k, v: F.when(v == UNAVAILABLE, F.lit(_SETTLED)).otherwise(v))
+    settle = lambda m: F.transform_values(m, lambda k, v: F.when(v == UNAVAILABLE, F.lit(_SETTLED)).otherwise(v))
+    upsert = F.map_concat(settle(held), carried)
+    extra = settle(F.map_filter(e["row"], lambda k, v: ~F.map_contains_key(acc["row"], k)))
     delete = F.map_concat(acc["row"], extra)
     return F.struct(e["seq"].alias("seq"), e["gone"].alias("gone"), F.when(e["gone"], acc["only"]).otherwise(F.lit(False)).alias("only"), F.when(e["gone"], delete).otherwise(upsert).alias("row"))
 
