@@ -139,13 +139,13 @@ class MultiStepMerge:
 
 def staging_name(table: str, prefix: str = "cf", suffix: str | None = None, ttl_hours: int = 6, now: float | None = None) -> str:
     """``<table>_<prefix>_<5 random letters>_<expiry>``: a name that says when it may be swept."""
-    return f"{table}_{prefix}_{suffix or uuid.uuid4().hex[:5]}_{int((now or time.time()) + ttl_hours * 3600)}"
+    return f"{table}_{prefix}_{suffix or uuid.uuid4().hex[:5]}_{int((time.time() if now is None else now) + ttl_hours * 3600)}"
 
 
 def expired(name: str, prefix: str = "cf", now: float | None = None) -> bool:
     """Whether a staging name's time is up; names of another form never are."""
     parts = name.rsplit("_", 3)
-    return len(parts) == 4 and parts[1] == prefix and parts[3].isdigit() and int(parts[3]) < (now or time.time())
+    return len(parts) == 4 and parts[1] == prefix and parts[3].isdigit() and int(parts[3]) < (time.time() if now is None else now)
 
 
 def sweep(spark: SparkSession, folder: str, prefix: str = "cf") -> list[str]:
