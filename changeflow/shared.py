@@ -46,9 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of what ``df`` reads, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and tables that ``df`` reads, as the optimizer knows them; None if it doesn't (rows from the driver, an RDD)."""
+    unknown = 1 << 55
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= unknown for s in sizes) else sum(sizes)
 
 
 def spread(df: DataFrame, key: str, source: DataFrame | None = None, bytes_per_task: int = 4 << 20) -> DataFrame:
@@ -58,5 +61,6 @@ def spread(df: DataFrame, key: str, source: DataFrame | None = None, bytes_per_t
     task for them. ``key`` should be unique, so that no task gets more than its share.
     """
     spark = df.sparkSession
-    tasks = -(-plan_bytes(source if source is not None else df) // bytes_per_task)
-    return df.repartition(int(min(max(tasks, 2 * spark.sparkContext.defaultParallelism), 20_000)), key)
+    size = plan_bytes(source if source is not None else df)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else -(-size // bytes_per_task)
+    return df.repartition(min(max(tasks, 2 * spark.sparkContext.defaultParallelism), 20_000), key)
