@@ -91,7 +91,11 @@ def schema_changes(records: DataFrame, record_key: str = "id", keep: float = 0.5
     side count; without such a record nothing shows a rename). Among several fits the
     best share wins, then the order of names.
     """
-    parsed = parse_feed(records)
+    return changes_of(parse_feed(records), record_key, keep)
+
+
+def changes_of(parsed: DataFrame, record_key: str = "id", keep: float = 0.5) -> DataFrame:
+    """:func:`schema_changes` of records parsed before; they are read four times, so a written table serves best."""
     files = file_schemas(parsed).where("target is not null")
     parts = enforce(F.col("fields"), F.col("target"))
     diff = files.select("feed", "file_no", "prev_no", "fields", "target", *[c.alias(n) for n, c in parts.items() if n != "kept"])
@@ -153,7 +157,11 @@ def consistent_rows(records: DataFrame, changes: DataFrame) -> DataFrame:
     JSON of the values that the last schema has no column for or whose text its type
     can't take; null if none. A record without values has a null ``row``.
     """
-    parsed = parse_feed(records)
+    return consistent(parse_feed(records), changes)
+
+
+def consistent(parsed: DataFrame, changes: DataFrame) -> DataFrame:
+    """:func:`consistent_rows` of records parsed before."""
     names = promoted_names(file_schemas(parsed), changes)
     df = parsed.join(names, "feed", "left")
     step = lambda at, m: F.when((m["file_no"] > F.col("file_no")) & (m["field_from"] == at), m["field_to"]).otherwise(at)

@@ -99,16 +99,18 @@ def p1_order_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "feed_records").select("feed", "file_no", "rec_id", "written_at", "rec_value")
+    """The feeds' records, parsed and written once."""
+    t = read_table(spark, d, "feed_records").select("feed", "file_no", "rec_id", "written_at", "rec_value")
+    return materialize(drift.parse_feed(t), "feed")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Each change of a feed's schema from one file to the next."""
-    return drift.schema_changes(_feed(spark, d))
+    return drift.changes_of(_feed(spark, d))
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     """All records under their feed's last schema, as JSON, with what it can't hold rescued."""
-    changes = drift.schema_changes(_feed(spark, d))
-    rows = drift.consistent_rows(_feed(spark, d), changes)
+    parsed = _feed(spark, d)
+    rows = drift.consistent(parsed, drift.changes_of(parsed))
     return rows.withColumn("row", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row")))))
