@@ -629,7 +629,7 @@ def labelled(text: str, counts: Counts) -> list[tuple[int, list[int]]]:
     return out
 
 
-def fit(examples: list[tuple[int, list[int]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-5, batch: int = 256) -> np.ndarray:
+def fit(examples: list[tuple[int, list[int]]], rounds: int = 8, rate: float = 0.3, decay: float = 1e-5, batch: int = 512) -> np.ndarray:
     """Weights of the maximum-entropy (logistic) model, by AdaGrad over the examples in a fixed order."""
     w, g = np.zeros(DIMS), np.full(DIMS, 1e-8)
     if not examples:
@@ -778,6 +778,7 @@ def train(docs: DataFrame, counts: Counts, documents: int, sample: int = 8_000)
 
     share = min(1.0, sample / max(documents, 1))
     few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
+    few = few.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text"))
     t = few.mapInArrow(scan, "y byte, x array<int>").limit(40 * sample).toArrow()
     rows = sorted(zip(t["y"].to_pylist(), t["x"].to_pylist(), strict=True))
     return Model(counts, fit(rows).astype(np.float32))
