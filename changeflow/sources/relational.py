@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.decode import decode, is_unavailable
 from ..kinds import escape_name
@@ -58,10 +59,13 @@ def typed_rows(df: DataFrame, row: str = "row", schema: str = "after_schema") ->
     keep = [c for c in df.columns if c not in (row, schema)]
     for text in found:
         of = df.where(F.col(schema).eqNullSafe(F.lit(text)))
-        fields = json.loads(text) if text else []
+        fields = [f for f in (json.loads(text) if text else []) if f.get("field")]
         cols, missing = [], []
+        if fields:
+            # One parse of the row; numbers and nested values keep their JSON text.
+            of = of.withColumn("_row", F.from_json(row, T.StructType([T.StructField(f["field"], T.StringType()) for f in fields])))
         for f in fields:
-            raw = F.get_json_object(row, "$['" + f["field"].replace("'", "\\'") + "']")
+            raw = F.col("_row").getField(f["field"])
             name = escape_name(f["field"])
             gone = is_unavailable(raw)
             missing.append(F.when(gone, F.lit(name)))
