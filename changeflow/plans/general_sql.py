@@ -89,4 +89,94 @@ WITH {_MESSAGES}, ended AS (
 SELECT topic, row_id, lsn FROM marked GROUP BY ALL HAVING NOT bool_or(processed)
 """
 
-ORACLES = {"p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND}
+P1_FOUND = """
+WITH RECURSIVE docs AS (
+  SELECT rec_id, CAST(msg_value AS JSON) AS j FROM doc_messages WHERE json_valid(msg_value)
+), plain AS (
+  SELECT rec_id, j AS value, json_type(j) AS type, '' AS members, 0 AS in_list FROM docs
+  UNION ALL
+  SELECT rec_id, v, json_type(v), members, in_list FROM (
+    SELECT n.rec_id, CASE WHEN n.type = 'OBJECT' THEN CASE WHEN n.members = '' THEN e.key ELSE n.members || '.' || e.key END ELSE n.members END AS members,
+      CASE WHEN n.type = 'OBJECT' THEN 0 ELSE n.in_list + 1 END AS in_list,
+      CASE WHEN n.type = 'OBJECT' AND n.members = 'payload' AND e.key = 'after' AND json_type(e.value) = 'VARCHAR' AND json_valid(e.value->>'$') THEN CAST(e.value->>'$' AS JSON) ELSE e.value END AS v
+    FROM plain n, json_each(n.value) e
+    WHERE n.type = 'ARRAY' OR (n.type = 'OBJECT' AND NOT list_bool_or(list_transform(json_keys(n.value), lambda k: k LIKE '$%')))
+  ) WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+), objects AS (
+  SELECT DISTINCT members, in_list FROM plain
+  WHERE type = 'OBJECT' AND members <> '' AND NOT coalesce(list_bool_or(list_transform(json_keys(value), lambda k: k LIKE '$%')), false)
+), mixed AS (
+  SELECT members FROM objects WHERE in_list IN (0, 1) GROUP BY members HAVING count(DISTINCT in_list) = 2
+), placed AS (
+  SELECT rec_id, j AS value, json_type(j) AS type, '' AS members, '' AS path, false AS element, '$' AS holder FROM docs
+  UNION ALL
+  SELECT rec_id, v, json_type(v), members, CASE WHEN lone THEN path || '[0]' ELSE path END, listed OR lone, holder FROM (
+    SELECT *, NOT listed AND json_type(v) = 'OBJECT' AND members IN (SELECT members FROM mixed) AS lone FROM (
+      SELECT n.rec_id, CASE WHEN n.type = 'OBJECT' THEN CASE WHEN n.members = '' THEN e.key ELSE n.members || '.' || e.key END ELSE n.members END AS members,
+        CASE WHEN n.type = 'OBJECT' THEN CASE WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END ELSE n.path || '[' || e.key || ']' END AS path,
+        n.type = 'ARRAY' AS listed, CASE WHEN n.element AND n.type = 'OBJECT' THEN n.path ELSE n.holder END AS holder,
+        CASE WHEN n.type = 'OBJECT' AND n.members = 'payload' AND e.key = 'after' AND json_type(e.value) = 'VARCHAR' AND json_valid(e.value->>'$') THEN CAST(e.value->>'$' AS JSON) ELSE e.value END AS v
+      FROM placed n, json_each(n.value) e
+      WHERE n.type = 'ARRAY' OR (n.type = 'OBJECT' AND NOT list_bool_or(list_transform(json_keys(n.value), lambda k: k LIKE '$%')))
+    ) WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  )
+)
+SELECT rec_id, holder AS parent_path, path AS child_path FROM placed
+WHERE element AND type = 'OBJECT' AND NOT coalesce(list_bool_or(list_transform(json_keys(value), lambda k: k LIKE '$%')), false)
+"""
+
+P3_FOUND = """
+WITH r AS (
+  SELECT feed, file_no, rec_id, written_at, CAST(rec_value AS JSON) AS j FROM feed_records WHERE json_valid(rec_value)
+), f AS (
+  SELECT *, CASE WHEN json_type(j->'$.schema.fields') = 'ARRAY' THEN CAST(j->'$.schema.fields' AS JSON[]) END AS fields FROM r
+), w AS (
+  SELECT *, list_filter(fields, lambda x: (x->>'$.field') = 'after' AND json_type(x->'$.fields') = 'ARRAY') AS after_field FROM f
+), c AS (
+  SELECT feed, file_no, rec_id, written_at,
+    CASE WHEN len(after_field) > 0 THEN CAST(after_field[1]->'$.fields' AS JSON[]) ELSE fields END AS cols,
+    CASE WHEN len(after_field) > 0 OR (fields IS NULL AND json_type(j->'$.payload.after') = 'OBJECT') THEN j->'$.payload.after' ELSE j->'$.payload' END AS body
+  FROM w
+), s AS (
+  SELECT *, CASE WHEN cols IS NOT NULL THEN list_sort(list_distinct(list_transform(cols, lambda x: lower(x->>'$.field') || chr(1) || coalesce(x->>'$.type', '')))) END AS sig FROM c
+), counted AS (
+  SELECT feed, file_no, sig, count(*) AS n, max(rec_id) AS last FROM s WHERE sig IS NOT NULL GROUP BY ALL
+), files AS (
+  SELECT feed, file_no, sig FROM counted QUALIFY row_number() OVER (PARTITION BY feed, file_no ORDER BY n DESC, last DESC) = 1
+), steps AS (
+  SELECT feed, file_no, sig, lag(file_no) OVER w AS prev_no, lag(sig) OVER w AS prev_sig FROM files WINDOW w AS (PARTITION BY feed ORDER BY file_no)
+), now_cols AS (
+  SELECT feed, file_no, prev_no, split_part(x, chr(1), 1) AS name, split_part(x, chr(1), 2) AS type FROM (SELECT feed, file_no, prev_no, unnest(sig) AS x FROM steps WHERE prev_no IS NOT NULL)
+), old_cols AS (
+  SELECT feed, file_no, prev_no, split_part(x, chr(1), 1) AS name, split_part(x, chr(1), 2) AS type FROM (SELECT feed, file_no, prev_no, unnest(prev_sig) AS x FROM steps WHERE prev_no IS NOT NULL)
+), both_cols AS (
+  SELECT coalesce(a.feed, b.feed) AS feed, coalesce(a.file_no, b.file_no) AS file_no, coalesce(a.prev_no, b.prev_no) AS prev_no, a.name AS old_name, a.type AS old_type, b.name AS new_name, b.type AS new_type
+  FROM old_cols a FULL OUTER JOIN now_cols b ON a.feed = b.feed AND a.file_no = b.file_no AND a.name = b.name
+), one AS (
+  SELECT feed, file_no, rec_id, sig, body, body->>'$.id' AS id, len(json_keys(body)) AS width, written_at FROM s WHERE json_type(body) = 'OBJECT' AND (body->>'$.id') IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY feed, file_no, body->>'$.id' ORDER BY sig IS NOT NULL DESC, len(json_keys(body)) DESC, written_at DESC, rec_id DESC) = 1
+), cells AS (
+  SELECT o.feed, o.file_no, o.id, lower(e.key) AS name, CAST(e.value AS VARCHAR) AS v FROM one o, json_each(o.body) e WHERE json_type(e.value) <> 'NULL'
+), pairs AS (
+  SELECT a.feed, a.file_no, a.prev_no, a.old_name, b.new_name FROM both_cols a JOIN both_cols b ON a.feed = b.feed AND a.file_no = b.file_no AND a.old_type = b.new_type
+  WHERE a.new_name IS NULL AND b.old_name IS NULL
+), scores AS (
+  SELECT p.feed, p.file_no, p.old_name, p.new_name, avg(CASE WHEN x.v = y.v THEN 1.0 ELSE 0 END) AS share
+  FROM pairs p JOIN one a ON a.feed = p.feed AND a.file_no = p.prev_no JOIN one b ON b.feed = p.feed AND b.file_no = p.file_no AND b.id = a.id
+    LEFT JOIN cells x ON x.feed = p.feed AND x.file_no = p.prev_no AND x.id = a.id AND x.name = p.old_name
+    LEFT JOIN cells y ON y.feed = p.feed AND y.file_no = p.file_no AND y.id = a.id AND y.name = p.new_name
+  WHERE x.v IS NOT NULL OR y.v IS NOT NULL GROUP BY ALL
+), renamed AS (
+  SELECT * FROM scores WHERE share > 0.5
+  QUALIFY row_number() OVER (PARTITION BY feed, file_no, old_name ORDER BY share DESC, new_name) = 1 AND row_number() OVER (PARTITION BY feed, file_no, new_name ORDER BY share DESC, old_name) = 1
+)
+SELECT feed, file_no, 'renamed' AS change_kind, old_name AS field_from, new_name AS field_to FROM renamed
+UNION ALL
+SELECT feed, file_no, 'retyped', old_name, new_name FROM both_cols WHERE old_type <> new_type
+UNION ALL
+SELECT feed, file_no, 'removed', old_name, '' FROM both_cols a WHERE new_name IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = a.feed AND r.file_no = a.file_no AND r.old_name = a.old_name)
+UNION ALL
+SELECT feed, file_no, 'added', '', new_name FROM both_cols a WHERE old_name IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = a.feed AND r.file_no = a.file_no AND r.new_name = a.new_name)
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND}

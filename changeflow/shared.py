@@ -46,6 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every table that was written below the shared folder; none may be in use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/changeflow")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Bytes of the files and tables that ``df`` reads, as the optimizer knows them; None if it doesn't (rows from the driver, an RDD)."""
     unknown = 1 << 55

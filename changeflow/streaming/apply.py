@@ -32,8 +32,9 @@ def frame_stream(spark: SparkSession, path: str, max_files: int | None = None, m
 def kafka_stream(spark: SparkSession, servers: str, topics: list[str], max_offsets: int | None = None, **options: str) -> DataFrame:
     """Frames of Kafka topics; needs Spark's Kafka package on the cluster."""
     r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
-    for k, v in ({"maxOffsetsPerTrigger": str(max_offsets)} if max_offsets else {} | options).items():
-        r = r.option(k, v)
+    if max_offsets:
+        r = r.option("maxOffsetsPerTrigger", max_offsets)
+    r = r.options(**options)
     return r.load().select("topic", F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("timestamp").cast("timestamp_ntz").alias("kafka_ts"), F.col("key").alias("msg_key"), F.col("value").alias("msg_value"))
 
 

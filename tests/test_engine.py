@@ -6,7 +6,7 @@ from changeflow import table
 from changeflow.config import HISTORY, EngineConfig, SoftPartitions, TopicConfig
 from changeflow.operators import evolve, route, transform
 from changeflow.operators.fold import fold
-from changeflow.shared import materialize, shared_dir
+from changeflow.shared import clear, materialize, plan_bytes, shared_dir
 from changeflow.sinks import files
 from changeflow.sources.frames import parse_messages
 from changeflow.streaming import apply
@@ -218,3 +218,8 @@ def test_the_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
     df = materialize(spark.range(3), "x")
     assert df.count() == 3 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan_bytes(df) < 1 << 20 and plan_bytes(df.crossJoin(df)) < 1 << 20
+    assert plan_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) is None
+    clear(spark)
+    with pytest.raises(Exception):
+        df.count()
