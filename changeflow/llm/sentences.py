@@ -56,7 +56,7 @@ _TABLE_ROW = regex.compile(r"[^\S\n]*(?:\|[-}+]?|!)")
 _VISIBLE = regex.compile(rf"[^{SPACE}]")
 _MARKS = ".!?。！？｡．؟۔।॥…;;"
 _SCAN = regex.compile(
-    r"(?P<url>(?:https?|ftp)://[^\s<>\[\]|{}\"”»]+|www\.[^\s<>\[\]|{}\"”»]+)|(?P<note>\[(?:\d{1,3}|[a-z]|note \d+|nb \d+)\])|(?P<link>\[\[|\]\])|(?P<tick>'{2,5})"
+    r"(?P<url>(?i:https?|ftp)://[^\s<>\[\]|{}\"”»]+|(?i:www)\.[^\s<>\[\]|{}\"”»]+)|(?P<note>\[(?:\d{1,3}|[a-z]|note \d+|nb \d+)\])|(?P<link>\[\[|\]\])|(?P<tick>'{2,5})"
     r"|(?P<open>[(（\[「『《〈“„«‹【])|(?P<close>[)）\]」』》〉”»›】])|(?P<plain>\")|(?P<mark>[.!?。！？｡．؟۔।॥…;;]+)"
 )
 _PAIR = {")": "(", "）": "（", "]": "[", "」": "「", "』": "『", "》": "《", "〉": "〈", "”": "“", "»": "«", "›": "‹", "】": "【"}
@@ -716,7 +716,7 @@ class Model:
         """A full stop without a space after it is an end only between a word or number and a capitalised word."""
         core = c.left.rsplit(".", 1)[-1]
         if c.form not in ("upper", "camel", "oupper", "qupper", "uncased", "ouncased", "template", "otemplate") or (c.form == "upper" and len(c.right) < 2):
-            return c.form == "digit" and len(core) > 2 and core.isalpha()
+            return c.form in ("digit", "caps") and len(core) > 2 and core.isalpha()
         if c.form in ("uncased", "ouncased"):
             return len(core) > 2
         return core.isdigit() or (len(core) > 2 and not core.isupper()) or (len(core) > 1 and core.islower()) or not core
