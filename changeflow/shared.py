@@ -60,13 +60,20 @@ def plan_bytes(df: DataFrame) -> int | None:
     return None if any(s >= unknown for s in sizes) else sum(sizes)
 
 
+#: From so many tasks on, an input's own splits serve as well and cost no shuffle.
+ENOUGH_TASKS = 20_000
+
+
 def spread(df: DataFrame, key: str, source: DataFrame | None = None, bytes_per_task: int = 4 << 20) -> DataFrame:
     """Rows dealt out by the hash of ``key`` to as many tasks as the input's size asks for.
 
-    For steps that cost much more CPU than reading: a file split is too coarse a
-    task for them. ``key`` should be unique, so that no task gets more than its share.
+    For steps that cost much more CPU than reading: a file split is too coarse a task for
+    them, unless the input is so large that there are plenty of splits; then nothing moves.
+    ``key`` should be unique, so that no task gets more than its share.
     """
     spark = df.sparkSession
     size = plan_bytes(source if source is not None else df)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else -(-size // bytes_per_task)
-    return df.repartition(min(max(tasks, 2 * spark.sparkContext.defaultParallelism), 20_000), key)
+    if tasks > ENOUGH_TASKS:
+        return df
+    return df.repartition(max(tasks, 2 * spark.sparkContext.defaultParallelism), key)
