@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def fingerprint(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf8", "surrogatepass"), digest_size=16).digest()
 
 
-_REFS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("copy", pa.int32()), ("k", pa.int32()), ("chunk", pa.binary())])
+_REFS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("copy", pa.int64()), ("k", pa.int32()), ("chunk", pa.binary())])
 _TEXTS = pa.schema([("chunk", pa.binary()), ("chunk_text", pa.string())])
 _CODED = pa.schema([("chunk", pa.binary()), ("part", pa.list_(pa.int32())), ("head", pa.string()), ("head_n", pa.int32()), ("tail", pa.string()), ("tail_n", pa.int32())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -95,12 +96,14 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _references(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A row is told from its repeats by its task and its place among them there.
     copies: dict[tuple, int] = {}
+    task = TaskContext.get().partitionId() << 32
     for batch in it:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             key = fingerprint(text or "")
-            copy = copies[doc_id, key] = copies.get((doc_id, key), -1) + 1
+            copy = copies[doc_id, key] = copies.get((doc_id, key), task - 1) + 1
             at = 0
             for k, end in enumerate(cuts(text or "")):
                 rows.append((doc_id, key, copy, k, fingerprint(text[at:end])))
@@ -196,7 +199,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
         if joiner:
             yield _table([(held[0], joiner.end())], _IDS)
 
-    refs = slim.mapInArrow(_references, "doc_id bigint, text_key binary, copy int, k int, chunk binary")
+    refs = slim.mapInArrow(_references, "doc_id bigint, text_key binary, copy bigint, k int, chunk binary")
     texts = slim.select("text").mapInArrow(_chunks, "chunk binary, chunk_text string").distinct()
     coded = texts.mapInArrow(code, "chunk binary, part array<int>, head string, head_n int, tail string, tail_n int")
     both = refs.join(coded, "chunk", "left").select("doc_id", "text_key", "copy", "k", "part", "head", "head_n", "tail", "tail_n")

@@ -60,6 +60,15 @@ def test_all_rows_come_back(spark, enc):
     assert encode.encode(df.limit(0)).count() == 0
 
 
+def test_without_dealing_out(spark, enc, monkeypatch):
+    """Inputs with plenty of splits are read where they lie; repeats in different tasks stay apart."""
+    monkeypatch.setattr(encode, "spread", lambda df, *a, **k: df)
+    text = "The same words again. " * 40
+    df = spark.createDataFrame([(1, text)] * 3 + [(2, "x")], "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, tuple(r.ids)) for r in encode.encode(df).collect())
+    assert got == [(1, tuple(enc.encode_ordinary(text)))] * 3 + [(2, tuple(enc.encode_ordinary("x")))]
+
+
 def test_the_library_agrees(spark, data):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
