@@ -163,7 +163,9 @@ def consistent_rows(records: DataFrame, changes: DataFrame) -> DataFrame:
 def consistent(parsed: DataFrame, changes: DataFrame) -> DataFrame:
     """:func:`consistent_rows` of records parsed before."""
     names = promoted_names(file_schemas(parsed), changes)
-    df = parsed.join(names, "feed", "left")
+    # A feed without a name, or without any schema, has no columns: all its values are rescued.
+    none = {"final": F.create_map().cast("map<string,string>"), "moves": F.array().cast("array<struct<file_no:int,field_from:string,field_to:string>>")}
+    df = parsed.join(names, "feed", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     step = lambda at, m: F.when((m["file_no"] > F.col("file_no")) & (m["field_from"] == at), m["field_to"]).otherwise(at)
     over = F.transform(F.map_entries("row"), lambda e: F.struct(F.aggregate("moves", e["key"], step).alias("key"), e["value"].alias("value")))
     df = df.withColumn("_all", _pairs_to_map(over))

@@ -81,3 +81,15 @@ def test_one_consistent_table_with_rescued_values(spark):
     assert out[1, 1].row == {"id": "1", "b": "v1", "n": "12"} and json.loads(out[1, 1].rescued) == {"dropped": "1"}
     assert out[1, 0].row == {"id": "0", "b": "v0"} and json.loads(out[1, 0].rescued) == {"dropped": "1", "n": "twelve"}
     assert out[2, 4].row == {"id": "0", "b": "v0", "n": "12"} and out[2, 4].rescued is None
+
+
+def test_nulls_repeats_and_long_values(spark):
+    f = Feed().add(1, {"id": "int64", "a": "string"}, row(1, a="x" * 100_000)).add(2, {"id": "int64", "b": "string"}, row(1, b="x" * 100_000), row(1, b="x" * 100_000))
+    f.rows += [(50, None, 1, "x", T0, f.rows[0][5]), (51, "f", None, "x", T0, f.rows[0][5]), (None, "f", 1, "x", None, None)]
+    df = f.df(spark).selectExpr("*", "'clash' as fields", "1 as row", "'x' as target")
+    assert sorted(tuple(r)[1:] for r in drift.schema_changes(df).where("file_no = 2").collect()) == [(2, "renamed", "a", "b")]
+    out = drift.consistent_rows(df, drift.schema_changes(df)).collect()
+    assert len(out) == 6
+    alone = next(r for r in out if r.feed is None)
+    assert alone.row == {} and json.loads(alone.rescued) == {"id": "1", "a": "x" * 100_000}
+    assert next(r for r in out if r.rec_id is None).row is None

@@ -66,6 +66,21 @@ def test_malformed_numbers_are_looked_up_by_text(spark):
     assert repeats(spark, rows) == [2]
 
 
+def test_nothing_and_extra_columns(spark):
+    assert repeats(spark, []) == []
+    df = spark.createDataFrame([("a", 1, None, 1, 0)], IDS).selectExpr("*", "'x' as lo", "1 as block", "'y' as is_message", "array(1) as hi")
+    out = once.mark_repeats(df, ["producer"], "n", "text", ["at", "part"])
+    assert out.columns == [*df.columns, "is_repeat"] and out.count() == 1
+    assert once.seen_ranges(df.limit(0), ["producer"], "n").count() == 0
+    long = "9" * 100_000
+    assert repeats(spark, [("a", None, long, 1, 0), ("a", None, long, 2, 0)]) == [2]
+
+
+def test_one_hot_number_and_one_hot_producer(spark):
+    rows = [("hot", 7, None, i, 0) for i in range(3000)] + [("hot", n, None, 10_000 + n, 0) for n in range(3000)]
+    assert len(repeats(spark, rows, salts=8)) == 3000
+
+
 def test_numbers_that_a_range_covers_are_repeats(spark):
     seen = spark.createDataFrame([(["a"], 0, 3, 7)], once.RANGE_SCHEMA)
     rows = [("a", n, None, n, 0) for n in range(1, 10)]
@@ -158,7 +173,9 @@ def test_state_swap_and_selection(spark, tmp_path):
     spark.createDataFrame([("junk", 1)], "k string, content_hash bigint").write.parquet(f"{s.path}/versions/2-broken")
     assert new(second) == ["a", "b"]
     s.swap(second.select("k", "content_hash"))
-    assert new(second) == []
+    assert new(second) == [] and new(second.limit(0)) == []
+    three = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, None), ("", None)], "x string, y string")
+    assert incremental.with_hash(three, ["x", "y"]).select("content_hash").distinct().count() == 4
 
 
 RUNS = "log_id bigint, run_id bigint, attempt_no int, topic string, kafka_partition int, first_offset bigint, next_offset bigint, run_status string, logged_at timestamp_ntz"
