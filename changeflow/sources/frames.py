@@ -58,13 +58,12 @@ def parse_messages(frames: DataFrame, id_field: str = "id") -> DataFrame:
     malformed). Extra columns of ``frames`` are left out, so their names can't clash.
     """
     value = F.col("msg_value").cast("string")
-    parsed = frames.select(
-        "topic", "kafka_partition", "kafka_offset", "kafka_ts",
-        F.col("msg_key").cast("string").alias("key_text"),
-        F.rtrim(value).endswith("}").alias("_closed"),
-        F.from_json(value, _ENVELOPE, {"columnNameOfCorruptRecord": "_bad"}).alias("_j"),
-    )
-    flat = parsed.where(F.col("_closed") & F.col("_j").isNotNull() & F.col("_j._bad").isNull()).select(
+    # As a list of one or none: a filter on the parsed value would be pushed below and parse it again.
+    whole = F.filter(F.array(F.from_json(value, _ENVELOPE, {"columnNameOfCorruptRecord": "_bad"})), lambda j: j.isNotNull() & j["_bad"].isNull())
+    parsed = frames.where(F.rtrim(value).endswith("}")).select(
+        "topic", "kafka_partition", "kafka_offset", "kafka_ts", F.col("msg_key").cast("string").alias("key_text"), F.explode(whole).alias("_j")
+    )
+    flat = parsed.select(
         "topic", "kafka_partition", "kafka_offset", "kafka_ts", "key_text",
         F.col("_j.payload.source.db").alias("db"),
         F.col("_j.payload.source.table").alias("table_name"),
