@@ -101,7 +101,7 @@ def plain_json(c: Column) -> Column:
 def document_rows(messages: DataFrame, value: str = "msg_value") -> DataFrame:
     """``messages`` with ``op, collection, source_ts, row`` (plain JSON of the row image); unreadable messages leave no row."""
     j = F.from_json(F.col(value).cast("string"), "payload STRUCT<before: STRING, after: STRING, op: STRING, source: STRUCT<db: STRING, collection: STRING, ts_ms: BIGINT>>")
-    df = messages.withColumn("_j", j).where("_j.payload is not null")
+    df = messages.withColumn("_j", F.explode(F.filter(F.array(j), lambda x: x["payload"].isNotNull())))
     image = F.when(F.col("_j.payload.op") == "d", F.coalesce("_j.payload.before", F.lit("{}"))).otherwise(F.col("_j.payload.after"))
     return df.select(
         *[c for c in messages.columns if c != value], F.col("_j.payload.op").alias("op"), F.col("_j.payload.source.collection").alias("collection"),

@@ -24,8 +24,9 @@ def envelopes(frames: DataFrame, value: str = "msg_value") -> DataFrame:
     ``before`` and ``after`` are JSON text, ``after_schema`` that of the row's fields,
     null where the message has none.
     """
-    j = F.from_json(F.col(value).cast("string"), _ENVELOPE)
-    df = frames.where(F.octet_length(value) > 0).withColumn("_j", j).where("_j.payload is not null")
+    # As a list of one or none: a filter on the parsed value would be pushed below and parse it again.
+    j = F.filter(F.array(F.from_json(F.col(value).cast("string"), _ENVELOPE)), lambda x: x["payload"].isNotNull())
+    df = frames.where(F.octet_length(value) > 0).withColumn("_j", F.explode(j))
     rows = F.filter("_j.schema.fields", lambda f: f["field"].isin("after"))
     source = F.from_json("_j.payload.source", _SOURCE)
     return df.select(

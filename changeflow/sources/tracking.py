@@ -15,7 +15,7 @@ def tracked_rows(messages: DataFrame, value: str = "msg_value", prefix: str = "_
     one leaves no row (see :func:`invalid`). Extra fields win over properties, the message's
     own ``id``, ``timestamp`` and ``event`` over both.
     """
-    df = messages.withColumn("_e", F.from_json(F.col(value).cast("string"), _EVENT)).where(_valid(F.col("_e")))
+    df = messages.withColumn("_e", F.explode(F.filter(F.array(F.from_json(F.col(value).cast("string"), _EVENT)), _valid)))
     own = F.create_map(F.lit("id"), F.col("_e.messageID"), F.lit("timestamp"), F.col("_e.timestamp"), F.lit("event"), F.col("_e.event"))
     extra = F.coalesce("_e.extraFields", F.create_map().cast("map<string,string>"))
     lower = F.map_filter(extra, lambda k, _: ~F.map_contains_key(own, k))
