@@ -19,18 +19,19 @@ REMOVE = ("d",)
 
 
 def change_patches(changes: DataFrame, key: list[str], pos: str, op: str, values: dict[str, Column], missing: dict[str, Column] | None = None) -> DataFrame:
-    """One patch a change: ``_top`` (position, rank, op), ``_gone`` (position of a removal), ``_v_<c>`` (position, value).
+    """One patch a change: ``_top`` (position and, in its lowest bit, removal), ``_gone`` (position of a removal), ``_v_<c>`` (position, value).
 
     ``values``: new value of each column; ``missing``: condition under which the
     column's value was not sent and stays as it was. A change whose key or position
-    is null can't be applied and leaves no row.
+    is null can't be applied and leaves no row. Positions lie below 2^62, so that a
+    patch without columns is two numbers, which Spark combines in a hash table.
     """
     missing = missing or {}
     usable = F.col(pos).isNotNull()
     for k in key:
         usable = usable & F.col(k).isNotNull()
     removal = F.coalesce(F.col(op).isin(*REMOVE), F.lit(False))
-    cols = [F.struct(F.col(pos).alias("pos"), removal.cast("int").alias("rank"), F.col(op).alias("op")).alias("_top"), F.when(removal, F.col(pos)).alias("_gone")]
+    cols = [(F.col(pos) * 2 + removal.cast("bigint")).alias("_top"), F.when(removal, F.col(pos)).alias("_gone")]
     for c, v in values.items():
         sent = ~removal & ~F.coalesce(missing.get(c, F.lit(False)), F.lit(False))
         cols.append(F.when(sent, F.struct(F.col(pos).alias("pos"), v.alias("value"))).alias(f"_v_{c}"))
@@ -43,9 +44,9 @@ def compose(patches: DataFrame, by: list) -> DataFrame:
     return patches.groupBy(*by).agg(*[F.max(c).alias(c) for c in parts])
 
 
-def compose_by_chunks(patches: DataFrame, key: list[str], chunk_width: int = 1 << 30) -> DataFrame:
-    """One patch a key: chunks of ``chunk_width`` positions first, then the chunks of each key."""
-    chunk = F.floor(F.col("_top.pos") / F.lit(chunk_width)).alias("_chunk")
+def compose_by_chunks(patches: DataFrame, key: list[str], chunk_bits: int = 30) -> DataFrame:
+    """One patch a key: chunks of ``2**chunk_bits`` positions first, then the chunks of each key."""
+    chunk = F.shiftright("_top", chunk_bits + 1).alias("_chunk")
     first = compose(patches, [*key, chunk])
     return compose(first, key)
 
@@ -60,12 +61,14 @@ def apply_patches(base: DataFrame, patch: DataFrame, key: list[str], base_pos: s
     once, the one with the highest position.
     """
     mine = F.struct(F.col(base_pos).alias("pos"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    top = F.shiftright("_top", 1)
     usable = F.lit(True)
     for k in key:
         usable = usable & F.col(k).isNotNull()
-    held = base.where(usable).groupBy(*key).agg(F.max(mine).alias("_base"))
+    by = base.where(usable).groupBy(*key)
+    held = by.agg(F.max(mine).alias("_base")) if columns else by.agg(F.max(base_pos).alias("pos")).select(*key, F.struct("pos").alias("_base"))
     both = held.join(patch, key, "full_outer")
-    stale = F.col("_base").isNotNull() & (F.col("_top").isNull() | F.coalesce(F.col("_base.pos") > F.col("_top.pos"), F.lit(False)))
+    stale = F.col("_base").isNotNull() & (F.col("_top").isNull() | F.coalesce(F.col("_base.pos") > top, F.lit(False)))
     out = [*key]
     for c in columns:
         v = F.col(f"_v_{c}")
@@ -73,5 +76,5 @@ def apply_patches(base: DataFrame, patch: DataFrame, key: list[str], base_pos: s
         newer = sent & (F.col("_base.pos").isNull() | (v["pos"] >= F.col("_base.pos")))
         lives = F.col("_base").isNotNull() & (F.col("_gone").isNull() | (F.col("_base.pos") > F.col("_gone")))
         out.append(F.when(stale, F.col(f"_base.b_{c}")).when(newer, v["value"]).when(lives, F.col(f"_base.b_{c}")).when(sent, v["value"]).alias(c))
-    out.append(F.when(stale, F.col("_base.pos")).otherwise(F.col("_top.pos")).alias(base_pos))
-    return both.where(stale | (F.col("_top.rank") == 0)).select(*out)
+    out.append(F.when(stale, F.col("_base.pos")).otherwise(top).alias(base_pos))
+    return both.where(stale | (F.col("_top").bitwiseAND(F.lit(1)) == 0)).select(*out)
