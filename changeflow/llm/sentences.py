@@ -30,6 +30,8 @@ from ..shared import spread
 
 BUCKETS = 1 << 17
 DIMS = 1 << 16
+#: Decisions that a worker keeps for equal contexts.
+MOST_KNOWN = 200_000
 #: Different surroundings from which on a token's habits count as known.
 MANY = 8
 #: White space, zero-width space and byte-order mark included.
@@ -61,7 +63,7 @@ _SCAN = regex.compile(
 )
 _PAIR = {")": "(", "）": "（", "]": "[", "」": "「", "』": "『", "》": "《", "〉": "〈", "”": "“", "»": "«", "›": "‹", "】": "【"}
 _QUOTES = "“„«‹「\""
-_LEFT = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}'’.\-–,/]*$")
+_LEFT = regex.compile(r"(?r)[\p{L}\p{M}\p{N}\p{Cf}'’.\-–,/]*")  # matched backwards from the mark
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}­]*")
 _SKIP = regex.compile(rf"(?:[{SPACE}'\"“”„«»‹›「」『』《》()（）\[¿¡—–-]|<!--.*?-->)+", regex.S)
 _LINKED = regex.compile(r"\[\[(?:[^\[\]|]*\|)?")
@@ -446,11 +448,11 @@ def _around(text: str, b: Block, c: Candidate, p: int, by_start: dict[int, Opaqu
     c.tongue = b.tongue
     c.around = zlib.crc32((text[max(b.start, p - 24) : p] + "|" + text[c.next : c.next + 16]).encode("utf8", "surrogatepass"))
     lo = max(b.start, p - 40)
-    c.left = _LEFT.search(text, lo, p).group().lstrip("'’.-–,/")
+    c.left = _LEFT.match(text, lo, p).group().lstrip("'’.-–,/")
     at = p - len(c.left)
     while at > lo and (text[at - 1].isspace() or text.endswith("&nbsp;", lo, at)):
         at -= 1 if text[at - 1] != ";" else 6
-    c.before = _LEFT.search(text, max(b.start, at - 20), at).group()
+    c.before = _LEFT.match(text, max(b.start, at - 20), at).group()
     return c
 
 
@@ -684,6 +686,7 @@ def _thai_gaps(text: str, b: Block) -> list[tuple[int, int]]:
 class Model:
     counts: Counts
     weights: np.ndarray
+    known: dict[tuple, bool] = field(default_factory=dict, repr=False)  # decisions made before
 
     def ends(self, text: str, c: Candidate, start: int) -> bool:
         """Whether a sentence that began at ``start`` ends at the candidate."""
@@ -709,7 +712,13 @@ class Model:
             return False
         if c.run > 1:
             return True  # an abbreviation's full stop, and one of its own
-        return float(self.weights[features(c, self.counts)].sum()) > 0
+        key = (c.kind, c.tongue, c.left, c.before, c.right, c.form, c.gap)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            found = self.known[key] = float(self.weights[features(c, self.counts)].sum()) > 0
+        return found
 
     @staticmethod
     def _glued(c: Candidate) -> bool:
