@@ -94,8 +94,8 @@ def p1_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_order_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The typed subtype table of order lines."""
-    return nested.subtype_table(_objects(spark, d), "payload.after.orders.lines", {"sku": "string", "qty": "bigint"}).drop("misfit")
+    """The typed rows of order lines, of all their variants."""
+    return nested.subtype_table(_objects(spark, d), "payload.after.orders.lines", {"sku": "string", "qty": "bigint"}).drop("misfit", "variant")
 
 
 def _feed(spark: SparkSession, d: str) -> DataFrame:

@@ -89,7 +89,7 @@ WITH {_MESSAGES}, ended AS (
 SELECT topic, row_id, lsn FROM marked GROUP BY ALL HAVING NOT bool_or(processed)
 """
 
-P1_FOUND = """
+_PLACED = """
 WITH RECURSIVE docs AS (
   SELECT rec_id, CAST(msg_value AS JSON) AS j FROM doc_messages WHERE json_valid(msg_value)
 ), plain AS (
@@ -121,8 +121,15 @@ WITH RECURSIVE docs AS (
     ) WHERE json_type(v) IN ('OBJECT', 'ARRAY')
   )
 )
-SELECT rec_id, holder AS parent_path, path AS child_path FROM placed
-WHERE element AND type = 'OBJECT' AND NOT coalesce(list_bool_or(list_transform(json_keys(value), lambda k: k LIKE '$%')), false)
+"""
+_ELEMENTS = "element AND type = 'OBJECT' AND NOT coalesce(list_bool_or(list_transform(json_keys(value), lambda k: k LIKE '$%')), false)"
+
+P1_FOUND = f"{_PLACED} SELECT rec_id, holder AS parent_path, path AS child_path FROM placed WHERE {_ELEMENTS}"
+
+P1_ORDER_LINES = f"""{_PLACED}
+SELECT rec_id, holder AS parent_path, path AS child_path, value->>'$.sku' AS sku,
+  TRY_CAST(coalesce(value->>'$.qty."$numberLong"', value->>'$.qty') AS BIGINT) AS qty
+FROM placed WHERE members = 'payload.after.orders.lines' AND {_ELEMENTS}
 """
 
 P3_FOUND = """
@@ -179,4 +186,4 @@ UNION ALL
 SELECT feed, file_no, 'added', '', new_name FROM both_cols a WHERE old_name IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = a.feed AND r.file_no = a.file_no AND r.new_name = a.new_name)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_order_lines": P1_ORDER_LINES, "p3_found": P3_FOUND, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND}

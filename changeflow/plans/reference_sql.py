@@ -174,6 +174,20 @@ SELECT event_id, CASE WHEN k IN (0, 3) THEN date_trunc('second', ts) WHEN k = 1
     "convert_kinds": """SELECT event_id, CASE WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS as_int, CAST(value AS DECIMAL(10, 2)) AS as_decimal, event_id % 2 = 0 AS as_bool, CAST(NULL AS DOUBLE) AS as_float FROM events""",
     "value_texts": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text, CASE WHEN value > 5 THEN '1' ELSE '0' END AS flag_text,
   '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS struct_text, event_type || chr(92) || chr(92) || 'x' AS escaped FROM events""",
+    "type_texts": """
+WITH t(dialect, bool, float, date, timestamp_tz) AS (VALUES
+  ('spark', 'BOOLEAN', 'DOUBLE', 'DATE', 'TIMESTAMP'),
+  ('databricks', 'BOOLEAN', 'DOUBLE', 'DATE', 'TIMESTAMP'),
+  ('snowflake', 'boolean', 'float', 'date', 'timestamp_tz'),
+  ('bigquery', 'bool', 'float64', 'date', 'timestamp'),
+  ('redshift', 'BOOLEAN NULL', 'float', 'DATE', 'TIMESTAMP WITH TIME ZONE'),
+  ('postgres', 'boolean', 'double precision', 'date', 'timestamp with time zone'),
+  ('mysql', 'BOOLEAN', 'DOUBLE', 'DATE', 'DATETIME(6)'),
+  ('mssql', 'BIT', 'float', 'DATE', 'datetimeoffset'),
+  ('duckdb', 'boolean', 'double', 'date', 'timestamp with time zone'),
+  ('clickhouse', 'Bool', 'Float64', 'Date', 'DateTime'))
+SELECT dialect, kind, type_text, CASE WHEN dialect = 'mysql' AND kind = 'timestamp_tz' THEN 'timestamp_ntz' ELSE kind END AS read_back, 'col_1st__order__' AS escaped_name
+FROM (UNPIVOT t ON bool, float, date, timestamp_tz INTO NAME kind VALUE type_text)""",
     "message_json": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS message FROM nation""",
     "sample_scan": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50",
 }
