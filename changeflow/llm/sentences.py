@@ -631,19 +631,29 @@ def labelled(text: str, counts: Counts) -> list[tuple[int, list[int]]]:
     return out
 
 
-def fit(examples: list[tuple[int, list[int]]], rounds: int = 8, rate: float = 0.3, decay: float = 1e-5, batch: int = 512) -> np.ndarray:
-    """Weights of the maximum-entropy (logistic) model, by AdaGrad over the examples in a fixed order."""
-    w, g = np.zeros(DIMS), np.full(DIMS, 1e-8)
+def fit(examples: list[tuple[int, list[int]]], **options) -> np.ndarray:  # noqa: ANN003
+    """:func:`fit_arrays` of labels and features in a list."""
     if not examples:
+        return np.zeros(DIMS)
+    return fit_arrays(np.array([e[0] for e in examples]), np.array([e[1] for e in examples]), **options)
+
+
+def fit_arrays(y: np.ndarray, x: np.ndarray, rounds: int = 8, rate: float = 0.3, decay: float = 1e-5, batch: int = 512) -> np.ndarray:
+    """Weights of the maximum-entropy (logistic) model, by AdaGrad; ``x``: the indexes of each example's features.
+
+    The examples are put in an order that depends on their content only.
+    """
+    w, g = np.zeros(DIMS), np.full(DIMS, 1e-8)
+    if not len(y):
         return w
-    y = np.array([e[0] for e in examples], float)
-    x = np.array([e[1] for e in examples])
+    mix = np.random.default_rng(3).integers(1, 1 << 40, x.shape[1])
+    first = np.argsort((x.astype(np.int64) * mix).sum(1) * 2 + y, kind="stable")
+    x, y = x[first], y[first].astype(float)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for part in np.array_split(order.permutation(len(y)), max(1, len(y) // batch)):
             p = 1 / (1 + np.exp(-np.clip(w[x[part]].sum(1), -30, 30)))
-            d = np.zeros(DIMS)
-            np.add.at(d, x[part].ravel(), np.repeat((p - y[part]) / len(part), x.shape[1]))
+            d = np.bincount(x[part].ravel(), np.repeat((p - y[part]) / len(part), x.shape[1]), DIMS)
             d += decay * w
             g += d * d
             w -= rate * d / np.sqrt(g)
@@ -789,8 +799,9 @@ def train(docs: DataFrame, counts: Counts, documents: int, sample: int = 8_000)
     few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
     few = few.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text"))
     t = few.mapInArrow(scan, "y byte, x array<int>").limit(40 * sample).toArrow()
-    rows = sorted(zip(t["y"].to_pylist(), t["x"].to_pylist(), strict=True))
-    return Model(counts, fit(rows).astype(np.float32))
+    y = np.asarray(t["y"]).astype(np.int64)
+    x = np.asarray(t["x"].combine_chunks().flatten()).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.int64)
+    return Model(counts, fit_arrays(y, x).astype(np.float32))
 
 
 def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 8_000) -> DataFrame:
