@@ -4,7 +4,7 @@ Objects are classified bottom-up by a tree automaton: a scalar's state is its ki
 a list's is the set of its elements' states, an object's is the set of its members
 with their states. An object's state is its variant. Every object that is an element
 of a list is a row of the supertype table (record, own path, parent's path, path
-without indexes, variant); each variant has a typed subtype table beside it.
+without indexes, variant); with ``every``, so are the record itself and each lone object.
 
 Two passes over the records: the first finds the members that hold lists of objects
 in some records and a lone object in others (distinct paths, combined map-side); the
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONE, ELEMENT = "\x01", "\x02"
-OBJECTS = "rec_id bigint, parent_path string, child_path string, member_path string, variant string, signature string, members map<string,string>"
-MARKED = "rec_id bigint, marked string, variant string, signature string, members map<string,string>"
+OBJECTS = "rec_id bigint, parent_path string, child_path string, member_path string, variant string, signature string, members map<string,string>, lists map<string,string>"
+MARKED = "rec_id bigint, marked string, variant string, signature string, members map<string,string>, lists map<string,string>"
 _BATCH = 20_000
 
 
@@ -130,17 +130,63 @@ def _scalars(o: dict) -> list[tuple[str, str | None]]:
     return out
 
 
-def marked_paths(doc: object) -> Iterator[tuple[str, dict]]:
-    """Every object but the root with its path, a mark after each object on it: lone or element of a list."""
+class _Sign(str):
+    """A piece of JSON text between values."""
+
+
+def _json(v: object) -> str:
+    if type(v) in (Int, Real):
+        return str(v)
+    if type(v) is dict:
+        return "{" + ", ".join(f"{json.dumps(k)}: {_json(x)}" for k, x in v.items()) + "}"
+    return "[" + ", ".join(map(_json, v)) + "]" if type(v) is list else json.dumps(v)
+
+
+def outline(x: list) -> str | None:
+    """A list as JSON, ``{}`` in the place of each object (a row of its own); None if it holds nothing but objects."""
+    out: list[str] = []
+    plain = False
+    stack: list[object] = [x]
+    while stack:
+        v = stack.pop()
+        if type(v) is _Sign:
+            out.append(v)
+        elif type(v) is list:
+            plain = plain or not v
+            out.append("[")
+            stack.append(_Sign("]"))
+            for i in range(len(v) - 1, -1, -1):
+                stack.append(v[i])
+                if i:
+                    stack.append(_Sign(", "))
+        elif type(v) is dict and not is_scalar_object(v):
+            out.append("{}")
+        else:
+            plain = True
+            out.append(_json(v))
+    return "".join(out) if plain else None
+
+
+def _lists(o: dict) -> list[tuple[str, str]]:
+    return [(k, text) for k, v in o.items() if type(v) is list and (text := outline(v)) is not None]
+
+
+def marked_paths(doc: object, every: bool = False) -> Iterator[tuple[str, dict]]:
+    """Every object but the root with its path, a mark after each object on it: lone or element of a list.
+
+    With ``every`` the root comes as well, without any mark.
+    """
     stack: list[tuple[object, str, bool]] = [(doc, "", False)]
     while stack:
         x, path, element = stack.pop()
         if type(x) is dict:
             if is_scalar_object(x):
                 continue
-            if path:
+            if path or (every and x is not doc):
                 path += ELEMENT if element else LONE
                 yield path, x
+            elif every:
+                yield path, x
             stack.extend((v, f"{path}.{k}" if path else k, False) for k, v in x.items() if type(v) in (dict, list))
         else:
             stack.extend((v, f"{path}[{i}]", True) for i, v in enumerate(x) if type(v) in (dict, list))
@@ -159,20 +205,25 @@ def without_indexes(path: str) -> str:
     return "".join(out)
 
 
-def resolve(marked: str, counts_as_list: Callable[[str], bool]) -> tuple[str, str] | None:
-    """(parent path, own path) of a marked object; None if it is no element of a list."""
-    own, parent, last, piece = "", "$", "", ""
+def resolve(marked: str, counts_as_list: Callable[[str], bool], every: bool = False) -> tuple[str | None, str] | None:
+    """(parent path, own path) of a marked object; None if it is no element of a list.
+
+    With ``every`` any object is a parent, and none is left out: the root is ``$``, without a parent.
+    """
+    if every and not marked:
+        return None, "$"
+    own, parent, last, piece = "", "$", "$", ""
     element = False
     for ch in marked:
         if ch == ELEMENT or ch == LONE:
             own += piece
             piece = ""
-            element = ch == ELEMENT
+            element = every or ch == ELEMENT
             if ch == LONE and counts_as_list(without_indexes(own)):
                 own += "[0]"
                 element = True
             if element:
-                parent, last = last or "$", own
+                parent, last = last, own
         else:
             piece += ch
     return (parent, own) if element else None
@@ -205,8 +256,8 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 _S, _M = pa.string(), pa.map_(pa.string(), pa.string())
-_OBJECTS = pa.schema([("rec_id", pa.int64()), ("parent_path", _S), ("child_path", _S), ("member_path", _S), ("variant", _S), ("signature", _S), ("members", _M)])
-_MARKED = pa.schema([("rec_id", pa.int64()), ("marked", _S), ("variant", _S), ("signature", _S), ("members", _M)])
+_OBJECTS = pa.schema([("rec_id", pa.int64()), ("parent_path", _S), ("child_path", _S), ("member_path", _S), ("variant", _S), ("signature", _S), ("members", _M), ("lists", _M)])
+_MARKED = pa.schema([("rec_id", pa.int64()), ("marked", _S), ("variant", _S), ("signature", _S), ("members", _M), ("lists", _M)])
 
 
 def list_members(records: DataFrame, unwrap: tuple[str, ...]) -> DataFrame:
@@ -228,12 +279,16 @@ def list_members(records: DataFrame, unwrap: tuple[str, ...]) -> DataFrame:
     return kinds.groupBy("path").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b").select("path")
 
 
-def shred(records: DataFrame, rec_id: str, value: str, unwrap: str | None = "payload.after", broadcast_limit: int = 20_000, details: bool = True) -> DataFrame:
+def shred(records: DataFrame, rec_id: str, value: str, unwrap: str | None = "payload.after", broadcast_limit: int = 20_000, details: bool = True, every: bool = False) -> DataFrame:
     """The supertype table of all objects that are elements of lists: columns :data:`OBJECTS`.
 
     ``member_path`` is the path without indexes, ``variant`` the automaton's state,
     ``signature`` the members with their kinds, ``members`` the scalar members as text
-    (a JSON null is a null); without ``details`` the last three are null.
+    (a JSON null is a null), ``lists`` the lists that hold anything but objects, as of
+    :func:`outline`; without ``details`` the last four are null.
+    With ``every`` the record (path ``$``, no parent) and each lone object are rows too, and
+    a parent is the next object around, of either sort; a record that is a list is an
+    object with that list as its member of no name.
     A lone object of a member that holds lists of objects elsewhere is element 0.
     Null, empty and unreadable values have no rows, an empty table gives an empty one,
     a record that occurs twice gives its rows twice; other columns are not read.
@@ -243,7 +298,7 @@ def shred(records: DataFrame, rec_id: str, value: str, unwrap: str | None = "pay
     mixed = list_members(slim, into)
     head = [r.path for r in mixed.limit(broadcast_limit + 1).collect()]
     if len(head) > broadcast_limit:
-        return _shred_by_join(slim, mixed, into, details)
+        return _shred_by_join(slim, mixed, into, details, every)
     known = frozenset(head)
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,18 +308,19 @@ def shred(records: DataFrame, rec_id: str, value: str, unwrap: str | None = "pay
                     doc = load(text, into)
                     if type(doc) not in (dict, list):
                         continue
+                    doc = {"": doc} if every and type(doc) is list else doc
                     run = states(doc) if details else {}
-                    for marked, o in marked_paths(doc):
-                        if at := resolve(marked, known.__contains__):
+                    for marked, o in marked_paths(doc, every):
+                        if at := resolve(marked, known.__contains__, every):
                             state, signature = run.get(id(o), (None, None))
-                            yield rid, *at, without_indexes(at[1]), state, signature, _scalars(o) if details else None
+                            yield rid, *at, without_indexes(at[1]), state, signature, *((_scalars(o), _lists(o)) if details else (None, None))
 
         yield from _batches(rows(), _OBJECTS)
 
     return slim.mapInArrow(emit, OBJECTS)
 
 
-def _shred_by_join(slim: DataFrame, mixed: DataFrame, into: tuple[str, ...], details: bool) -> DataFrame:
+def _shred_by_join(slim: DataFrame, mixed: DataFrame, into: tuple[str, ...], details: bool, every: bool) -> DataFrame:
     """As :func:`shred`, for a set of members of any size: each row meets those on its own path in a shuffled join."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +330,10 @@ def _shred_by_join(slim: DataFrame, mixed: DataFrame, into: tuple[str, ...], det
                     doc = load(text, into)
                     if type(doc) not in (dict, list):
                         continue
+                    doc = {"": doc} if every and type(doc) is list else doc
                     run = states(doc) if details else {}
-                    for marked, o in marked_paths(doc):
-                        yield rid, marked, *run.get(id(o), (None, None)), _scalars(o) if details else None
+                    for marked, o in marked_paths(doc, every):
+                        yield rid, marked, *run.get(id(o), (None, None)), *((_scalars(o), _lists(o)) if details else (None, None))
 
         yield from _batches(rows(), _MARKED)
 
@@ -289,8 +346,8 @@ def _shred_by_join(slim: DataFrame, mixed: DataFrame, into: tuple[str, ...], det
         def rows() -> Iterator[tuple]:
             for batch in it:
                 for r in batch.to_pylist():
-                    if at := resolve(r["marked"], frozenset(r["here"] or ()).__contains__):
-                        yield r["rec_id"], *at, without_indexes(at[1]), r["variant"], r["signature"], r["members"]
+                    if at := resolve(r["marked"], frozenset(r["here"] or ()).__contains__, every):
+                        yield r["rec_id"], *at, without_indexes(at[1]), r["variant"], r["signature"], r["members"], r["lists"]
 
         yield from _batches(rows(), _OBJECTS)
 
@@ -298,7 +355,7 @@ def _shred_by_join(slim: DataFrame, mixed: DataFrame, into: tuple[str, ...], det
     # Distinct marked paths, not rows, meet the members.
     known = marked.select("marked").distinct().mapInArrow(paths, "marked string, path string").join(mixed, "path", "left_semi")
     here = known.groupBy("marked").agg(F.collect_set("path").alias("here"))
-    return marked.join(here, "marked", "left").select("rec_id", "marked", "variant", "signature", "members", "here").mapInArrow(place, OBJECTS)
+    return marked.join(here, "marked", "left").select("rec_id", "marked", "variant", "signature", "members", "lists", "here").mapInArrow(place, OBJECTS)
 
 
 def variants(objects: DataFrame) -> DataFrame:

@@ -78,9 +78,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.select_new(slim, state.read(), ["topic", "row_id"], exact=["lsn"]).select("topic", "row_id", "lsn")
 
 
-def _objects(spark: SparkSession, d: str, details: bool = True) -> DataFrame:
+def _objects(spark: SparkSession, d: str, details: bool = True, every: bool = False) -> DataFrame:
     t = read_table(spark, d, "doc_messages")
-    return nested.shred(spread(t.select("rec_id", "msg_value"), "rec_id", t), "rec_id", "msg_value", details=details)
+    return nested.shred(spread(t.select("rec_id", "msg_value"), "rec_id", t), "rec_id", "msg_value", details=details, every=every)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +88,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _objects(spark, d).select("rec_id", "parent_path", "child_path")
 
 
+def p1_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Each object, the record and lone ones included, with the object around it, its scalars and its lists of scalars."""
+    as_json = [F.to_json(c).alias(c) for c in ("members", "lists")]
+    return _objects(spark, d, every=True).select("rec_id", "parent_path", "child_path", "member_path", "variant", *as_json)
+
+
 def p1_variants(spark: SparkSession, d: str) -> DataFrame:
     """Every structural variant of each member, and how many objects have it."""
     return nested.variants(_objects(spark, d))

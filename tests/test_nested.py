@@ -80,3 +80,18 @@ def test_empty_table_repeats_and_depth(spark):
     assert links(shred(spark, ["[" * 100_000])) == []
     long = json.dumps({"a": [{"i": i} for i in range(30_000)]})
     assert shred(spark, [long]).count() == 30_000
+
+
+def test_the_record_lone_objects_and_lists_of_scalars_are_kept(spark):
+    values = [doc({"email": "a@b", "tags": ["x", None, 1.50, [True]], "contacts": [{"address": {"city": "Ky"}}, 7], "none": []}, source={"db": "d", "ts_ms": 12}, op="u"), '[{"top": 1}]', '{"": {"in": {"v": 1}}}', "7"]
+    for limit in (20_000, 0):
+        rows = {(r.rec_id, r.child_path): r for r in shred(spark, values, every=True, broadcast_limit=limit).collect()}
+        assert sorted((i, c, r.parent_path) for (i, c), r in rows.items() if i == 0) == [
+            (0, "$", None), (0, "payload", "$"), (0, "payload.after", "payload"), (0, A + "contacts[0]", "payload.after"), (0, A + "contacts[0].address", A + "contacts[0]"), (0, "payload.source", "payload")
+        ]
+        assert rows[0, "payload"].members == {"op": "u"} and rows[0, "payload.source"].members == {"db": "d", "ts_ms": "12"}
+        assert rows[0, "payload.after"].members == {"email": "a@b"} and rows[0, A + "contacts[0].address"].members == {"city": "Ky"}
+        assert rows[0, "payload.after"].lists == {"tags": '["x", null, 1.5, [true]]', "contacts": "[{}, 7]", "none": "[]"}
+        assert rows[1, "[0]"].parent_path == "$" and rows[1, "$"].parent_path is None and rows[1, "[0]"].members == {"top": "1"}
+        assert rows[2, ""].parent_path == "$" and rows[2, ".in"].parent_path == ""
+        assert all(r.variant and r.signature for r in rows.values()) and not any(i == 3 for i, _ in rows)
