@@ -5,6 +5,7 @@ a list's is the set of its elements' states, an object's is the set of its membe
 with their states. An object's state is its variant. Every object that is an element
 of a list is a row of the supertype table (record, own path, parent's path, path
 without indexes, variant); with ``every``, so are the record itself and each lone object.
+:func:`route` writes a typed subtype table for each member, of all its variants.
 
 Two passes over the records: the first finds the members that hold lists of objects
 in some records and a lone object in others (distinct paths, combined map-side); the
@@ -371,14 +372,61 @@ def subtype_table(objects: DataFrame, member_path: str, fields: dict[str, str])
     """The typed table of one member's objects: keys, parent link, variant, and ``fields`` (name to Spark type).
 
     A member that a variant lacks, or whose value doesn't fit the type, is null; the text
-    of what didn't fit stays in ``misfit`` (JSON). A field named as a key column gets the
-    prefix ``f_``.
+    of what didn't fit stays in ``misfit`` (JSON), as do lists of scalars in ``lists``. A
+    field named as a column before it, whatever the case, gets the prefix ``f_``.
     """
     keys = ["rec_id", "parent_path", "child_path", "variant"]
     of = objects.where(F.col("member_path") == member_path)
-    typed = [F.col("members")[n].try_cast(t).alias(f"f_{n}" if n in [*keys, "misfit"] else n) for n, t in fields.items()]
+    named = column_names(fields)
+    typed = [F.col("members")[n].try_cast(t).alias(named[n]) for n, t in fields.items()]
     wrong = F.map_filter("members", lambda k, v: v.isNotNull() & F.lit(False) if not fields else _any(k, v, fields))
-    return of.select(*keys, *typed, F.when(F.size(wrong) > 0, F.to_json(wrong)).alias("misfit"))
+    return of.select(*keys, *typed, F.when(F.size(wrong) > 0, F.to_json(wrong)).alias("misfit"), F.when(F.size("lists") > 0, F.to_json("lists")).alias("lists"))
+
+
+def column_names(fields: Iterable[str]) -> dict[str, str]:
+    """A subtype table's column for each field: its name, prefixed by ``f_`` until no column before it is equal but for case."""
+    taken = {"rec_id", "parent_path", "child_path", "variant", "misfit", "lists"}
+    out = {}
+    for n in fields:
+        name = n or "f_"
+        while name.lower() in taken:
+            name = f"f_{name}"
+        taken.add(name.lower())
+        out[n] = name
+    return out
+
+
+def member_fields(objects: DataFrame) -> dict[str, dict[str, str]]:
+    """The fields of every member, as of :func:`fields_of` over all its variants."""
+    kinds = objects.select("member_path", F.explode_outer(F.from_json("signature", "map<string,string>")).alias("name", "kind")).distinct()
+    by: dict[str, list[str]] = {}
+    for r in kinds.collect():
+        by.setdefault(r.member_path, []).append(json.dumps({} if r.name is None else {r.name: r.kind}))
+    return {m: fields_of(by[m]) for m in sorted(by)}
+
+
+def route(objects: DataFrame, path: str) -> DataFrame:
+    """Write every object to its member's typed table below ``path``, which must be new.
+
+    Returns a row a member: ``member_path, location`` of its table, ``fields`` (JSON: name
+    to type), and as read back from it ``variants``, ``objects`` and ``misfits`` (rows with any).
+    """
+    spark = objects.sparkSession
+    of = lambda m: f"m{hashlib.md5(m.encode('utf8', 'surrogatepass')).hexdigest()}"
+    objects.withColumn("member", F.concat(F.lit("m"), F.md5("member_path"))).write.partitionBy("member").parquet(f"{path}/objects")
+    kept = spark.read.schema(f"{OBJECTS}, member string").parquet(f"{path}/objects")
+    found = member_fields(kept)
+    rows = []
+    for m, fields in found.items():
+        location = f"{path}/tables/member={of(m)}"
+        subtype_table(kept.where(F.col("member") == of(m)), m, fields).write.parquet(location)
+        rows.append((of(m), m, location, json.dumps(fields, ensure_ascii=False)))
+    listed = spark.createDataFrame(rows, "member string, member_path string, location string, fields string")
+    if not rows:
+        return listed.selectExpr("member_path", "location", "fields", "0L as variants", "0L as objects", "0L as misfits")
+    stored = spark.read.schema("variant string, misfit string, member string").parquet(f"{path}/tables")
+    counts = stored.groupBy("member").agg(F.count_distinct("variant").alias("variants"), F.count("*").alias("objects"), F.count("misfit").alias("misfits"))
+    return listed.join(counts, "member").drop("member")
 
 
 def _any(k, v, fields):  # noqa: ANN001, ANN202

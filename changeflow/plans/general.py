@@ -101,7 +101,12 @@ def p1_variants(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_order_lines(spark: SparkSession, d: str) -> DataFrame:
     """The typed rows of order lines, of all their variants."""
-    return nested.subtype_table(_objects(spark, d), "payload.after.orders.lines", {"sku": "string", "qty": "bigint"}).drop("misfit", "variant")
+    return nested.subtype_table(_objects(spark, d), "payload.after.orders.lines", {"sku": "string", "qty": "bigint"}).drop("misfit", "variant", "lists")
+
+
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The typed subtype table of every member, written to the shared folder: its place, fields, variants and rows."""
+    return nested.route(_objects(spark, d, every=True), fresh_path(spark, "subtypes"))
 
 
 def _feed(spark: SparkSession, d: str) -> DataFrame:

@@ -95,3 +95,27 @@ def test_the_record_lone_objects_and_lists_of_scalars_are_kept(spark):
         assert rows[1, "[0]"].parent_path == "$" and rows[1, "$"].parent_path is None and rows[1, "[0]"].members == {"top": "1"}
         assert rows[2, ""].parent_path == "$" and rows[2, ".in"].parent_path == ""
         assert all(r.variant and r.signature for r in rows.values()) and not any(i == 3 for i, _ in rows)
+
+
+def test_every_object_gets_to_the_typed_table_of_its_member(spark, tmp_path):
+    values = [doc({"orders": [{"no": 1, "a b": "x", "Rec_id": "r"}, {"no": 2.5, "rec_id": True}, {}], "tags": [1]}, op="u"), doc({"orders": [{"no": 12345678901234567890}], "id": 7}), '[{"top": {"$numberLong": "5"}}]']
+    objects = shred(spark, values, every=True)
+    listed = {r.member_path: r for r in nested.route(objects, str(tmp_path / "typed")).collect()}
+    assert {m: r.objects for m, r in listed.items()} == {"$": 3, "payload": 2, "payload.after": 2, A + "orders": 4, "": 1}
+    read = lambda m: {(r.rec_id, r.child_path): r for r in spark.read.parquet(listed[m].location).collect()}
+    lines, after = read(A + "orders"), read("payload.after")
+    assert json.loads(listed[A + "orders"].fields) == {"Rec_id": "string", "a b": "string", "no": "double", "rec_id": "boolean"} and listed[A + "orders"].variants == 4
+    first = lines[0, A + "orders[0]"]
+    assert first.no == 1.0 and first["a b"] == "x" and first.f_Rec_id == "r" and first.f_f_rec_id is None and first.parent_path == "payload.after"
+    assert lines[0, A + "orders[1]"].f_f_rec_id is True and lines[0, A + "orders[2]"].variant
+    assert after[1, "payload.after"].id == 7 and after[0, "payload.after"].lists == '{"tags":"[1]"}'
+    assert read("payload")[0, "payload"].op == "u" and read("")[2, "[0]"].top == 5
+    assert nested.route(objects.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_what_does_not_fit_stays_beside_the_typed_row(spark, tmp_path):
+    big = "123456789012345678901234567890"
+    objects = shred(spark, [f'{{"a": [{{"n": 1}}, {{"n": {big}}}]}}'], every=True)
+    row = next(r for r in nested.route(objects, str(tmp_path / "typed")).collect() if r.member_path == "a")
+    assert row.misfits == 1
+    assert {r.child_path: (r.n, r.misfit) for r in spark.read.parquet(row.location).collect()} == {"a[0]": (1, None), "a[1]": (None, json.dumps({"n": big}, separators=(",", ":")))}
