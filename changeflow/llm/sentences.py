@@ -34,6 +34,10 @@ DIMS = 1 << 16
 MOST_KNOWN = 200_000
 #: Different surroundings from which on a token's habits count as known.
 MANY = 8
+#: Different surroundings, left and right of a mark, from which on :func:`features` and :func:`label` tell a token from one never met.
+LEAST_LEFT, LEAST_RIGHT = 2, 3
+#: Keys that a task counts before it hands them on.
+MOST_KEYS = 200_000
 #: White space, zero-width space and byte-order mark included.
 SPACE = r"\s​﻿"
 
@@ -492,8 +496,12 @@ def _quote(text: str, b: Block, opened: int, q: int, notes: dict[int, int], by_s
 # ---------------------------------------------------------------- features
 
 
-def bucket(token: str, tongue_: str) -> int:
-    return zlib.crc32(f"{tongue_}|{_norm(token)}".encode("utf8", "surrogatepass")) % BUCKETS
+def key_of(token: str, tongue_: str) -> str:
+    return f"{tongue_}|{_norm(token)}"
+
+
+def bucket(key: str) -> int:
+    return zlib.crc32(key.encode("utf8", "surrogatepass")) % BUCKETS
 
 
 def _bit(h: int) -> int:
@@ -501,8 +509,8 @@ def _bit(h: int) -> int:
     return (1 << h) - (1 << 64 if h == 63 else 0)
 
 
-def count(text: str, sums: np.ndarray) -> None:
-    """Adds a text's tokens to ``sums``.
+def habits(text: str) -> Iterator[tuple[int, str, int]]:
+    """What a text adds to the counts: row, key of the token, and 1 or (rows 4 and 5) a bit.
 
     Rows: left of a mark; of these at a block's end; right of a mark; at a block's
     start; and 64-bit sketches of the different surroundings of tokens left and right of
@@ -510,48 +518,64 @@ def count(text: str, sums: np.ndarray) -> None:
     """
     for b in analyze(text):
         if not b.listed and b.first:
-            sums[3, bucket(b.first, b.tongue)] += 1
+            yield 3, key_of(b.first, b.tongue), 1
         for c in b.candidates:
             if c.kind == "dot" and c.run == 1 and c.left:
-                k = bucket(c.left, c.tongue)
-                sums[0, k] += 1
+                k = key_of(c.left, c.tongue)
+                yield 0, k, 1
                 if c.final:
-                    sums[1, k] += 1
+                    yield 1, k, 1
                 else:
-                    sums[4, k] |= _bit(c.around)
+                    yield 4, k, _bit(c.around)
             if not c.final and c.right and c.kind in ("dot", "strong"):
-                k = bucket(c.right, c.tongue)
-                sums[2, k] += 1
-                sums[5, k] |= _bit(c.around)
+                k = key_of(c.right, c.tongue)
+                yield 2, k, 1
+                yield 5, k, _bit(c.around)
+
+
+def count(text: str, sums: np.ndarray) -> None:
+    """Adds a text's tokens to a table of hashed cells, for a few texts without Spark; :func:`corpus_counts` is exact."""
+    for row, key, n in habits(text):
+        if row < 4:
+            sums[row, bucket(key)] += n
+        else:
+            sums[row, bucket(key)] |= n
 
 
 @dataclass
 class Counts:
-    """Statistics over all documents, in a table of fixed size."""
+    """Statistics over all documents: a column of ``sums`` for each key in ``index``, or, without one, for each hashed cell."""
 
     sums: np.ndarray
+    index: dict[str, int] | None = None
+    totals: list[int] | None = None  # of rows 0 to 3, over all keys
 
     def __post_init__(self) -> None:
-        left, final = self.sums[0].sum(), self.sums[1].sum()
-        self.rate = float(final / left) if left else 0.5
-        every = self.sums[2].sum() + self.sums[3].sum()
-        self.start_rate = float(self.sums[3].sum() / every) if every else 0.5
+        left, final, right, start = (int(n) for n in (self.sums[:4].sum(1) if self.totals is None else self.totals))
+        self.rate = final / left if left else 0.5
+        self.start_rate = start / (right + start) if right + start else 0.5
+
+    def _column(self, token: str, tongue_: str) -> int | None:
+        key = key_of(token, tongue_)
+        return bucket(key) if self.index is None else self.index.get(key)
 
     def left(self, token: str, tongue_: str) -> tuple[int, float]:
         """In how many different surroundings it stands within blocks (as far as the sketch tells), and how often it ends a block, against all."""
-        k = bucket(token, tongue_)
+        if (k := self._column(token, tongue_)) is None:
+            return 0, 1.0
         n = int(self.sums[0, k])
         return (int(self.sums[4, k]) & (1 << 64) - 1).bit_count(), float(self.sums[1, k] / n / max(self.rate, 1e-9)) if n else 1.0
 
     def right(self, token: str, tongue_: str) -> tuple[int, float]:
         """In how many different surroundings it follows a mark, and how often it starts a block, against all."""
-        k = bucket(token, tongue_)
+        if (k := self._column(token, tongue_)) is None:
+            return 0, 1.0
         n = int(self.sums[2, k] + self.sums[3, k])
         return (int(self.sums[5, k]) & (1 << 64) - 1).bit_count(), float(self.sums[3, k] / n / max(self.start_rate, 1e-9)) if n else 1.0
 
 
 def _level(n: int, share: float) -> str:
-    if n < 3:  # too few different surroundings to tell its habits
+    if n < LEAST_RIGHT:  # too few different surroundings to tell its habits
         return "a"
     return ("b" if n < MANY else "c") + ("0" if share < 0.02 else "1" if share < 0.1 else "2" if share < 0.3 else "3" if share < 0.7 else "4")
 
@@ -581,7 +605,7 @@ def features(c: Candidate, counts: Counts) -> list[int]:
     ll, lr, sh, bs = _level(nl, sl), _level(nr, sr), _shape(c.left), _shape(c.before)
     run = min(c.run, 2)
     parts = [
-        "bias", f"kind={c.kind}{run}", f"left={c.tongue}|{_norm(c.left)}" if nl >= 2 else "left=?", f"ll={ll}", f"sh={sh}", f"form={c.form}", f"lr={lr}",
+        "bias", f"kind={c.kind}{run}", f"left={c.tongue}|{_norm(c.left)}" if nl >= LEAST_LEFT else "left=?", f"ll={ll}", f"sh={sh}", f"form={c.form}", f"lr={lr}",
         f"ll={ll}|form={c.form}", f"sh={sh}|form={c.form}", f"ll={ll}|lr={lr}", f"sh={sh}|lr={lr}", f"before={bs}|sh={sh}", f"before={_norm(c.before)[-8:]}|sh={sh}",
         f"gap={c.gap}|form={c.form}", f"script={_script(c.left)}|ll={ll}", f"run={run}|form={c.form}", f"ll={ll}|sh={sh}",
     ]
@@ -764,26 +788,43 @@ class Model:
 
 
 def corpus_counts(docs: DataFrame) -> Counts:
-    """Counts over every text of ``docs`` (one column), in a table of ``6 * BUCKETS`` cells."""
+    """Exact counts over every text of ``docs`` (one column), by language and token.
+
+    Only tokens with as many different surroundings as make a difference (:data:`LEAST_LEFT`,
+    :data:`LEAST_RIGHT`) come to the driver; the totals are of all.
+    """
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((6, BUCKETS), np.int64)
+        sums: dict[str | None, list[int]] = {}
+        totals = [0, 0, 0, 0, -1, -1]  # all bits set: never left out
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), *[pa.array(c, pa.int64()) for c in zip(*sums.values(), strict=True)]], names=["key", *"abcdef"])
+
         for batch in it:
             for text in batch.column(0).to_pylist():
-                if text:
-                    count(text, sums)
-        k = np.flatnonzero(sums.any(0))
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *[pa.array(r) for r in sums[:, k]]], names=["k", *"abcdef"])
-
-    cells = docs.mapInArrow(scan, "k int, " + ", ".join(f"{x} bigint" for x in "abcdef"))
-    by = cells.groupBy("k").agg(*[F.sum(x).alias(x) for x in "abcd"], *[F.bit_or(x).alias(x) for x in "ef"])
-    sums = np.zeros((6, BUCKETS), np.int64)
-    t = by.toArrow()
-    k = np.asarray(t["k"])
-    for i, x in enumerate("abcdef"):
-        sums[i, k] = np.asarray(t[x])
-    return Counts(sums)
+                for row, key, n in habits(text) if text else ():
+                    at = sums.get(key)
+                    if at is None:
+                        at = sums[key] = [0] * 6
+                    if row < 4:
+                        at[row] += n
+                        totals[row] += n
+                    else:
+                        at[row] |= n
+                if len(sums) >= MOST_KEYS:
+                    yield table()
+                    sums.clear()
+        sums[None] = totals
+        yield table()
+
+    cells = docs.mapInArrow(scan, "key string, " + ", ".join(f"{x} bigint" for x in "abcdef"))
+    by = cells.groupBy("key").agg(*[F.sum(x).alias(x) for x in "abcd"], *[F.bit_or(x).alias(x) for x in "ef"])
+    t = by.where((F.bit_count("e") >= LEAST_LEFT) | (F.bit_count("f") >= LEAST_RIGHT)).toArrow()
+    sums = np.array([np.asarray(t[x]) for x in "abcdef"], np.int64).reshape(6, -1)
+    index = {k: i for i, k in enumerate(t["key"].to_pylist())}
+    totals = index.pop(None, None)
+    return Counts(sums, index, [0] * 4 if totals is None else sums[:4, totals].tolist())
 
 
 def train(docs: DataFrame, counts: Counts, documents: int, sample: int = 8_000) -> Model:

@@ -112,3 +112,23 @@ def test_a_long_text(blank):
     text = "The mill burned! " * 20_000
     assert len(blank.sentences(text)) == 20_000
     assert len(blank.sentences("(" * 5_000 + " x! " + "Burned! " * 5_000)) == 5_001
+
+
+def test_tokens_whose_hashes_collide_are_counted_apart(spark):
+    import zlib
+
+    seen = {}
+    for i in range(10_000):
+        b = "zq" + "".join(chr(97 + int(d)) for d in str(i))
+        a = seen.setdefault(zlib.crc32(f"en|{b}".encode()) % S.BUCKETS, b)
+        if a != b:
+            break
+    assert a != b
+    texts = [f"They met Mr {'ab'[i % 2] * (i + 3)} of {a}. Then they left for {i}." for i in range(9)] + [f"It was near {b}.", f"The mill of {b}. Zed left it."]
+    counts = S.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert counts.left(a, "en")[0] > S.LEAST_LEFT and counts.left(a, "en")[1] == 0
+    assert counts.left(b, "en") == (0, 1.0)  # one surrounding: as good as never met
+    sums = np.zeros((6, S.BUCKETS), np.int64)
+    for t in texts:
+        S.count(t, sums)
+    assert counts.totals == sums[:4].sum(1).tolist() and counts.rate == S.Counts(sums).rate
