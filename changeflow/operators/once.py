@@ -7,7 +7,8 @@ number, which then joins the ranges. A range never leaves its block of
 Repeats of one number are first thinned within ``salts`` slices, so that a number
 sent a billion times is no single task either.
 
-Identifiers that are no number have no range: they are looked up exactly, by text.
+Identifiers that are no number have no range: they are looked up exactly, by text,
+and kept in a keyed table beside the ranges from batch to batch.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_SCHEMA = "producer array<string>, block bigint, lo bigint, hi bigint"
+TEXT_SCHEMA = "producer array<string>, text string"
 
 
 def _sweep(df: DataFrame, part: list, arrival: list[str], out: str) -> DataFrame:
@@ -33,6 +35,7 @@ def mark_repeats(
     seen: DataFrame | None = None,
     block_bits: int = 20,
     salts: int = 1024,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """``messages`` with ``is_repeat``: the number was covered by ``seen`` or by an earlier message.
 
@@ -41,7 +44,8 @@ def mark_repeats(
     columns whose ascending order says which copy came first (unique).
     A message with a null producer column, or with neither number nor text, has no
     identity: never a repeat. Repeated rows equal in ``arrival`` are repeats as well.
-    ``seen``: ranges as of :func:`seen_ranges`. Empty input gives an empty result.
+    ``seen``: ranges as of :func:`seen_ranges`; ``texts``: malformed identifiers as of
+    :func:`seen_texts`. Empty input gives an empty result.
     """
     spread = F.pmod(F.xxhash64(*arrival), F.lit(salts)).cast("int")
     known = F.lit(True)
@@ -65,6 +69,12 @@ def mark_repeats(
             seen.select(F.col("producer").alias("_producer"), F.col("block").alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(0).alias("_is_message"), F.lit(False).alias("_local")),
             allowMissingColumns=True,
         )
+    if texts is not None:
+        zero = F.lit(0).cast("bigint")
+        df = df.unionByName(
+            texts.select(F.col("producer").alias("_producer"), F.col("text").alias("_text"), zero.alias("_lo"), zero.alias("_hi"), F.lit(0).alias("_is_message"), F.lit(False).alias("_local")),
+            allowMissingColumns=True,
+        )
     # A local repeat stays in its slice; only the first of each slice meets the others.
     at = F.when(F.col("_local") | F.col("_producer").isNull(), F.coalesce(F.col("_salt"), F.lit(-1))).otherwise(F.lit(-1))
     df = _sweep(df, [*group, at], arrival, "_global").where("_is_message = 1")
@@ -75,7 +85,8 @@ def mark_repeats(
 def seen_ranges(accepted: DataFrame, producer: list[str], number: str, seen: DataFrame | None = None, block_bits: int = 20) -> DataFrame:
     """The state after ``accepted``: disjoint, merged ranges of numbers (``producer, block, lo, hi``).
 
-    Ranges that touch are one. Rows without producer or number add nothing.
+    Ranges that touch are one. Rows without producer or number add nothing; malformed
+    identifiers are in :func:`seen_texts`, the other half of the state.
     """
     ok = F.col(number).isNotNull()
     for c in producer:
@@ -89,6 +100,15 @@ def seen_ranges(accepted: DataFrame, producer: list[str], number: str, seen: Dat
     return merge_ranges(every, ["producer", "block"])
 
 
+def seen_texts(accepted: DataFrame, producer: list[str], number: str, number_text: str, texts: DataFrame | None = None) -> DataFrame:
+    """The malformed identifiers seen after ``accepted``, each once (``producer, text``)."""
+    ok = F.col(number).isNull() & F.col(number_text).isNotNull()
+    for c in producer:
+        ok = ok & F.col(c).isNotNull()
+    new = accepted.where(ok).select(F.array(*[F.col(c).cast("string") for c in producer]).alias("producer"), F.col(number_text).alias("text"))
+    return (new if texts is None else new.unionByName(texts.select("producer", "text"))).distinct()
+
+
 def merge_ranges(ranges: DataFrame, group: list[str]) -> DataFrame:
     """Disjoint ranges of inclusive ``lo``..``hi`` per ``group``; those that overlap or touch become one."""
     w = Window.partitionBy(*group).orderBy("lo", "hi")

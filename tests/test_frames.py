@@ -109,6 +109,23 @@ def test_repeats_match_brute_force(spark):
         assert all(b[0] > a[1] + 1 for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_malformed_identifiers_are_known_in_later_batches(spark):
+    batches = [
+        [("a", None, "x", 1, 0), ("a", 0, None, 2, 0), ("b", None, "y", 3, 0), ("a", None, None, 4, 0), (None, None, "x", 5, 0)],
+        [("a", None, "x", 6, 0), ("b", None, "x", 7, 0), ("a", 0, None, 8, 0), ("a", None, "z", 9, 0), ("a", None, None, 10, 0), (None, None, "x", 11, 0)],
+        [("b", None, "y", 12, 0), ("a", None, "z", 13, 0), ("a", None, "0", 14, 0), ("a", 1, None, 15, 0)],
+    ]
+    ranges = texts = None
+    got = []
+    for rows in batches:
+        marked = once.mark_repeats(spark.createDataFrame(rows, IDS), ["producer"], "n", "text", ["at", "part"], ranges, texts=texts)
+        got += [r.at for r in marked.where("is_repeat").collect()]
+        kept = marked.where("not is_repeat")
+        ranges, texts = once.seen_ranges(kept, ["producer"], "n", ranges), once.seen_texts(kept, ["producer"], "n", "text", texts)
+    assert sorted(got) == repeats(spark, [r for b in batches for r in b]) == [6, 8, 12, 13]
+    assert sorted((r.producer[0], r.text) for r in texts.collect()) == [("a", "0"), ("a", "x"), ("a", "z"), ("b", "x"), ("b", "y")]
+
+
 def test_batches_with_state_equal_one_batch(spark):
     rows = [("a", n % 7, None, i, 0) for i, n in enumerate([3, 4, 3, 9, 2, 4, 8, 1, 2])]
     df = lambda part: spark.createDataFrame(part, IDS)
