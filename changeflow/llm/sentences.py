@@ -15,6 +15,8 @@ Words that end blocks as often as words do on average are reliable within one, t
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ MOST_KNOWN = 200_000
 MANY = 8
 #: Different surroundings, left and right of a mark, from which on :func:`features` and :func:`label` tell a token from one never met.
 LEAST_LEFT, LEAST_RIGHT = 2, 3
+#: Training examples for each document of the sample, on average, at most.
+EXAMPLES = 40
 #: Keys that a task counts before it hands them on.
 MOST_KEYS = 200_000
 #: White space, zero-width space and byte-order mark included.
@@ -662,7 +666,7 @@ def fit(examples: list[tuple[int, list[int]]], **options) -> np.ndarray:  # noqa
     return fit_arrays(np.array([e[0] for e in examples]), np.array([e[1] for e in examples]), **options)
 
 
-def fit_arrays(y: np.ndarray, x: np.ndarray, rounds: int = 8, rate: float = 0.3, decay: float = 1e-5, batch: int = 512) -> np.ndarray:
+def fit_arrays(y: np.ndarray, x: np.ndarray, rounds: int = 12, rate: float = 0.3, decay: float = 1e-5, batch: int = 256) -> np.ndarray:
     """Weights of the maximum-entropy (logistic) model, by AdaGrad; ``x``: the indexes of each example's features.
 
     The examples are put in an order that depends on their content only.
@@ -827,19 +831,31 @@ def corpus_counts(docs: DataFrame) -> Counts:
     return Counts(sums, index, [0] * 4 if totals is None else sums[:4, totals].tolist())
 
 
+def place_hashes(text: str) -> Iterator[int]:
+    """Numbers that deal out the examples of a text, one after the other, at random but always alike."""
+    whole = hashlib.blake2b(text.encode("utf8", "surrogatepass"), digest_size=16)
+    for i in itertools.count():
+        each = whole.copy()
+        each.update(b"|%d" % i)
+        yield int.from_bytes(each.digest()[:8], "big", signed=True)
+
+
 def train(docs: DataFrame, counts: Counts, documents: int, sample: int = 8_000) -> Model:
-    """The model, trained on the reliable boundaries of about ``sample`` documents (of ``documents``), chosen by hash."""
+    """The model, trained on the reliable boundaries of about ``sample`` documents (of ``documents``), chosen by hash.
+
+    Of more than ``EXAMPLES * sample`` examples so many are taken, by a hash of their text and place in it.
+    """
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [x for text in batch.column(0).to_pylist() if text for x in labelled(text, counts)]
+            rows = [(h, *x) for text in batch.column(0).to_pylist() if text for x, h in zip(labelled(text, counts), place_hashes(text), strict=False)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int8()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["h", "y", "x"])
 
     share = min(1.0, sample / max(documents, 1))
     few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
     few = few.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text"))
-    t = few.mapInArrow(scan, "y byte, x array<int>").limit(40 * sample).toArrow()
+    t = few.mapInArrow(scan, "h bigint, y byte, x array<int>").orderBy("h").limit(EXAMPLES * sample).toArrow()
     y = np.asarray(t["y"]).astype(np.int64)
     x = np.asarray(t["x"].combine_chunks().flatten()).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.int64)
     return Model(counts, fit_arrays(y, x).astype(np.float32))

@@ -132,3 +132,22 @@ def test_tokens_whose_hashes_collide_are_counted_apart(spark):
     for t in texts:
         S.count(t, sums)
     assert counts.totals == sums[:4].sum(1).tolist() and counts.rate == S.Counts(sums).rate
+
+
+def test_training_does_not_depend_on_the_order_of_documents_where_examples_are_cut(spark, monkeypatch):
+    import inspect
+
+    options = inspect.signature(S.fit_arrays).parameters
+    assert (options["rounds"].default, options["batch"].default) == (12, 256)
+    kept = []
+    monkeypatch.setattr(S, "EXAMPLES", 1)
+    monkeypatch.setattr(S, "fit_arrays", lambda y, x: kept.append((y, x)) or np.zeros(S.DIMS))
+    texts = [(t,) for t, _ in corpus()[:120]]
+    counts = S.corpus_counts(spark.createDataFrame(texts, "text string"))
+    for rows, parts in ((texts, 1), (texts[::-1], 3)):
+        S.train(spark.createDataFrame(rows, "text string").repartition(parts), counts, 60, sample=60)
+    one, two = (sorted(zip(y.tolist(), x.tolist(), strict=True)) for y, x in kept)
+    every = sorted(x for t, in texts for x in S.labelled(t, counts))
+    assert one == two and len(one) == 60 < len(every)
+    chosen = sorted((h, x) for t, in texts for x, h in zip(S.labelled(t, counts), S.place_hashes(t), strict=False))[:60]
+    assert one == sorted((y, x) for _, (y, x) in chosen)
