@@ -15,13 +15,14 @@ from ..sources.frames import UNAVAILABLE
 MOST_DATES = 1_000
 
 
-def _condition(keys: list[str], null_safe: bool, extra: list[str]) -> Column:
+def _condition(keys: list[str], null_safe: bool, extra: list[str], null_safe_extra: bool = False) -> Column:
     on = F.lit(True)
     for k in keys:
         a, b = F.col(f"t.{k}"), F.col(f"s.{k}")
         on = on & (a.eqNullSafe(b) if null_safe else a == b)
     for c in extra:
-        on = on & (F.col(f"t.{c}") == F.col(f"s.{c}"))
+        a, b = F.col(f"t.{c}"), F.col(f"s.{c}")
+        on = on & (a.eqNullSafe(b) if null_safe_extra else a == b)
     return on
 
 
@@ -30,15 +31,15 @@ def available(new: Column, text: bool) -> Column:
     return F.coalesce(~F.contains(new, F.lit(UNAVAILABLE)), F.lit(True)) if text else F.lit(True)
 
 
-def _joined(target: DataFrame, staged: DataFrame, keys: list[str], null_safe: bool, extra: list[str]) -> DataFrame:
+def _joined(target: DataFrame, staged: DataFrame, keys: list[str], null_safe: bool, extra: list[str], null_safe_extra: bool = False) -> DataFrame:
     t = target.withColumn("__in_t", F.lit(True)).alias("t")
     s = staged.withColumn("__in_s", F.lit(True)).alias("s")
-    return t.join(s, _condition(keys, null_safe, extra), "full_outer")
+    return t.join(s, _condition(keys, null_safe, extra, null_safe_extra), "full_outer")
 
 
 def merge(
     target: DataFrame, staged: DataFrame, keys: list[str], soft_delete: bool = False, placeholder_columns: list[str] | None = None,
-    null_safe: bool = False, extra: list[str] | None = None, prefix: str = "__cf_",
+    null_safe: bool = False, extra: list[str] | None = None, prefix: str = "__cf_", null_safe_extra: bool = False,
 ) -> DataFrame:
     """``target`` after ``staged`` (one row a key, with the delete markers) is merged into it.
 
@@ -46,10 +47,10 @@ def merge(
     the delete marker is set; a key that only saw deletes keeps its other values, and an
     unmatched one is inserted. A value not sent (in ``placeholder_columns``) keeps the
     target's. A null delete marker is no delete. Null keys match only if ``null_safe``.
-    Target columns that the batch lacks keep their values; ``extra`` columns join too.
+    Target columns that the batch lacks keep their values; ``extra`` columns join too, their nulls with ``null_safe_extra``.
     """
     gone_col, only_col = f"{prefix}delete", f"{prefix}only_set_delete"
-    both = _joined(target, staged, keys, null_safe, extra or [])
+    both = _joined(target, staged, keys, null_safe, extra or [], null_safe_extra)
     in_t, in_s = F.col("t.__in_t").isNotNull(), F.col("s.__in_s").isNotNull()
     gone = F.coalesce(F.col(f"s.{gone_col}"), F.lit(False))
     only = F.coalesce(F.col(f"s.{only_col}"), F.lit(False))
@@ -135,12 +136,13 @@ def batch_dates(staged: DataFrame, column: str) -> list | None:
 def merge_pruned(target: DataFrame, staged: DataFrame, keys: list[str], column: str, **options) -> DataFrame:  # noqa: ANN003
     """:func:`merge` where only the target's rows of the batch's dates take part in the join.
 
-    Keys whose date may change between batches must not be pruned by it. The other rows
+    The date joins as well, whatever the batch: a row whose date differs from the target's
+    is another row, so keys whose date may change must not be pruned by it. The other rows
     are carried over as they are, without a shuffle.
     """
     dates = batch_dates(staged, column)
     if dates is None:
-        return merge(target, staged, keys, **options)
+        return merge(target, staged, keys, extra=[column], null_safe_extra=True, **options)
     touched = F.coalesce(F.to_date(column).isin(dates), F.lit(False))
     return target.where(~touched).unionByName(merge(target.where(touched), staged, keys, extra=[column], **options))
 

@@ -134,6 +134,17 @@ def test_pruned_merge_and_its_dates(spark):
     assert merge.batch_dates(s.limit(0), "day") is None
 
 
+def test_pruned_merge_gives_the_same_rows_beyond_the_limit_of_dates(spark, monkeypatch):
+    t = spark.sql("select * from values (1, date'2025-01-01', 't'), (2, date'2025-01-02', 't'), (3, cast(null as date), 't') x(k, day, v)")
+    s = spark.sql(f"select *, false {D}, false {O} from values (1, date'2025-01-05', 's'), (2, date'2025-01-02', 's') x(k, day, v)")
+    rows = lambda b: sorted((r.k, str(r.day), r.v) for r in merge.merge_pruned(t, b, ["k"], "day").collect())
+    few = rows(s)
+    monkeypatch.setattr(merge, "MOST_DATES", 1)
+    assert rows(s) == few == [(1, "2025-01-01", "t"), (1, "2025-01-05", "s"), (2, "2025-01-02", "s"), (3, "None", "t")]
+    null = spark.sql(f"select *, false {D}, false {O} from values (3, cast(null as date), 's') x(k, day, v)")
+    assert rows(null) == [(1, "2025-01-01", "t"), (2, "2025-01-02", "t"), (3, "None", "s")]
+
+
 def test_dedupe(spark):
     rows = [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d"), (2, 2, "e"), (3, 1, "f"), (None, 1, "g"), (None, 2, "h"), (4, 1, None), (4, 1, None)]
     df = spark.createDataFrame(rows, "k int, at int, v string")
