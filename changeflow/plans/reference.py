@@ -112,7 +112,7 @@ def merge_split_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_null_safe_key(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of which every eleventh is null on both sides: nulls match, one group."""
+    """The key 11 is null on both sides, one row on either: the two nulls match."""
     nulled = lambda df: df.withColumn("o_orderkey", F.when(F.col("o_orderkey") != 11, F.col("o_orderkey")))
     staged = nulled(_orders(spark, d).where("o_orderkey = 11 or o_orderkey % 13 = 0")).withColumns({"o_orderstatus": F.lit("N"), DELETE: F.lit(False), ONLY: F.lit(False)})
     return merge.merge(nulled(base(spark, d)), staged, KEYS, null_safe=True)
