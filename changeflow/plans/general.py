@@ -80,7 +80,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _objects(spark: SparkSession, d: str, details: bool = True, every: bool = False) -> DataFrame:
     t = read_table(spark, d, "doc_messages")
-    return nested.shred(spread(t.select("rec_id", "msg_value"), "rec_id", t), "rec_id", "msg_value", details=details, every=every)
+    return nested.shred(spread(t.select("rec_id", "msg_value"), t), "rec_id", "msg_value", details=details, every=every)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -64,16 +64,20 @@ def plan_bytes(df: DataFrame) -> int | None:
 ENOUGH_TASKS = 20_000
 
 
-def spread(df: DataFrame, key: str, source: DataFrame | None = None, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """Rows dealt out by the hash of ``key`` to as many tasks as the input's size asks for.
+def task_count(source: DataFrame, bytes_per_task: int = 4 << 20) -> int:
+    """Tasks for a step that costs much more CPU than reading ``source``: two a core at least, :data:`ENOUGH_TASKS` at most."""
+    spark = source.sparkSession
+    size = plan_bytes(source)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else -(-size // bytes_per_task)
+    return min(max(tasks, 2 * spark.sparkContext.defaultParallelism), ENOUGH_TASKS)
+
+
+def spread(df: DataFrame, source: DataFrame | None = None, bytes_per_task: int = 4 << 20) -> DataFrame:
+    """Rows dealt out evenly, whatever they hold, to as many tasks as the input's size asks for.
 
     For steps that cost much more CPU than reading: a file split is too coarse a task for
     them, unless the input is so large that there are plenty of splits; then nothing moves.
-    ``key`` should be unique, so that no task gets more than its share.
+    Spark deals in the order of the rows' hashes, so a task that is run again deals alike.
     """
-    spark = df.sparkSession
-    size = plan_bytes(source if source is not None else df)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else -(-size // bytes_per_task)
-    if tasks > ENOUGH_TASKS:
-        return df
-    return df.repartition(max(tasks, 2 * spark.sparkContext.defaultParallelism), key)
+    tasks = task_count(source if source is not None else df, bytes_per_task)
+    return df if tasks >= ENOUGH_TASKS else df.repartition(tasks)
