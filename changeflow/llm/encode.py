@@ -1,9 +1,11 @@
 """Problem 6: encoding a corpus with a public tokenizer, by content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last characters says so, so that equal
-passages of different documents give equal chunks. Each distinct chunk is encoded
-once. A document's ids are its chunks' ids, repaired at every join: the text from
-the last safe boundary before the join to the first one after it is encoded anew.
+passages of different documents give equal chunks. Documents that share passages are
+brought together (by the least hash of their lines), and a task encodes each distinct
+chunk that it meets once. A document's ids are its chunks' ids, repaired at every join:
+the text from the last safe boundary before the join to the first one after it is
+encoded anew. Only texts move, once, and ids are never shuffled.
 
 A safe boundary is a place where the tokenizer's splitter ends a piece whatever
 comes before or after: a space or line feed after a visible character, or a letter
@@ -15,17 +17,15 @@ those of the whole text.
 from __future__ import annotations
 
 import base64
-import hashlib
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread
+from ..shared import task_count
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 AVERAGE_BITS, LEAST, WINDOW_STEPS = 9, 128, 5
@@ -81,127 +81,127 @@ def ends(text: str) -> tuple[int, int]:
     return 0, 0
 
 
-def fingerprint(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf8", "surrogatepass"), digest_size=16).digest()
+#: Characters of distinct chunks that a task keeps with their ids; beyond it forgets them all and begins anew.
+MOST_KEPT = 16_000_000
+#: Ids in one batch of results.
+BATCH_IDS = 2_000_000
+#: Shorter lines say nothing about what a text shares with others.
+LEAST_LINE = 40
+
+#: Ids before a chunk's first safe boundary, between it and the last, and after that; the text of the two ends.
+Coded = tuple[np.ndarray, np.ndarray, np.ndarray, str, str]
+
+
+class ChunkCoder:
+    """Encodes whole texts, each distinct chunk once."""
+
+    def __init__(self, enc, most: int = MOST_KEPT) -> None:  # noqa: ANN001
+        self.enc, self.most, self.kept, self.filled = enc, most, {}, 0
+        self.chunks, self.coded = 0, 0  # met, and encoded
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
+    def chunk(self, text: str) -> Coded | None:
+        """A chunk in three parts; None if it has no safe boundary."""
+        self.chunks += 1
+        if text in self.kept:
+            return self.kept[text]
+        self.coded += 1
+        if self.filled + len(text) > self.most:
+            self.kept, self.filled = {}, 0
+        first, last = ends(text)
+        out = None
+        if first:
+            head, tail = text[:first], text[last:]
+            out = self.ids(head), self.ids(text[first:last]), self.ids(tail), head, tail
+        self.kept[text] = out
+        self.filled += len(text)
+        return out
+
+    def encode(self, text: str) -> list[np.ndarray]:
+        """The ids of a text, in parts."""
+        out: list[np.ndarray] = []
+        open_: list[str] = []  # text since the last safe boundary
+        tail: np.ndarray | None = None  # its ids, if it is one chunk's end
+        at = 0
+        for end in cuts(text):
+            piece = text[at:end]
+            at = end
+            part = self.chunk(piece)
+            if part is None:  # nothing is certain until a safe boundary comes
+                open_.append(piece)
+                tail = None
+                continue
+            out.append(self.ids("".join(open_) + part[3]) if open_ else part[0])
+            out.append(part[1])
+            open_, tail = [part[4]], part[2]
+        if open_:
+            out.append(self.ids("".join(open_)) if tail is None else tail)
+        return out
+
+
+def route_key(text: Column) -> Column:
+    """The least hash of a text's longer lines, else of the whole text: texts that share most lines mostly share it."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LEAST_LINE)
+    return F.coalesce(F.array_min(F.transform(lines, lambda x: F.xxhash64(x))), F.xxhash64(text))
+
+
+def together(slim: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows with similar texts next to each other, in tasks of equal size.
+
+    Ranges of (route, id, input split) are cut by their sizes, so a page with a third of
+    all revisions, or a text with as many copies, is many tasks; rows that are equal in
+    every column are told apart by the split that they come from.
+    """
+    keyed = slim.withColumns({"_route": route_key(F.col(text)), "_tie": F.xxhash64(doc_id), "_split": F.spark_partition_id()})
+    by = ["_route", "_tie", "_split"]
+    return keyed.repartitionByRange(task_count(slim), *by).sortWithinPartitions(*by).drop(*by)
 
 
-_REFS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("copy", pa.int64()), ("k", pa.int32()), ("chunk", pa.binary())])
-_TEXTS = pa.schema([("chunk", pa.binary()), ("chunk_text", pa.string())])
-_CODED = pa.schema([("chunk", pa.binary()), ("part", pa.list_(pa.int32())), ("head", pa.string()), ("head_n", pa.int32()), ("tail", pa.string()), ("tail_n", pa.int32())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_SIZES = pa.schema([("doc_id", pa.int64()), ("size", pa.int64())])
+
 
+def _id_batch(ids: list[int | None], rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+    lengths = [sum(map(len, r)) for r in rows]
+    parts = [p for r in rows for p in r]
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], schema=_IDS)
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def _references(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # A row is told from its repeats by its task and its place among them there.
-    copies: dict[tuple, int] = {}
-    task = TaskContext.get().partitionId() << 32
-    for batch in it:
-        rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            key = fingerprint(text or "")
-            copy = copies[doc_id, key] = copies.get((doc_id, key), task - 1) + 1
-            at = 0
-            for k, end in enumerate(cuts(text or "")):
-                rows.append((doc_id, key, copy, k, fingerprint(text[at:end])))
-                at = end
-            if not text:
-                rows.append((doc_id, key, copy, 0, None))
-        if rows:
-            yield _table(rows, _REFS)
-
-
-def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()  # of one task: its copies are sent on once
-    for batch in it:
-        rows: list[tuple] = []
-        for text in batch.column(0).to_pylist():
-            at = 0
-            for end in cuts(text or ""):
-                if (key := fingerprint(text[at:end])) not in seen:
-                    seen.add(key)
-                    rows.append((key, text[at:end]))
-                at = end
-        if rows:
-            yield _table(rows, _TEXTS)
-
-
-class Joiner:
-    """Appends encoded chunks to a document's ids, encoding anew around each join."""
-
-    def __init__(self, enc) -> None:  # noqa: ANN001
-        self.enc, self.ids, self.open, self.drop = enc, [], [], 0
-
-    def add(self, part: list[int], head: str, head_n: int, tail: str, tail_n: int) -> None:
-        """``head``, ``tail``: the chunk's text before its first and from its last safe boundary; ``head_n`` < 0: it has none, ``head`` is all of it."""
-        if head_n < 0:  # nothing is certain until a safe boundary comes
-            self.open.append(head)
-            return
-        if self.open:
-            self._close(head)
-            self.ids.extend(part[head_n:])
-        else:
-            self.ids.extend(part)
-        self.open, self.drop = [tail], tail_n
-
-    def _close(self, head: str) -> None:
-        if self.drop:
-            del self.ids[-self.drop :]
-        self.ids.extend(self.enc.encode_ordinary("".join(self.open) + head))
-
-    def end(self) -> list[int]:
-        if len(self.open) > 1 or (self.open and not self.drop):
-            self._close("")
-        return self.ids
-
-
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, tokenizer: str = TOKENIZER, sizes: bool = False) -> DataFrame:
     """``doc_id, ids`` (list of int) of every row: ids of the whole text, no special tokens added or read.
 
     A null or empty text has an empty list; a text of any length is encoded whole; a row
-    that occurs twice, or a null id, gives its rows as they come. Other columns are not read.
+    that occurs twice, or a null id, gives its rows as they come. Other columns are not
+    read. With ``sizes``: ``doc_id, size``, how many ids there are.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    slim = spread(slim.withColumn("_deal", F.xxhash64("doc_id", "text")), "_deal", slim).drop("_deal")
 
-    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = coder(vocabulary, tokenizer)
-        for batch in it:
-            rows: list[tuple] = []
-            for key, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first, last = ends(chunk)
-                part = enc.encode_ordinary(chunk)
-                if first:
-                    rows.append((key, part, chunk[:first], len(enc.encode_ordinary(chunk[:first])), chunk[last:], len(enc.encode_ordinary(chunk[last:]))))
-                else:
-                    rows.append((key, [], chunk, -1, "", 0))
-            if rows:
-                yield _table(rows, _CODED)
-
-    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = coder(vocabulary, tokenizer)
-        held, joiner = None, None
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder_ = ChunkCoder(coder(vocabulary, tokenizer))
         for batch in it:
-            done: list[tuple] = []
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for d, key, copy, part, head, head_n, tail, tail_n in zip(*columns, strict=True):
-                if (d, key, copy) != held:
-                    if joiner:
-                        done.append((held[0], joiner.end()))
-                    held, joiner = (d, key, copy), Joiner(enc)
-                if head is not None:
-                    joiner.add(part, head, head_n, tail, tail_n)
-            if done:
-                yield _table(done, _IDS)
-        if joiner:
-            yield _table([(held[0], joiner.end())], _IDS)
-
-    refs = slim.mapInArrow(_references, "doc_id bigint, text_key binary, copy bigint, k int, chunk binary")
-    texts = slim.select("text").mapInArrow(_chunks, "chunk binary, chunk_text string").distinct()
-    coded = texts.mapInArrow(code, "chunk binary, part array<int>, head string, head_n int, tail string, tail_n int")
-    both = refs.join(coded, "chunk", "left").select("doc_id", "text_key", "copy", "k", "part", "head", "head_n", "tail", "tail_n")
-    row = ["doc_id", "text_key", "copy"]
-    return both.repartition(*row).sortWithinPartitions(*row, "k").drop("k").mapInArrow(join, "doc_id bigint, ids array<int>")
+            held_ids: list[int | None] = []
+            held: list[list[np.ndarray]] = []
+            counts: list[int] = []
+            filled = 0
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = coder_.encode(t) if t else []
+                n = sum(map(len, parts))
+                if sizes:
+                    counts.append(n)
+                    continue
+                if held and filled + n > BATCH_IDS:
+                    yield _id_batch(held_ids, held)
+                    held_ids, held, filled = [], [], 0
+                held_ids.append(d)
+                held.append(parts)
+                filled += n
+            if sizes:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], schema=_SIZES)
+            elif held:
+                yield _id_batch(held_ids, held)
+
+    return together(slim).mapInArrow(run, "doc_id bigint, size bigint" if sizes else "doc_id bigint, ids array<int>")

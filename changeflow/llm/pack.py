@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize, spread
-from .encode import TOKENIZER, coder
+from ..shared import materialize
+from .encode import encode
 
 #: A filling: sizes with their counts, and how many containers are filled so.
 Filling = tuple[dict[int, int], int]
@@ -213,40 +213,40 @@ class Places:
         return out
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, size``: tokens of each whole text; 0 for a null or empty one."""
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    slim = spread(slim.withColumn("_deal", F.xxhash64("doc_id", "text")), "_deal", slim).drop("_deal")
+def token_counts(docs: DataFrame, **tokens) -> DataFrame:  # noqa: ANN003
+    """``doc_id, size, salt``: tokens of each whole text, 0 for a null or empty one, as :func:`encode` counts them; ``salt`` tells equal rows apart."""
+    return encode(docs, sizes=True, **tokens).withColumn("salt", F.spark_partition_id())
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = coder(vocabulary, tokenizer)
-        for batch in it:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "size"])
-
-    return slim.mapInArrow(count, "doc_id bigint, size bigint")
 
-
-def pack(sizes: DataFrame, capacities: DataFrame, most_kinds: int = 1_000, rows_per_slice: int = 1_000_000) -> DataFrame:
+def pack(sizes: DataFrame, capacities: DataFrame, kinds_at_once: int = 100, rows_per_slice: int = 1_000_000) -> DataFrame:
     """Place every item in a container of each kind: ``bin_kind, doc_id, piece_no, bin_id, start_token, n_tokens``.
 
     ``sizes``: ``doc_id, size`` (a null size counts as 0; a written table, as it is read
-    several times); ``capacities``: ``bin_kind, capacity_tokens``, one row a kind, a
-    configuration of at most ``most_kinds`` rows. A kind with a null or non-positive capacity has no
+    several times) and, if rows may be equal or ids null, ``salt`` that deals such rows to
+    slices; ``capacities``: ``bin_kind, capacity_tokens``, a configuration, solved
+    ``kinds_at_once`` kinds in one plan. A kind with a null or non-positive capacity has no
     containers. An item no larger than the capacity is one piece; a larger one is cut
     into full containers of its own and one piece of what remains. Items of size 0 are dealt
     out over the containers. Repeated rows are items of their own; null ids are kept.
+    The driver holds a histogram of at most ``capacity`` entries a kind, whatever the number of items.
     """
-    kinds = [(r.bin_kind, int(r.capacity_tokens)) for r in capacities.where("capacity_tokens > 0").distinct().orderBy("bin_kind", "capacity_tokens").limit(most_kinds + 1).collect()]
-    if len(kinds) > most_kinds:
-        raise ValueError(f"more than {most_kinds} kinds of containers")
+    kinds = [(r.bin_kind, int(r.capacity_tokens)) for r in capacities.where("capacity_tokens > 0").distinct().orderBy("bin_kind", "capacity_tokens").collect()]
     spark = sizes.sparkSession
-    schema = "bin_kind string, doc_id bigint, piece_no bigint, bin_id bigint, start_token bigint, n_tokens bigint"
     if not kinds:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "bin_kind string, doc_id bigint, piece_no bigint, bin_id bigint, start_token bigint, n_tokens bigint")
+    parts = [_pack(sizes, kinds[i : i + kinds_at_once], rows_per_slice) for i in range(0, len(kinds), kinds_at_once)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _pack(sizes: DataFrame, kinds: list[tuple[str, int]], rows_per_slice: int) -> DataFrame:
+    spark = sizes.sparkSession
     size = F.coalesce(F.col("size"), F.lit(0))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(c).cast("bigint").alias("cap")) for i, (_, c) in enumerate(kinds)])).alias("k")
-    items = sizes.select("doc_id", size.alias("size"), each).select("doc_id", "k.kind", (F.col("size") % F.col("k.cap")).alias("rest"), F.expr("size div k.cap").alias("full"))
+    salt = F.col("salt") if "salt" in sizes.columns else F.lit(0)
+    items = sizes.select("doc_id", salt.alias("salt"), size.alias("size"), each).select("doc_id", "salt", "k.kind", (F.col("size") % F.col("k.cap")).alias("rest"), F.expr("size div k.cap").alias("full"))
     found = items.groupBy("kind", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full"), F.count_if(F.col("full") == 0).alias("whole")).collect()
     counts: list[dict[int, int]] = [{} for _ in kinds]
     full, nothing, total = [0] * len(kinds), [0] * len(kinds), 0
@@ -260,8 +260,8 @@ def pack(sizes: DataFrame, capacities: DataFrame, most_kinds: int = 1_000, rows_
     places = [Places(solve(counts[i], c)) for i, (_, c) in enumerate(kinds)]
     held = [max(p.containers, 1) if n else p.containers for p, n in zip(places, nothing, strict=True)]
 
-    slices = int(min(max(total // rows_per_slice, 16), 4096))
-    dealt = items.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    slices = max(total // rows_per_slice, 16)
+    dealt = items.withColumn("slice", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(slices)).cast("int"))
     per = dealt.groupBy("kind", "rest", "slice").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
     before = Window.partitionBy("kind", "rest").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     at = per.select("kind", "rest", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"))
@@ -279,7 +279,10 @@ def pack(sizes: DataFrame, capacities: DataFrame, most_kinds: int = 1_000, rows_
         (F.col("f0") + F.sum("full").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")).alias("f_rank"),
     )
 
+    shared = spark.sparkContext.broadcast((places, held, tops))
+
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, held, tops = shared.value
         for batch in it:
             kind, rest, full_, rank, f_rank = (np.asarray(batch.column(c)) for c in ("kind", "rest", "full", "rank", "f_rank"))
             bin_id, top = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)

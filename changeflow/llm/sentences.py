@@ -869,7 +869,7 @@ def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     Counts cover all rows; ``sample`` bounds the documents that the model is trained on.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = spread(slim.withColumn("_deal", F.xxhash64("doc_id", "text")), "_deal", slim).drop("_deal")
+    dealt = spread(slim)
     counts = corpus_counts(dealt.select("text"))
     model = train(slim.select("text"), counts, slim.count(), sample)
     schema = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from changeflow.llm import encode
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 tokens = pytest.importorskip("public_tokenizers")
 
@@ -11,19 +13,10 @@ def enc():
     return encode.coder()
 
 
-def joined(text, enc, at):
-    j = encode.Joiner(enc)
-    start = 0
-    for end in at:
-        chunk = text[start:end]
-        start = end
-        first, last = encode.ends(chunk)
-        if first:
-            size = lambda s: len(enc.encode_ordinary(s))
-            j.add(enc.encode_ordinary(chunk), chunk[:first], size(chunk[:first]), chunk[last:], size(chunk[last:]))
-        else:
-            j.add([], chunk, -1, "", 0)
-    return j.end()
+def joined(text, enc, at, monkeypatch):
+    monkeypatch.setattr(encode, "cuts", lambda t: at)
+    parts = encode.ChunkCoder(enc).encode(text)
+    return [i for p in parts for i in p.tolist()]
 
 
 PIECES = st.sampled_from(["don't", "'re", "'", "’", " ", "  ", "\n", "\r\n", "\t", " ", "​", "a", "ab", "Über", "é", "12", "3.5", "...", "?!", "中文字", "。", "ไทย", "ा", "हिन्दी", "🤪", "<|endoftext|>", "\x1c", "ﬁ", "x" * 30])
@@ -34,7 +27,29 @@ PIECES = st.sampled_from(["don't", "'re", "'", "’", " ", "  ", "\n", "\r\n", "
 def test_joins_at_any_place_give_the_ids_of_the_whole_text(text, data):
     enc = encode.coder()
     at = sorted(data.draw(st.sets(st.integers(1, max(1, len(text) - 1)), max_size=8))) if len(text) > 1 else []
-    assert joined(text, enc, [*at, len(text)] if text else []) == enc.encode_ordinary(text)
+    with pytest.MonkeyPatch.context() as m:
+        assert joined(text, enc, [*at, len(text)] if text else [], m) == enc.encode_ordinary(text)
+
+
+def test_a_chunk_is_encoded_once_and_forgetting_changes_nothing(enc):
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    page = " ".join(r.choice(words) for _ in range(2000))
+    texts = [page, page + " More.", "Before it. " + page, page]
+    for most in (encode.MOST_KEPT, 100):
+        c = encode.ChunkCoder(enc, most)
+        for t in texts:
+            assert [i for p in c.encode(t) for i in p.tolist()] == enc.encode_ordinary(t)
+        if most > 100:
+            assert c.coded < 0.4 * c.chunks
+
+
+def test_sizes_are_the_numbers_of_ids(spark, enc):
+    df = spark.createDataFrame([(1, "Hello there. " * 99), (2, None), (None, ""), (1, "Hello there. " * 99)], "doc_id bigint, text string")
+    n = len(enc.encode_ordinary("Hello there. " * 99))
+    assert sorted((r.doc_id or 0, r.size) for r in encode.encode(df, sizes=True).collect()) == [(0, 0), (1, n), (1, n), (2, 0)]
 
 
 def test_cuts_depend_on_content_only():
@@ -60,13 +75,20 @@ def test_all_rows_come_back(spark, enc):
     assert encode.encode(df.limit(0)).count() == 0
 
 
-def test_without_dealing_out(spark, enc, monkeypatch):
-    """Inputs with plenty of splits are read where they lie; repeats in different tasks stay apart."""
-    monkeypatch.setattr(encode, "spread", lambda df, *a, **k: df)
-    text = "The same words again. " * 40
-    df = spark.createDataFrame([(1, text)] * 3 + [(2, "x")], "doc_id bigint, text string").repartition(3)
-    got = sorted((r.doc_id, tuple(r.ids)) for r in encode.encode(df).collect())
-    assert got == [(1, tuple(enc.encode_ordinary(text)))] * 3 + [(2, tuple(enc.encode_ordinary("x")))]
+def test_small_batches_of_ids(spark, enc, monkeypatch):
+    monkeypatch.setattr(encode, "BATCH_IDS", 50)
+    parts = [np.arange(30, dtype=np.int32), np.arange(5, dtype=np.int32)]
+    b = encode._id_batch([1, None, 2], [parts, [], [parts[1]]])
+    assert b.column(1).to_pylist() == [[*range(30), *range(5)], [], [*range(5)]]
+
+
+def test_copies_of_one_text_and_equal_rows_are_many_tasks(spark):
+    text = "A line that is long enough to be the route of its text.\n" * 3
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    n = encode.together(df).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert n < 20_000 / 2
+    same = spark.range(0, 20_000, 1, 8).select(F.lit(1).alias("doc_id"), F.lit(text).alias("text"))
+    assert encode.together(same).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 20_000 / 2
 
 
 def test_the_library_agrees(spark, data):

@@ -1,7 +1,6 @@
 import itertools
 from collections import Counter
 
-import pytest
 from changeflow.llm import pack
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,8 +114,17 @@ def test_one_size_and_slices(spark):
 def test_nothing_to_place(spark):
     assert placed(spark, [], [("ten", 10)]) == [] and placed(spark, [(1, 5)], []) == []
     assert [(r.bin_id, r.n_tokens) for r in placed(spark, [(1, 0), (2, None)], [("ten", 10)])] == [(0, 0), (0, 0)]
-    with pytest.raises(ValueError):
-        placed(spark, [(1, 1)], [(str(i), 5) for i in range(4)], most_kinds=3)
+
+
+def test_kinds_in_several_plans(spark):
+    rows = placed(spark, [(1, 1), (2, 7)], [(str(i), 5) for i in range(4)], kinds_at_once=3)
+    assert Counter((r.bin_kind, r.doc_id) for r in rows) == {(str(k), d): n for k in range(4) for d, n in ((1, 1), (2, 2))}
+
+
+def test_equal_rows_are_told_apart_by_their_salt(spark):
+    df = spark.createDataFrame([(None, 5, s % 3) for s in range(40)] + [(1, 5, s % 3) for s in range(40)], "doc_id bigint, size bigint, salt int")
+    caps = spark.createDataFrame([("ten", 10)], "bin_kind string, capacity_tokens int")
+    assert Counter(Counter(r.bin_id for r in pack.pack(df, caps).collect()).values()) == {2: 40}
 
 
 def test_documents(spark, data):
