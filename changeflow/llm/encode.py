@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import task_count
+from ..shared import spread, task_count
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 AVERAGE_BITS, LEAST, WINDOW_STEPS = 9, 128, 5
@@ -50,14 +50,14 @@ def cuts(text: str) -> list[int]:
     n = len(text)
     if n <= LEAST:
         return [n] if n else []
-    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(0x9E3779B9)
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
     for step in range(WINDOW_STEPS):
         w = 1 << step
-        h[w:] = h[w:] + h[:-w] * np.uint64(0x100000001B3**w & 0xFFFFFFFFFFFFFFFF)
-    h ^= h >> np.uint64(29)
+        h[w:] = h[w:] + h[:-w] * np.uint32(0x01000193**w & 0xFFFFFFFF)
+    h ^= h >> np.uint32(15)
     out, last = [], 0
-    for i in np.flatnonzero((h & np.uint64((1 << AVERAGE_BITS) - 1)) == 0).tolist():
+    for i in np.flatnonzero((h & np.uint32((1 << AVERAGE_BITS) - 1)) == 0).tolist():
         if i + 1 - last >= LEAST and i + 1 < n:
             out.append(i + 1)
             last = i + 1
@@ -100,7 +100,7 @@ class ChunkCoder:
         self.chunks, self.coded = 0, 0  # met, and encoded
 
     def ids(self, text: str) -> np.ndarray:
-        return self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        return np.array(self.enc.encode_ordinary(text), np.int32)
 
     def chunk(self, text: str) -> Coded | None:
         """A chunk in three parts; None if it has no safe boundary."""
@@ -171,12 +171,11 @@ def _id_batch(ids: list[int | None], rows: list[list[np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], schema=_IDS)
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, tokenizer: str = TOKENIZER, sizes: bool = False) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, ids`` (list of int) of every row: ids of the whole text, no special tokens added or read.
 
     A null or empty text has an empty list; a text of any length is encoded whole; a row
-    that occurs twice, or a null id, gives its rows as they come. Other columns are not
-    read. With ``sizes``: ``doc_id, size``, how many ids there are.
+    that occurs twice, or a null id, gives its rows as they come. Other columns are not read.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
@@ -185,23 +184,30 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
         for batch in it:
             held_ids: list[int | None] = []
             held: list[list[np.ndarray]] = []
-            counts: list[int] = []
             filled = 0
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = coder_.encode(t) if t else []
                 n = sum(map(len, parts))
-                if sizes:
-                    counts.append(n)
-                    continue
                 if held and filled + n > BATCH_IDS:
                     yield _id_batch(held_ids, held)
                     held_ids, held, filled = [], [], 0
                 held_ids.append(d)
                 held.append(parts)
                 filled += n
-            if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], schema=_SIZES)
-            elif held:
+            if held:
                 yield _id_batch(held_ids, held)
 
-    return together(slim).mapInArrow(run, "doc_id bigint, size bigint" if sizes else "doc_id bigint, ids array<int>")
+    return together(slim).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id, size``: how many ids :func:`encode` gives each row; counted on the whole texts, as a number needs no chunks put together."""
+    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = coder(vocabulary, tokenizer)
+        for batch in it:
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], schema=_SIZES)
+
+    return spread(slim).mapInArrow(run, "doc_id bigint, size bigint")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize
-from .encode import encode
+from .encode import token_counts
 
 #: A filling: sizes with their counts, and how many containers are filled so.
 Filling = tuple[dict[int, int], int]
@@ -213,11 +213,6 @@ class Places:
         return out
 
 
-def token_counts(docs: DataFrame, **tokens) -> DataFrame:  # noqa: ANN003
-    """``doc_id, size, salt``: tokens of each whole text, 0 for a null or empty one, as :func:`encode` counts them; ``salt`` tells equal rows apart."""
-    return encode(docs, sizes=True, **tokens).withColumn("salt", F.spark_partition_id())
-
-
 def pack(sizes: DataFrame, capacities: DataFrame, kinds_at_once: int = 100, rows_per_slice: int = 1_000_000) -> DataFrame:
     """Place every item in a container of each kind: ``bin_kind, doc_id, piece_no, bin_id, start_token, n_tokens``.
 
@@ -301,8 +296,8 @@ def _pack(sizes: DataFrame, kinds: list[tuple[str, int]], rows_per_slice: int) -
 
 
 def pack_documents(docs: DataFrame, capacities: DataFrame, **tokens) -> DataFrame:  # noqa: ANN003
-    """:func:`pack` of documents by their token counts, which are written once to the shared folder."""
-    return pack(materialize(token_counts(docs, **tokens), "sizes"), capacities)
+    """:func:`pack` of documents by their token counts, which are written once to the shared folder, each with the task that counted it to tell equal rows apart."""
+    return pack(materialize(token_counts(docs, **tokens).withColumn("salt", F.spark_partition_id()), "sizes"), capacities)
 
 
 def report(placed: DataFrame, capacities: DataFrame) -> DataFrame:

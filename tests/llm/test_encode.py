@@ -49,7 +49,7 @@ def test_a_chunk_is_encoded_once_and_forgetting_changes_nothing(enc):
 def test_sizes_are_the_numbers_of_ids(spark, enc):
     df = spark.createDataFrame([(1, "Hello there. " * 99), (2, None), (None, ""), (1, "Hello there. " * 99)], "doc_id bigint, text string")
     n = len(enc.encode_ordinary("Hello there. " * 99))
-    assert sorted((r.doc_id or 0, r.size) for r in encode.encode(df, sizes=True).collect()) == [(0, 0), (1, n), (1, n), (2, 0)]
+    assert sorted((r.doc_id or 0, r.size) for r in encode.token_counts(df).collect()) == [(0, 0), (1, n), (1, n), (2, 0)]
 
 
 def test_cuts_depend_on_content_only():
