@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pandas as pd
@@ -22,8 +22,8 @@ def integer(c: Column) -> Column:
 
 
 def binary(c: Column) -> Column:
-    """Bytes from base64 text; null for the unavailable value."""
-    return F.when(c != UNAVAILABLE, F.unbase64(c))
+    """Bytes from base64 text; null for the unavailable value and for text that is no base64."""
+    return F.when(~is_unavailable(c), F.try_to_binary(c, F.lit("base64")))
 
 
 def is_unavailable(c: Column) -> Column:
@@ -38,13 +38,20 @@ def date(days: Column) -> Column:
 
 
 def _micros(c: Column, unit: str) -> Column:
-    return (c * 1000 if unit == "ms" else c if unit == "us" else F.call_function("div", c, F.lit(1000))).cast("bigint")
+    c = c.try_cast("bigint")
+    return F.try_multiply(c, F.lit(1000).cast("bigint")) if unit == "ms" else c if unit == "us" else F.call_function("div", c, F.lit(1000)).cast("bigint")
+
+
+def _wall_clock(micros: Column) -> Column:
+    """Microseconds since the epoch as a timestamp without zone, that of UTC whatever the session's zone."""
+    seconds = (micros.cast("decimal(18,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def clock(c: Column, unit: str) -> Column:
     """Time of day as ``HH:mm:ss.SSSSSS`` from ``ms``, ``us`` or ``ns`` since midnight; nanoseconds are cut."""
-    micros = _micros(c, unit)
-    return F.date_format(F.timestamp_micros(micros).cast("timestamp_ntz"), "HH:mm:ss.SSSSSS")
+    return F.date_format(_wall_clock(_micros(c, unit)), "HH:mm:ss.SSSSSS")
 
 
 def zoned_clock(c: Column) -> Column:
@@ -54,10 +61,10 @@ def zoned_clock(c: Column) -> Column:
     return F.when(m != "", F.concat(m, F.lit("."), F.rpad(part, 6, "0")))
 
 
-def timestamp(c: Column, unit: str) -> Column:
-    """Timestamp without zone from ``ms``, ``us`` or ``ns`` since the epoch; null beyond the year 9999."""
+def timestamp(c: Column, unit: str, utc: bool = False) -> Column:
+    """Timestamp without zone (with ``utc`` one with it) from ``ms``, ``us`` or ``ns`` since the epoch; null beyond the year 9999 and for what 64 bits don't hold."""
     micros = _micros(c, unit)
-    return F.when(micros < _END_MICROS, F.timestamp_micros(micros).cast("timestamp_ntz"))
+    return F.when(micros < _END_MICROS, F.timestamp_micros(micros) if utc else _wall_clock(micros))
 
 
 def zoned_timestamp(c: Column) -> Column:
@@ -66,55 +73,106 @@ def zoned_timestamp(c: Column) -> Column:
     return F.when(~odd & c.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), c.try_cast("timestamp"))
 
 
+_BASE, _STEP = 1_000_000_000, 1 << 28
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _limbs(bits: Column) -> Column:
+    """A hexadecimal number of any length in limbs of nine decimal digits, the lowest first; seven hexadecimal digits are taken in at a time."""
+    longs = F.array().cast("array<bigint>")
+    # The first piece is the shorter one.
+    pieces = _let(bits, lambda h: F.transform(F.sequence(F.floor((F.length(h) - 1) / 7).cast("int"), F.lit(0)), lambda i: F.conv(F.substring(h, F.greatest(F.length(h) - 7 * (i + 1), F.lit(0)) + 1, F.least(F.lit(7), F.length(h) - 7 * i)), 16, 10).cast("bigint")))
+
+    def one(s: Column, limb: Column) -> Column:
+        return _let(limb * _STEP + s["carry"], lambda t: F.struct(F.call_function("div", t, F.lit(_BASE)).cast("bigint").alias("carry"), F.concat(s["out"], F.array((t % _BASE).cast("bigint"))).alias("out")))
+
+    def take(limbs: Column, piece: Column) -> Column:
+        return _let(F.aggregate(limbs, F.struct(piece.alias("carry"), longs.alias("out")), one), lambda s: F.when(s["carry"] > 0, F.concat(s["out"], F.array(s["carry"]))).otherwise(s["out"]))
+
+    return F.aggregate(pieces, longs, take)
+
+
+def _digits_of(limbs: Column) -> Column:
+    return _let(limbs, lambda l: F.when(F.size(l) == 0, F.lit("0")).otherwise(F.array_join(F.transform(F.reverse(l), lambda x, i: F.when(i == 0, x.cast("string")).otherwise(F.lpad(x.cast("string"), 9, "0"))), "")))
+
+
+def _plus_one(limbs: Column) -> Column:
+    """Limbs of the number after: the first one that isn't all nines goes up, those before it go to 0."""
+
+    def step(s: Column, x: Column) -> Column:
+        return F.when(s["up"] & (x == _BASE - 1), F.struct(F.lit(True).alias("up"), F.concat(s["out"], F.array(F.lit(0).cast("bigint"))).alias("out"))).otherwise(
+            F.struct(F.lit(False).alias("up"), F.concat(s["out"], F.array(x + s["up"].cast("bigint"))).alias("out"))
+        )
+
+    done = F.aggregate(limbs, F.struct(F.lit(True).alias("up"), F.array().cast("array<bigint>").alias("out")), step)
+    return _let(done, lambda s: F.when(s["up"], F.concat(s["out"], F.array(F.lit(1).cast("bigint")))).otherwise(s["out"]))
+
+
+def _long_text(raw: Column) -> Column:
+    """A two's complement number of more than eight bytes, in hexadecimal, as text."""
+    # Minus n is the complement of n - 1.
+    below = _digits_of(_plus_one(_limbs(F.translate(raw, "0123456789ABCDEF", "FEDCBA9876543210"))))
+    return F.when(_negative(raw), F.concat(F.lit("-"), below)).otherwise(_digits_of(_limbs(raw)))
+
+
+def _negative(raw: Column) -> Column:
+    return F.substring(raw, 1, 1).isin(*"89ABCDEF")
+
+
+def _short(raw: Column) -> Column:
+    """A two's complement number of up to eight bytes, in hexadecimal, as bigint."""
+    return F.conv(F.when(_negative(raw), F.lpad(raw, 16, "F")).otherwise(raw), 16, -10).try_cast("bigint")
+
+
+def _whole_text(c: Column) -> Column:
+    """A base64 big-endian two's complement number of any length as text; null for what is none."""
+    raw = F.hex(F.try_to_binary(c, F.lit("base64")))
+    n = F.length(raw)
+    return F.when(n.between(2, 16), _short(raw).cast("string")).when(n > 16, _let(raw, _long_text))
+
+
 def fixed_decimal(c: Column, scale: int, precision: int = 38) -> Column:
-    """Base64 of a big-endian two's complement number of up to 16 bytes, as decimal(precision, scale).
+    """Base64 of a big-endian two's complement number of any length, as decimal(precision, scale).
 
-    In 32-bit limbs, so it stays in the JVM; null if the bytes or the digits don't fit.
+    Null if the digits don't fit, or if the text is no base64 or empty.
     """
-    digits = F.hex(F.unbase64(c))
-    negative = F.substring(digits, 1, 1).isin(*"89ABCDEF")
-    padded = F.when(negative, F.lpad(digits, 32, "F")).otherwise(F.lpad(digits, 32, "0"))
-    bits = F.when(negative, F.translate(padded, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(padded)
-    limb = lambda i: F.conv(F.substring(bits, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
-    power = lambda n: F.lit(Decimal(2**n)).cast("decimal(30,0)")
-    magnitude = (limb(0).cast("decimal(10,0)") * power(96)).cast("decimal(38,0)")
-    for i, n in ((1, 64), (2, 32)):
-        magnitude = (magnitude + (limb(i).cast("decimal(10,0)") * power(n)).cast("decimal(38,0)")).cast("decimal(38,0)")
-    magnitude = (magnitude + limb(3)).cast("decimal(38,0)")
-    value = F.when(negative, (F.lit(Decimal(0)).cast("decimal(38,0)") - magnitude - 1).cast("decimal(38,0)")).otherwise(magnitude)
-    text = value.cast("string")
-    if scale:
-        padded_text = F.regexp_replace(text, r"^(-?)(\d+)$", "$1" + "0" * scale + "$2")
-        text = F.regexp_replace(padded_text, rf"^(-?)0*(\d+?)(\d{{{scale}}})$", "$1$2.$3")
-    return F.when(F.length(digits).between(2, 32), text.try_cast(f"decimal({precision},{scale})"))
+    kind = f"decimal({precision},{scale})"
+    long_ = any_decimal(c, F.lit(scale)).try_cast(kind)
+    if scale > 18:
+        return long_
+    # Up to eight bytes: a bigint and a shift of the point, no text.
+    raw = F.hex(F.try_to_binary(c, F.lit("base64")))
+    moved = (_short(raw).cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")).try_cast(kind)
+    return F.when(F.length(raw).between(2, 16), moved).when(F.length(raw) > 16, long_)
 
 
-@F.pandas_udf(T.StringType())
-def _any_decimal(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    import base64
+def any_decimal(value: Column, scale: Column) -> Column:
+    """Base64 number of any length with its scale, as plain text (never with an exponent); null without either or for what is no base64."""
+    k = scale.try_cast("int")
 
-    def one(text: str | None, scale: float | None) -> str | None:
-        if text is None or scale is None or scale != scale:
-            return None
-        try:
-            n = int.from_bytes(base64.b64decode(text), "big", signed=True)
-        except ValueError:
-            return None
-        s, k = str(abs(n)), int(scale)
-        if k > 0:
-            s = s.rjust(k + 1, "0")
-            s = f"{s[:-k]}.{s[-k:]}"
-        elif k < 0:
-            s += "0" * -k
-        return ("-" if n < 0 else "") + s
+    def pointed(whole: Column) -> Column:
+        def place(digits: Column) -> Column:
+            at = F.length(digits) - k
+            text = (
+                F.when(k > 0, F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, k)))
+                .when((k < 0) & (digits != "0"), F.concat(digits, F.repeat(F.lit("0"), -k))).otherwise(digits)
+            )
+            return F.when(whole.startswith("-"), F.concat(F.lit("-"), text)).otherwise(text)
 
-    for v, s in values:
-        yield pd.Series([one(a, b) for a, b in zip(v, s, strict=True)], dtype=object)
+        digits = F.ltrim(whole, F.lit("-"))
+        return _let(F.lpad(digits, F.greatest(F.length(digits), k + 1), F.lit("0")), place)
 
+    return F.when(k.isNotNull(), _let(_whole_text(value), pointed))
 
-def any_decimal(value: Column, scale: Column) -> Column:
-    """Base64 number of any length with its scale, as plain text (never with an exponent)."""
-    return _any_decimal(value, scale.cast("int"))
+
+def encode_decimal(c: Column, scale: int) -> Column:
+    """A decimal as :func:`fixed_decimal` reads it, eight bytes long, rescaled half up; null beyond 18 digits."""
+    unscaled = F.round(c.cast("decimal(38,18)") * F.lit(10**scale).cast("decimal(19,0)"), 0).try_cast("decimal(18,0)").cast("bigint")
+    return F.base64(F.unhex(F.lpad(F.hex(unscaled), 16, "0")))
 
 
 def variable_decimal(c: Column) -> Column:
@@ -137,9 +195,16 @@ def bits(c: Column) -> Column:
     return c
 
 
-def text_array(c: Column) -> Column:
-    """A JSON list as list of text, objects in it as JSON; a lone value as a list of one; the lone placeholder is null."""
+def text_array(c: Column, item: dict | None = None) -> Column:
+    """A JSON list as list of text, objects in it as JSON; a lone value as a list of one; the lone placeholder is null.
+
+    ``item``: the field of the elements as the envelope has it (``type, name, parameters,
+    items``); each is decoded by it. A list in a list is a list in JSON.
+    """
     items = F.from_json(c, "array<string>")
+    if item and (item.get("name") in ELEMENT_DECODERS or item.get("type") in ELEMENT_DECODERS or item.get("name") == DECIMAL or item.get("type") == "array"):
+        each = (lambda x: F.to_json(text_array(x, item.get("items")))) if item.get("type") == "array" else (lambda x: decode(x, item.get("name"), item.get("type"), item.get("parameters")).cast("string"))
+        items = F.transform(items, each)
     return F.when(is_unavailable(c), F.lit(None)).when(F.ltrim(c).startswith("["), items).when(c.isNotNull(), F.array(c))
 
 
@@ -255,12 +320,32 @@ DECODERS = {
 }
 
 
-def decode(c: Column, logical: str | None, plain: str, parameters: dict[str, str] | None = None) -> Column:
-    """A field's JSON text in its Spark type, by its logical type, else its plain type."""
-    if logical == "org.apache.kafka.connect.data.Decimal":
+DECIMAL = "org.apache.kafka.connect.data.Decimal"
+#: Logical types without a zone that ``force_utc`` gives one, with their units.
+_WITHOUT_ZONE = {"io.debezium.time.Timestamp": "ms", "org.apache.kafka.connect.data.Timestamp": "ms", "io.debezium.time.MicroTimestamp": "us", "io.debezium.time.NanoTimestamp": "ns"}
+#: Types whose elements in a list need decoding; the others' text is the value.
+ELEMENT_DECODERS = {k for k in DECODERS if k.startswith(("io.debezium.time.", "org.apache.kafka.connect.data.")) and not k.endswith("Interval")} | {"io.debezium.data.VariableScaleDecimal", "io.debezium.data.Json", "io.debezium.data.geometry.Point"}
+
+
+def decode(c: Column, logical: str | None, plain: str, parameters: dict[str, str] | None = None, items: dict | None = None, compressed: bool = False, force_utc: bool = False) -> Column:
+    """A field's JSON text in its Spark type, by its logical type, else its plain type.
+
+    ``items``: the field of a list's elements. ``compressed``: the value is base64 of
+    gzip; the placeholder stays as it is. ``force_utc``: timestamps without a zone get UTC.
+    """
+    if compressed:
+        packed = gunzip(c)
+        if plain == "bytes" and not logical:
+            return F.when(~is_unavailable(c), packed)
+        c = F.when(is_unavailable(c), c).otherwise(packed.cast("string"))
+    if logical == DECIMAL:
         p = parameters or {}
         digits = int(p.get("connect.decimal.precision", 38))
         if digits > 38:
             return any_decimal(c, F.lit(int(p.get("scale", 0))))
         return fixed_decimal(c, int(p.get("scale", 0)), digits)
+    if plain == "array" and not logical:
+        return text_array(c, items)
+    if force_utc and logical in _WITHOUT_ZONE:
+        return timestamp(integer(c), _WITHOUT_ZONE[logical], utc=True)
     return DECODERS.get(logical or plain, DECODERS.get(plain, lambda x: x))(c)

@@ -175,6 +175,26 @@ def convert(c: Column, kind: Kind, bad: str = "null") -> Column:
     return F.when(c.isNotNull() & v.isNull(), F.raise_error(F.concat(F.lit(f"no {kind.name}: "), c)).cast(spark_type(kind))).otherwise(v)
 
 
-def text_list(c: Column) -> Column:
-    """Each element of a list as text; maps and structs as JSON."""
-    return F.transform(c, lambda x: x.cast("string"))
+def text_list(c: Column, kind: T.DataType | None = None) -> Column:
+    """Each element of a list as text; maps, structs and lists as JSON; a value that is no list as a list of one.
+
+    ``kind``: the column's type; without it a list of plain values.
+    """
+    if kind is not None and not isinstance(kind, T.ArrayType):
+        return F.when(c.isNotNull(), F.array(_as_text(c, kind)))
+    return F.transform(c, lambda x: _as_text(x, kind.elementType if kind is not None else None))
+
+
+def _as_text(x: Column, kind: T.DataType | None) -> Column:
+    return F.to_json(x) if isinstance(kind, T.StructType | T.MapType | T.ArrayType) or (kind is not None and kind.typeName() == "variant") else x.cast("string")
+
+
+def float32(c: Column) -> Column:
+    """A number as a 32-bit float; null if it is none or too large for one."""
+    v = c.try_cast("double")
+    return F.when(F.abs(v) <= F.lit(3.4028234663852886e38), v.cast("float"))
+
+
+def approximate_bytes(*columns: str) -> Column:
+    """About how many bytes a row's values take: the length of its JSON."""
+    return F.octet_length(F.to_json(F.struct(*columns)))

@@ -86,76 +86,7 @@ WIDTHS = {
 }
 #: The longest text that may be a key.
 KEY_LENGTHS = {"mssql": 900, "mysql": 255}
-_DIGITS = 38
-
-
-@dataclass(frozen=True)
-class Kind:
-    """A logical type: ``name`` with the modifiers that apply to it."""
-
-    name: str
-    precision: int | None = None  # of a decimal; None: not specified
-    scale: int | None = None
-    width: str | None = None  # of an int: small, integer, big
-    length: int | None = None  # of a string
-    element: str | None = None  # of an array
-
-
-INVALID, BOOL, INT, FLOAT, DECIMAL, STRING, STRUCT, ARRAY, BYTES, DATE, TIME, NTZ, TZ, UUID, INTERVAL = (
-    Kind(n) for n in ("invalid", "bool", "int", "float", "decimal", "string", "struct", "array", "bytes", "date", "time", "timestamp_ntz", "timestamp_tz", "uuid", "interval")
-)
-
-
-def decimal_kind(precision: int | None, scale: int | None = None) -> Kind:
-    """A decimal; a scale above the precision raises the precision to one more than the scale."""
-    if precision is not None and scale is not None and scale > precision:
-        precision = scale + 1
-    return Kind("decimal", precision, scale)
-
-
-def spark_type(kind: Kind) -> T.DataType:
-    """The column type that stores a kind; structs are JSON text, decimals that don't fit are text."""
-    if kind.name == "int":
-        return {"small": T.ShortType(), "integer": T.IntegerType()}.get(kind.width, T.LongType())
-    if kind.name == "decimal":
-        if kind.precision is None or kind.precision > MAX_DIGITS or kind.precision < 1:
-            return T.StringType()
-        return T.DecimalType(kind.precision, kind.scale or 0)
-    simple = {
-        "invalid": T.NullType(), "bool": T.BooleanType(), "float": T.DoubleType(), "array": T.ArrayType(T.StringType()),
-        "bytes": T.BinaryType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(), "timestamp_tz": T.TimestampType(),
-    }
-    return simple.get(kind.name, T.StringType())
-
-
-def kind_of(t: T.DataType) -> Kind:
-    """The kind that a Spark type stands for."""
-    if isinstance(t, T.DecimalType):
-        return Kind("decimal", t.precision, t.scale)
-    by = [
-        (T.NullType, INVALID), (T.BooleanType, BOOL), (T.ByteType, Kind("int", width="small")), (T.ShortType, Kind("int", width="small")),
-        (T.IntegerType, Kind("int", width="integer")), (T.LongType, Kind("int", width="big")), (T.FloatType, FLOAT), (T.DoubleType, FLOAT),
-        (T.BinaryType, BYTES), (T.DateType, DATE), (T.TimestampNTZType, NTZ), (T.TimestampType, TZ),
-        (T.ArrayType, ARRAY), (T.MapType, STRUCT), (T.StructType, STRUCT),
-    ]
-    return next((k for c, k in by if isinstance(t, c)), STRUCT if t.typeName() == "variant" else STRING)
-
-
-#: The type text of each dialect for each kind (int widths and unspecified decimals apart).
-TYPE_TEXT = {
-    "spark": {"bool": "BOOLEAN", "int": "BIGINT", "float": "DOUBLE", "decimal": "STRING", "string": "STRING", "struct": "STRING", "array": "STRING", "bytes": "BINARY", "date": "DATE", "time": "STRING", "timestamp_ntz": "TIMESTAMP_NTZ", "timestamp_tz": "TIMESTAMP"},
-    "databricks": {"bool": "BOOLEAN", "int": "BIGINT", "float": "DOUBLE", "decimal": "STRING", "string": "STRING", "struct": "STRING", "array": "ARRAY<string>", "bytes": "BINARY", "date": "DATE", "time": "STRING", "timestamp_ntz": "TIMESTAMP_NTZ", "timestamp_tz": "TIMESTAMP"},
-    "snowflake": {"bool": "boolean", "int": "int", "float": "float", "decimal": "string", "string": "string", "struct": "variant", "array": "array", "bytes": "binary", "date": "date", "time": "time", "timestamp_ntz": "timestamp_ntz", "timestamp_tz": "timestamp_tz"},
-    "bigquery": {"bool": "bool", "int": "int64", "float": "float64", "decimal": "numeric", "string": "string", "struct": "json", "array": "array<string>", "bytes": "bytes", "date": "date", "time": "time", "timestamp_ntz": "datetime", "timestamp_tz": "timestamp"},
-    "redshift": {"bool": "BOOLEAN NULL", "int": "INT8", "float": "float", "decimal": "VARCHAR(MAX)", "string": "VARCHAR(MAX)", "struct": "SUPER", "array": "VARCHAR(MAX)", "bytes": "VARBYTE", "date": "DATE", "time": "TIME", "timestamp_ntz": "TIMESTAMP WITHOUT TIME ZONE", "timestamp_tz": "TIMESTAMP WITH TIME ZONE"},
-    "postgres": {"bool": "boolean", "int": "bigint", "float": "double precision", "decimal": "numeric", "string": "text", "struct": "jsonb", "array": "text[]", "bytes": "bytea", "date": "date", "time": "time", "timestamp_ntz": "timestamp without time zone", "timestamp_tz": "timestamp with time zone", "uuid": "uuid", "interval": "interval"},
-    "mysql": {"bool": "BOOLEAN", "int": "BIGINT", "float": "DOUBLE", "decimal": "DECIMAL(65,30)", "string": "TEXT", "struct": "JSON", "array": "JSON", "bytes": "BLOB", "date": "DATE", "time": "TIME(6)", "timestamp_ntz": "DATETIME(6)", "timestamp_tz": "DATETIME(6)"},
-    "mssql": {"bool": "BIT", "int": "bigint", "float": "float", "decimal": "VARCHAR(MAX)", "string": "VARCHAR(MAX)", "struct": "NVARCHAR(MAX)", "array": "NVARCHAR(MAX)", "bytes": "VARBINARY(MAX)", "date": "DATE", "time": "TIME", "timestamp_ntz": "datetime2", "timestamp_tz": "datetimeoffset", "interval": "NVARCHAR(MAX)"},
-    "duckdb": {"bool": "boolean", "int": "bigint", "float": "double", "decimal": "decimal", "string": "text", "struct": "json", "array": "text[]", "bytes": "blob", "date": "date", "time": "time", "timestamp_ntz": "timestamp", "timestamp_tz": "timestamp with time zone", "interval": "interval"},
-    "clickhouse": {"bool": "Bool", "int": "Int64", "float": "Float64", "decimal": "String", "string": "String", "struct": "JSON", "array": "Array(String)", "bytes": "String", "date": "Date", "time": "String", "timestamp_ntz": "DateTime", "timestamp_tz": "DateTime"},
-}
-#: Type text of narrower integers, where a dialect has them.
-_WIDTHS = {"small": ("SMALLINT", "Int16"), "integer": ("INTEGER", "Int32"), "big": ("BIGINT", "Int64")}
+#: The most digits of a decimal where that isn't Spark's own limit.
 _DIGITS = {"postgres": 10_000, "clickhouse": 76, "bigquery": 76, "mysql": 65}
 
 

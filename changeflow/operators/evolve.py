@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,21 +84,33 @@ class PendingDrops:
 
     due: dict[str, str] = field(default_factory=dict)
 
-    def see(self, missing: list[str], event_time: datetime, has_other_operations: bool, enabled: bool = True) -> list[str]:
-        """Takes note of a batch; returns the columns to drop now.
+    def see(self, missing: list[str], event_time: datetime, has_other_operations: bool, enabled: bool = True, now: datetime | None = None) -> list[str]:
+        """Takes note of a batch; returns the columns to drop at once.
 
-        A column is scheduled when it is first missing, forgotten when it comes back, and
-        dropped once a batch that isn't only deletes is missing it after the time is up.
+        A batch of nothing but deletes says nothing about columns. Else a column is
+        scheduled :data:`DROP_AFTER` from ``now`` (the clock's time, not the event's, so
+        that a replay of old events drops nothing) when it is first missing, forgotten when
+        it comes back, and dropped when an event later than the time set is still missing it.
         """
-        self.due = {c: t for c, t in self.due.items() if c in missing}
-        if not enabled:
+        if not enabled or not has_other_operations:
             return []
-        now = []
+        self.due = {c: t for c, t in self.due.items() if c in missing}
+        clock = now or datetime.now(UTC).replace(tzinfo=None)
+        drop = [c for c in missing if c in self.due and event_time > datetime.fromisoformat(self.due[c])]
         for c in missing:
-            if c not in self.due:
-                self.due[c] = (event_time + DROP_AFTER).isoformat()
-            elif has_other_operations and event_time > datetime.fromisoformat(self.due[c]):
-                now.append(c)
-        for c in now:
+            self.due.setdefault(c, (clock + DROP_AFTER).isoformat())
+        for c in drop:
             del self.due[c]
-        return now
+        return drop
+
+
+#: How each dialect fills in the default of a new column: by an update, by the engine itself, or not at all.
+DEFAULT_STRATEGIES = {
+    "snowflake": "backfill", "bigquery": "backfill", "redshift": "backfill", "databricks": "native", "spark": "native", "clickhouse": "native", "mysql": "native", "mssql": "native",
+    "postgres": "none", "duckdb": "none",
+}
+
+
+def default_strategy(dialect: str) -> str:
+    """``backfill``, ``native`` or ``none``."""
+    return DEFAULT_STRATEGIES[dialect]

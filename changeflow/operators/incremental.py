@@ -1,8 +1,8 @@
 """Problem 5: only new or changed records, by persisted key and content-hash state.
 
-A state is a folder of immutable versions (``v=<n>``, Parquet) and a pointer file
-that names the version in force. A run reads the version, selects what it lacks,
-and after its work writes a new version and swaps the pointer with one rename.
+A state is a folder of immutable Parquet folders and numbered markers; the highest
+marker names the folders in force. A run reads the version, selects what it lacks,
+and after its work writes what is new and takes the next number, which only one run can.
 A run that fails before the swap leaves the old version in force: its records are
 selected again, none is skipped and none of a finished run is repeated.
 """
@@ -10,10 +10,14 @@ selected again, none is skipped and none of a finished run is repeated.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..pointer import Pointer
+from ..shared import materialize
+
 
 def with_hash(df: DataFrame, content: list[str], out: str = "content_hash") -> DataFrame:
     """Adds a 64-bit hash of ``content``; a null and an empty text differ, and so do ("ab","c") and ("a","bc")."""
@@ -29,41 +33,48 @@ class HashState:
     def __init__(self, spark: SparkSession, path: str, columns: str):
         """``columns``: DDL of the state's rows."""
         self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
-        jvm = spark.sparkContext._jvm
-        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
-        self._fs = self._at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        """Name of the version in force; null before the first."""
-        if not self._fs.exists(self._at("current")):
-            return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at("current"))]
-        return max(names, key=lambda n: int(n.split("-")[0])) if names else None
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if v is None:
+        self.pointer = Pointer(spark, f"{self.path}/current")
+
+    def version(self) -> int:
+        """Number of the version in force; 0 before the first."""
+        return self.pointer.number()
+
+    def folders(self, version: int | None = None) -> list[str]:
+        n = self.version() if version is None else version
+        return self.pointer.read(n)["folders"] if n else []
+
+    def read(self, version: int | None = None) -> DataFrame:
+        found = self.folders(version)
+        if not found:
             return self.spark.createDataFrame([], self.columns)
-        return self.spark.read.schema(self.columns).parquet(f"{self.path}/versions/{v}")
+        return self.spark.read.schema(self.columns).parquet(*[f"{self.path}/versions/{f}" for f in found])
 
-    def swap(self, rows: DataFrame) -> str:
-        """Write ``rows`` as the next version and put it in force; one rename decides.
+    def swap(self, rows: DataFrame, version: int | None = None, add: bool = False) -> int:
+        """Put ``rows`` in force as the version after ``version`` (that in force, if not given); returns its number.
 
-        The pointer is a marker in ``current/`` named ``<number>-<id>``: it is made
-        under another name and renamed into place, and the highest number rules. If
-        another run took the same number first, this one fails and changes nothing.
+        With ``add`` the rows join those of the version before, whose folders stay as they
+        are. The version is taken by its number, once: a run that began from a version
+        which another run has replaced since fails with :class:`~changeflow.pointer.Conflict`,
+        and its rows are in no version.
         """
-        now = self.version()
-        number = int(now.split("-")[0]) + 1 if now else 1
-        name = f"{number}-{uuid.uuid4().hex[:8]}"
+        now = self.version() if version is None else version
+        name = f"{now + 1}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/versions/{name}")
-        if self.version() != now:
-            raise RuntimeError(f"another run has swapped {self.path} since this one began")
-        self._fs.mkdirs(self._at("current"))
-        self._fs.create(self._at(f".{name}"), True).close()
-        if not self._fs.rename(self._at(f".{name}"), self._at(f"current/{name}")):
-            raise RuntimeError(f"the pointer of {self.path} could not be swapped")
-        return name
+        self.pointer.put(now + 1, {"folders": [*(self.folders(now) if add else []), name]})
+        return now + 1
+
+
+def run_new(current: DataFrame, state: HashState, key: list[str], content: list[str], keep: list[str] | None = None) -> tuple[DataFrame, Callable[[], int]]:
+    """One run: the rows of ``current`` that are new or changed against ``state``, and what to call once they are processed.
+
+    ``content`` columns are hashed; ``keep`` columns stand in the state beside key and
+    hash and are compared as well. Until the call succeeds the state stays as it was, so a
+    run that fails selects the same rows again; a call after another run's fails.
+    """
+    version = state.version()
+    new = materialize(select_new(with_hash(current, content), state.read(version), key, exact=keep), "new")
+    names = [f.split()[0] for f in state.columns.split(", ")]
+    return new, lambda: state.swap(new.select(*names), version, add=True)
 
 
 def select_new(current: DataFrame, state: DataFrame, key: list[str], hash_col: str = "content_hash", exact: list[str] | None = None) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.frames import UNAVAILABLE
+from ..functions.decode import is_unavailable
 
-#: Most distinct dates that are turned into a pruning predicate.
+#: Most distinct dates that are turned into a pruning predicate; beyond it nothing is pruned, which changes no row.
 MOST_DATES = 1_000
 
 
@@ -27,8 +27,8 @@ def _condition(keys: list[str], null_safe: bool, extra: list[str], null_safe_ext
 
 
 def available(new: Column, text: bool) -> Column:
-    """Whether a staged value was sent; a null was."""
-    return F.coalesce(~F.contains(new, F.lit(UNAVAILABLE)), F.lit(True)) if text else F.lit(True)
+    """Whether a staged value was sent: a text that isn't the placeholder in one of its forms; a null was sent."""
+    return ~is_unavailable(new) if text else F.lit(True)
 
 
 def _joined(target: DataFrame, staged: DataFrame, keys: list[str], null_safe: bool, extra: list[str], null_safe_extra: bool = False) -> DataFrame:
@@ -104,20 +104,26 @@ def upsert_staging(pending: DataFrame, batch: DataFrame, keys: list[str], placeh
     """A pending batch with a later one folded onto it: the accumulation of a multi-step merge.
 
     By the rules of the fold: a later upsert replaces, values not sent are kept, a delete
-    keeps the pending values and doesn't forget that there was an upsert.
+    keeps the pending values and doesn't forget that there was an upsert. Columns of
+    either side are kept: of rows that the other side brought they are null, of rows on
+    both sides the pending values stay where the batch lacks the column.
     """
     both = _joined(pending, batch, keys, True, [])
     in_t, in_s = F.col("t.__in_t").isNotNull(), F.col("s.__in_s").isNotNull()
     gone = F.coalesce(F.col(f"s.{prefix}delete"), F.lit(False))
     text = {f.name for f in batch.schema.fields if f.dataType.typeName() == "string"}
     out = []
-    for c in pending.columns:
+    for c in [*pending.columns, *[c for c in batch.columns if c not in pending.columns]]:
+        if c not in batch.columns:
+            out.append(F.col(f"t.{c}").alias(c))
+            continue
+        if c not in pending.columns:
+            out.append(F.col(f"s.{c}").alias(c))
+            continue
         new, old = F.col(f"s.{c}"), F.col(f"t.{c}")
         if c == f"{prefix}only_set_delete":
             value = F.when(~in_s, old).when(~in_t, new).otherwise(new & old)
-        elif c.startswith(prefix):
-            value = F.when(in_s, new).otherwise(old)
-        elif c in keys:
+        elif c.startswith(prefix) or c in keys:
             value = F.when(in_s, new).otherwise(old)
         else:
             sent = F.when(available(new, c in text), new).otherwise(old) if c in (placeholder_columns or []) else new
@@ -126,34 +132,64 @@ def upsert_staging(pending: DataFrame, batch: DataFrame, keys: list[str], placeh
     return both.select(*out)
 
 
-def batch_dates(staged: DataFrame, column: str) -> list | None:
-    """The batch's distinct dates of ``column``, for pruning; None if one is null or there are too many."""
-    rows = staged.select(F.to_date(column).alias("d")).distinct().limit(MOST_DATES + 1).collect()
-    dates = [r.d for r in rows]
-    return None if not dates or None in dates or len(dates) > MOST_DATES else sorted(dates)
+def batch_dates(rows: DataFrame, column: str) -> list | None:
+    """The distinct dates of ``column``, a null among them, for pruning; None if there are too many."""
+    dates = [r.d for r in rows.select(F.to_date(column).alias("d")).distinct().limit(MOST_DATES + 1).collect()]
+    return None if len(dates) > MOST_DATES else sorted(dates, key=lambda d: (d is not None, d))
+
+
+def on_dates(column: str, dates: list) -> Column:
+    """Whether a row's date is among ``dates``: a range of the raw column, which a scan can skip files by, and the list."""
+    known = [d for d in dates if d is not None]
+    hit = F.lit(False)
+    if known:
+        c = F.col(column)
+        hit = (c >= F.lit(known[0])) & (c < F.date_add(F.lit(known[-1]), 1)) & F.to_date(c).isin(known)
+    return F.coalesce(hit, F.lit(False)) | F.col(column).isNull() if None in dates else F.coalesce(hit, F.lit(False))
 
 
-def merge_pruned(target: DataFrame, staged: DataFrame, keys: list[str], column: str, **options) -> DataFrame:  # noqa: ANN003
-    """:func:`merge` where only the target's rows of the batch's dates take part in the join.
+def merge_pruned(target: DataFrame, staged: DataFrame, keys: list[str], column: str, null_safe: bool = False, **options) -> DataFrame:  # noqa: ANN003
+    """:func:`merge`, its very result, where only the target's rows of the dates that the batch's keys have there take part in the join.
 
-    The date joins as well, whatever the batch: a row whose date differs from the target's
-    is another row, so keys whose date may change must not be pruned by it. The other rows
-    are carried over as they are, without a shuffle.
+    Those dates are looked up first, by a scan of keys and date alone, so a row whose date
+    moves is found where it was. The other rows are carried over as they are, without a
+    shuffle. With more than :data:`MOST_DATES` dates the whole target takes part.
     """
-    dates = batch_dates(staged, column)
+    held = target.alias("t").join(staged.select(*keys).alias("s"), _condition(keys, null_safe, []), "left_semi")
+    dates = batch_dates(held, column)
     if dates is None:
-        return merge(target, staged, keys, extra=[column], null_safe_extra=True, **options)
-    touched = F.coalesce(F.to_date(column).isin(dates), F.lit(False))
-    return target.where(~touched).unionByName(merge(target.where(touched), staged, keys, extra=[column], **options))
+        return merge(target, staged, keys, null_safe=null_safe, **options)
+    touched = on_dates(column, dates)
+    return target.where(~touched).unionByName(merge(target.where(touched), staged, keys, null_safe=null_safe, **options))
 
 
 def merge_counts(target: DataFrame, staged: DataFrame, keys: list[str], prefix: str = "__cf_") -> DataFrame:
-    """One row: staged, matched, inserted, deleted and still unavailable values, for the merge's assertion."""
+    """One row: staged, matched, inserted, deleted and still unavailable values."""
     gone = F.coalesce(F.col(f"{prefix}delete"), F.lit(False))
     known = target.select(*keys).distinct().withColumn("__known", F.lit(True))
     cols = [c for c, t in staged.dtypes if t == "string"]
-    lost = sum((F.coalesce((F.col(c) == UNAVAILABLE).cast("int"), F.lit(0)) for c in cols), F.lit(0))
+    lost = sum((is_unavailable(F.col(c)).cast("int") for c in cols), F.lit(0))
     return staged.join(known, keys, "left").agg(
         F.count("*").alias("staged"), F.count("__known").alias("matched"), F.count(F.when(F.col("__known").isNull() & ~gone, 1)).alias("inserted"),
         F.count(F.when(F.col("__known").isNotNull() & gone, 1)).alias("deleted"), F.sum(F.when(F.col("__known").isNull(), lost).otherwise(0)).alias("unavailable"),
     )
+
+
+class MergeError(RuntimeError):
+    """A merge's result doesn't hold what the batch says."""
+
+
+def unmerged(merged: DataFrame, staged: DataFrame, keys: list[str], soft_delete: bool = False, prefix: str = "__cf_") -> DataFrame:
+    """The batch's keys that a merge's result contradicts: ``keys, problem`` (``lost`` or ``not deleted``); none after a right merge."""
+    gone = F.lit(False) if soft_delete else F.coalesce(F.col(f"{prefix}delete"), F.lit(False))
+    there = merged.select(*keys).withColumn("__there", F.lit(True)).alias("t")
+    s = staged.select(*keys, gone.alias("__gone")).alias("s")
+    both = s.join(there, _condition(keys, True, []), "left").select(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("s.__gone").alias("g"), F.col("t.__there").isNotNull().alias("there"))
+    return both.where(F.col("g") == F.col("there")).select(*keys, F.when(F.col("g"), "not deleted").otherwise("lost").alias("problem"))
+
+
+def assert_merged(merged: DataFrame, staged: DataFrame, keys: list[str], soft_delete: bool = False, prefix: str = "__cf_") -> None:
+    """:class:`MergeError` if any key of the batch is missing from, or left in, the merged rows."""
+    bad = unmerged(merged, staged, keys, soft_delete, prefix).limit(3).collect()
+    if bad:
+        raise MergeError(f"the merge contradicts its batch: {[r.asDict() for r in bad]}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import TopicConfig
 from ..functions import masking
@@ -62,9 +63,14 @@ def meta_columns(df: DataFrame, cfg: TopicConfig, op: str = "op", source_ts: str
     return df.withColumns(cols) if cols else df
 
 
-def key_columns(cfg: TopicConfig, from_key: list[str]) -> list[str]:
-    """The key's names, in order: an override, else the message key's with the ones to include."""
-    return sorted(cfg.keys_override or {*from_key, *cfg.keys_include})
+def key_columns(cfg: TopicConfig, from_key: list[str] | None) -> list[str]:
+    """The key's names, in order: an override, else the message key's with the ones to include.
+
+    A topic without message keys needs names of its own.
+    """
+    if not from_key and not cfg.keys_override and not cfg.keys_include:
+        raise ValueError(f"messages of {cfg.topic} have no key, and no key columns are set")
+    return sorted(cfg.keys_override or {*(from_key or []), *cfg.keys_include})
 
 
 def same_number(c: Column) -> Column:
@@ -74,15 +80,25 @@ def same_number(c: Column) -> Column:
 
 
 def check_rows(df: DataFrame, keys: list[str], table: str, prefix: str = "__cf_", needs_marker: bool = True) -> DataFrame:
-    """The same rows; a missing table name, key or delete marker is an error, at once or when the row is read."""
+    """The same rows; a missing table name, key column or delete marker column is an error at once, a row without data,
+    with a null key or a null delete marker one when it is read."""
     if not table:
         raise ValueError("the table has no name")
     if not keys:
         raise ValueError("there is no key")
-    absent = [c for c in [*keys, *([f"{prefix}delete"] if needs_marker else [])] if c not in df.columns]
+    marker = f"{prefix}delete"
+    absent = [c for c in [*keys, *([marker] if needs_marker else [])] if c not in df.columns]
     if absent:
         raise ValueError(f"columns are missing: {absent}")
-    return df
+    data = [c for c in df.columns if not c.startswith(prefix)]
+    problem = F.when(~F.greatest(F.lit(False), *[F.col(c).isNotNull() for c in data]), F.lit("a row has no data"))
+    for k in keys:
+        problem = problem.when(F.col(k).isNull(), F.lit(f"the key {k} is null"))
+    if needs_marker:
+        problem = problem.when(F.col(marker).isNull(), F.lit(f"{marker} is null"))
+    first = df.columns[0]
+    checked = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit(f"{table}: "), problem)).cast(df.schema[first].dataType)).otherwise(F.col(first))
+    return df.withColumn(first, checked)
 
 
 def table_name(cfg: TopicConfig, table: Column, history: bool = False) -> Column:
@@ -101,6 +117,10 @@ def apply_topic(df: DataFrame, cfg: TopicConfig, keys: list[str], key: bytes | N
         df = static_columns(df, dict(cfg.static))
     if cfg.hash:
         df = hash_columns(df, [c for c in cfg.hash if c in df.columns], cfg.hash_salt)
-    if cfg.encrypt and key:
-        df = encrypt_columns(df, [c for c in cfg.encrypt if c in df.columns], key)
+    structured = [f.name for f in df.schema if isinstance(f.dataType, T.StructType | T.MapType) or f.dataType.typeName() == "variant"] if cfg.encrypt_json else []
+    plain = [c for c in cfg.encrypt if c in df.columns and c not in structured]
+    if cfg.encrypt or cfg.encrypt_json:
+        if not key:
+            raise ValueError("columns are to be encrypted and there is no key")
+        df = encrypt_columns(df, plain, key, structured)
     return skip_operations(df, cfg.skipped())

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import repair_utf8
+from ..kinds import kind_of
 from ..operators.batch import greedy
+from ..table import staging_name
+from .dialects import Batch, merge_statements
 
 
 class Sink(Protocol):
@@ -77,46 +82,91 @@ class MessageSink:
             if held:
                 send(held)
 
-        rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("m")).foreachPartition(run)
+        messages(rows, "m").foreachPartition(run)
 
     def merge(self, staged: DataFrame, keys: list[str]) -> None:
         self.append(staged)
 
 
 class JdbcSink:
-    """Appends to, or stages a batch in, a JDBC table; the merge statement runs there."""
+    """Appends to, or stages a batch in, a JDBC table; the dialect's merge statements run there."""
 
-    def __init__(self, url: str, table: str, properties: dict[str, str] | None = None, run: Callable[[str], None] | None = None):
-        self.url, self.table, self.properties, self.run = url, table, properties or {}, run
+    def __init__(self, url: str, table: str, dialect: str, properties: dict[str, str] | None = None, run: Callable[[str], None] | None = None, soft_delete: bool = False, prefix: str = "__cf_"):
+        self.url, self.table, self.dialect, self.properties, self.run, self.soft_delete, self.prefix = url, table, dialect, properties or {}, run, soft_delete, prefix
 
     def append(self, rows: DataFrame) -> None:
         for_files(rows).write.mode("append").jdbc(self.url, self.table, properties=self.properties)
 
-    def merge(self, staged: DataFrame, keys: list[str]) -> None:
+    def merge(self, staged: DataFrame, keys: list[str], placeholder_columns: list[str] | None = None) -> None:
+        """Each merge has a staging table of its own name, dropped afterwards; one that is left behind can be swept by its name."""
         if self.run is None:
-            raise ValueError("a merge needs a way to run its statement")
-        staging = f"{self.table}_staging"
-        for_files(staged).write.mode("overwrite").jdbc(self.url, staging, properties=self.properties)
-        self.run(merge_statement(self.table, staging, keys, staged.columns))
-
-
-def quote(name: str, mark: str = '"') -> str:
-    return mark + name.replace(mark, mark * 2) + mark
-
-
-def merge_statement(table: str, staging: str, keys: list[str], columns: list[str], soft: bool = False, mark: str = '"', prefix: str = "__cf_") -> str:
-    """A MERGE of a staging table for warehouses that have the statement."""
-    q = lambda c: quote(c, mark)
-    gone, only = f"stg.{q(prefix + 'delete')}", f"stg.{q(prefix + 'only_set_delete')}"
-    stored = [c for c in columns if c != f"{prefix}only_set_delete" and (soft or c != f"{prefix}delete")]
-    on = " AND ".join(f"tgt.{q(k)} = stg.{q(k)}" for k in keys)
-    sets = ", ".join(f"{q(c)} = stg.{q(c)}" for c in stored)
-    insert = f"({', '.join(map(q, stored))}) VALUES ({', '.join('stg.' + q(c) for c in stored)})"
-    head = f"MERGE INTO {table} tgt USING {staging} stg ON {on}"
-    if soft:
-        mark_only = f"{q(prefix + 'delete')} = {gone}"
-        return f"{head} WHEN MATCHED AND COALESCE({only}, false) = false THEN UPDATE SET {sets} WHEN MATCHED THEN UPDATE SET {mark_only} WHEN NOT MATCHED THEN INSERT {insert}"
-    return f"{head} WHEN MATCHED AND {gone} THEN DELETE WHEN MATCHED THEN UPDATE SET {sets} WHEN NOT MATCHED AND COALESCE({gone}, false) = false THEN INSERT {insert}"
+            raise ValueError("a merge needs a way to run its statements")
+        staging = staging_name(self.table, self.prefix.strip("_"))
+        rows = for_files(staged)
+        rows.write.mode("overwrite").jdbc(self.url, staging, properties=self.properties)
+        batch = batch_of(rows, self.table, staging, keys, self.soft_delete, placeholder_columns, self.prefix)
+        try:
+            for statement in merge_statements(self.dialect, batch):
+                self.run(statement)
+        finally:
+            self.run(f"DROP TABLE {staging}")
+
+
+def batch_of(staged: DataFrame, table: str, staging: str, keys: list[str], soft_delete: bool = False, placeholder_columns: list[str] | None = None, prefix: str = "__cf_") -> Batch:
+    """What the statements need to know of a staged DataFrame."""
+    columns = {f.name: kind_of(f.dataType) for f in staged.schema if f.name not in (f"{prefix}delete", f"{prefix}only_set_delete")}
+    return Batch(table, staging, tuple(keys), columns, soft_delete, tuple(placeholder_columns or ()), prefix=prefix)
+
+
+class TableSink:
+    """A table of a V2 catalog with row-level writes: the merge is Spark's own, only files that it touches are rewritten."""
+
+    def __init__(self, table: str, soft_delete: bool = False, prefix: str = "__cf_"):
+        self.table, self.soft_delete, self.prefix = table, soft_delete, prefix
+
+    def append(self, rows: DataFrame) -> None:
+        rows.writeTo(self.table).append()
+
+    def statement(self, staged: DataFrame, view: str, keys: list[str], placeholder_columns: list[str] | None = None) -> str:
+        return merge_statements("spark", batch_of(staged, self.table, view, keys, self.soft_delete, placeholder_columns, self.prefix))[0]
+
+    def merge(self, staged: DataFrame, keys: list[str], placeholder_columns: list[str] | None = None) -> None:
+        view = f"changeflow_{uuid.uuid4().hex}"
+        staged.createOrReplaceTempView(view)
+        try:
+            staged.sparkSession.sql(self.statement(staged, view, keys, placeholder_columns))
+        finally:
+            staged.sparkSession.catalog.dropTempView(view)
+
+
+class DelimitedSink:
+    """Stages rows as gzip, tab-separated text for warehouses that load such files: a null marker, and bytes that are no UTF-8 repaired if asked."""
+
+    def __init__(self, path: str, null: str = "\\\\N", repair: bool = False):
+        self.path, self.null, self.repair = path, null, repair
+
+    def append(self, rows: DataFrame) -> None:
+        cols = []
+        for f in for_files(rows).schema:
+            c = F.col(f.name)
+            if isinstance(f.dataType, T.ArrayType):
+                c = F.to_json(c)
+            elif isinstance(f.dataType, T.BinaryType):
+                c = repair_utf8(c) if self.repair else F.base64(c)
+            cols.append(c.alias(f.name))
+        out = for_files(rows).select(*cols)
+        out.write.mode("append").options(sep="\t", header=False, nullValue=self.null, emptyValue="", quote='"', escape='"', compression="gzip").csv(self.path)
+
+    def merge(self, staged: DataFrame, keys: list[str]) -> None:
+        self.append(staged)
+
+    def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(schema).options(sep="\t", header=False, nullValue=self.null, emptyValue="", quote='"', escape='"', multiLine=True).csv(self.path)
+
+
+def messages(rows: DataFrame, out: str = "message") -> DataFrame:
+    """Each row as the JSON message that a queue gets; nulls are kept."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(out))
 
 
 def chunks(texts: list[str], limit: int) -> list[list[str]]:

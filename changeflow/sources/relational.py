@@ -14,8 +14,6 @@ from ..kinds import escape_name
 _FIELD = "STRUCT<field: STRING, type: STRING, name: STRING, fields: STRING>"
 _ENVELOPE = f"`schema` STRUCT<fields: ARRAY<{_FIELD}>>, payload STRUCT<before: STRING, after: STRING, op: STRING, ts_ms: BIGINT, source: STRING>"
 _SOURCE = "db STRING, `schema` STRING, `table` STRING, collection STRING, ts_ms BIGINT, connector STRING, lsn STRING"
-#: Schemas of one call beyond which it is no longer one plan with a branch for each.
-MOST_SCHEMAS = 500
 
 
 def envelopes(frames: DataFrame, value: str = "msg_value") -> DataFrame:
@@ -46,37 +44,52 @@ def with_image(df: DataFrame, prefix: str = "__cf_") -> DataFrame:
     return df.withColumns({"row": row_image(F.col("op"), F.col("before"), F.col("after")), f"{prefix}delete": gone, f"{prefix}only_set_delete": gone})
 
 
-def typed_rows(df: DataFrame, row: str = "row", schema: str = "after_schema") -> DataFrame:
+def schema_fields(df: DataFrame, schema: str = "after_schema") -> list[dict]:
+    """Every different field that the messages' schemas have; their number grows with columns, not with schemas or messages."""
+    each = df.select(F.explode(F.from_json(schema, "array<string>")).alias("f")).distinct().orderBy("f")
+    found = [json.loads(r.f) | {"_text": r.f} for r in each.collect()]
+    return [f for f in found if f.get("field")]
+
+
+def typed_rows(df: DataFrame, row: str = "row", schema: str = "after_schema", fields: list[dict] | None = None, force_utc: bool = False) -> DataFrame:
     """``row`` as typed columns, by the schema each message carries; the placeholder of a value not sent becomes null, its column's name is listed in ``unavailable``.
 
-    The distinct schemas (few, :data:`MOST_SCHEMAS` at most) are looked up once; each gets
-    one projection, so no row is handled on its own. Messages without a schema give text columns
-    of no field; infer them with :func:`infer_kinds` first.
+    The different fields of all schemas are looked up first (or given, as of
+    :func:`schema_fields`); then one projection serves every message, whatever the number
+    of schemas. A column that schemas define differently is decoded by the message's own
+    schema, and is text if the types differ. Messages without a schema have no fields;
+    infer them with :func:`infer_kinds` first.
     """
-    found = [r[0] for r in df.select(schema).distinct().limit(MOST_SCHEMAS + 1).collect()]
-    if len(found) > MOST_SCHEMAS:
-        raise ValueError(f"more than {MOST_SCHEMAS} different schemas")
-    parts = []
+    fields = schema_fields(df, schema) if fields is None else fields
     keep = [c for c in df.columns if c not in (row, schema)]
-    for text in found:
-        of = df.where(F.col(schema).eqNullSafe(F.lit(text)))
-        fields = [f for f in (json.loads(text) if text else []) if f.get("field")]
-        cols, missing = [], []
-        if fields:
-            # One parse of the row; numbers and nested values keep their JSON text.
-            of = of.withColumn("_row", F.from_json(row, T.StructType([T.StructField(f["field"], T.StringType()) for f in fields])))
-        for f in fields:
-            raw = F.col("_row").getField(f["field"])
-            name = escape_name(f["field"])
-            gone = is_unavailable(raw)
-            missing.append(F.when(gone, F.lit(name)))
-            cols.append(F.when(~gone, decode(raw, f.get("name"), f.get("type"), f.get("parameters"))).alias(name))
-        lost = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
-        parts.append(of.select(*keep, *cols, lost.alias("unavailable")))
-    out = parts[0] if parts else df.select(*keep, F.array().cast("array<string>").alias("unavailable"))
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    if not fields:
+        return df.select(*keep, F.array().cast("array<string>").alias("unavailable"))
+    by: dict[str, list[dict]] = {}
+    for f in fields:
+        by.setdefault(escape_name(f["field"]), []).append(f)
+    # One parse of the row; numbers and nested values keep their JSON text.
+    raw_names = sorted({f["field"] for f in fields})
+    has_schema = F.col(schema).isNotNull()
+    parsed = F.when(has_schema, F.from_json(row, T.StructType([T.StructField(n, T.StringType()) for n in raw_names])))
+    several = any(len(v) > 1 for v in by.values())
+    df = df.withColumn("_row", parsed)
+    if several:
+        df = df.withColumn("_own", F.from_json(schema, "array<string>"))
+    value = lambda f: F.col("_row").getField(f["field"])
+    decoded = lambda f: F.when(~is_unavailable(value(f)), decode(value(f), f.get("name"), f.get("type"), f.get("parameters"), f.get("items"), bool(f.get("compressed")), force_utc))
+    cols, missing = [], []
+    for name, variants in by.items():
+        if len(variants) == 1:
+            v = decoded(variants[0])
+            lost = is_unavailable(value(variants[0]))
+        else:
+            kinds = {df.select(decoded(f).alias("v")).schema["v"].dataType.simpleString() for f in variants}
+            own = [(F.array_contains("_own", f["_text"]), decoded(f).cast("string") if len(kinds) > 1 else decoded(f), is_unavailable(value(f))) for f in variants]
+            v = F.coalesce(*[F.when(mine, x) for mine, x, _ in own])
+            lost = F.greatest(F.lit(False), *[mine & gone for mine, _, gone in own])
+        cols.append(v.alias(name))
+        missing.append(F.when(lost, F.lit(name)))
+    return df.select(*keep, *cols, F.array_compact(F.array(*missing)).alias("unavailable"))
 
 
 def infer_kinds(rows: DataFrame, row: str = "row", whole_numbers: bool = False) -> DataFrame:

@@ -126,23 +126,42 @@ def test_null_keys_match_only_if_asked(spark):
     assert table(merge.merge(t, s.limit(0), ["k"])) == [(-1, "t")]
 
 
-def test_pruned_merge_and_its_dates(spark):
-    t = spark.createDataFrame([(i, f"2025-01-0{i + 1}", "t") for i in range(5)], "k int, day string, v string").selectExpr("k", "cast(day as date) day", "v")
-    s = spark.createDataFrame([(1, "2025-01-02", "s", False, False)], f"k int, day string, v string, {D} boolean, {O} boolean").selectExpr("k", "cast(day as date) day", "v", D, O)
-    assert len(merge.batch_dates(s, "day")) == 1
-    assert sorted((r.k, r.v) for r in merge.merge_pruned(t, s, ["k"], "day").collect()) == [(0, "t"), (1, "s"), (2, "t"), (3, "t"), (4, "t")]
-    assert merge.batch_dates(s.limit(0), "day") is None
-
-
-def test_pruned_merge_gives_the_same_rows_beyond_the_limit_of_dates(spark, monkeypatch):
-    t = spark.sql("select * from values (1, date'2025-01-01', 't'), (2, date'2025-01-02', 't'), (3, cast(null as date), 't') x(k, day, v)")
-    s = spark.sql(f"select *, false {D}, false {O} from values (1, date'2025-01-05', 's'), (2, date'2025-01-02', 's') x(k, day, v)")
-    rows = lambda b: sorted((r.k, str(r.day), r.v) for r in merge.merge_pruned(t, b, ["k"], "day").collect())
-    few = rows(s)
-    monkeypatch.setattr(merge, "MOST_DATES", 1)
-    assert rows(s) == few == [(1, "2025-01-01", "t"), (1, "2025-01-05", "s"), (2, "2025-01-02", "s"), (3, "None", "t")]
-    null = spark.sql(f"select *, false {D}, false {O} from values (3, cast(null as date), 's') x(k, day, v)")
-    assert rows(null) == [(1, "2025-01-01", "t"), (2, "2025-01-02", "t"), (3, "None", "s")]
+def test_pruned_merge_is_the_merge_whatever_the_dates(spark, monkeypatch):
+    t = spark.sql("select * from values (0, date'2025-01-09', 't'), (1, date'2025-01-01', 't'), (2, date'2025-01-02', 't'), (3, cast(null as date), 't'), (4, date'2025-01-07', 't') x(k, day, v)")
+    rows = lambda df: sorted((r.k, str(r.day), r.v) for r in df.collect())
+    for staged in (
+        "(1, date'2025-01-05', 's', false), (2, date'2025-01-02', 's', false), (4, date'2025-01-07', 's', true)", "(3, date'2025-01-03', 's', false), (9, cast(null as date), 's', false)",
+        "(3, cast(null as date), 's', true)", "(8, date'2025-01-01', 's', true)",
+    ):
+        s = spark.sql(f"select *, {D} as {O} from values {staged} x(k, day, v, {D})")
+        whole = rows(merge.merge(t, s, ["k"]))
+        assert len({k for k, _, _ in whole}) == len(whole)
+        for most in (1_000, 1, 0):
+            monkeypatch.setattr(merge, "MOST_DATES", most)
+            assert rows(merge.merge_pruned(t, s, ["k"], "day")) == whole, (staged, most)
+            assert rows(merge.merge_pruned(t.limit(0), s, ["k"], "day")) == rows(merge.merge(t.limit(0), s, ["k"]))
+    monkeypatch.undo()
+    assert merge.batch_dates(t, "day")[0] is None and merge.batch_dates(t.limit(0), "day") == []
+
+
+def test_staging_keeps_columns_of_either_side(spark):
+    a = folded(spark, [(1, 1, "u", "x"), (2, 1, "u", "y")])
+    from pyspark.sql import functions as F
+
+    wide = folded(spark, [(2, 2, "u", "z"), (3, 1, "u", "w")]).withColumn("extra", F.lit("e"))
+    got = {r.k: (r.v, r.extra) for r in merge.upsert_staging(a, wide, ["k"]).collect()}
+    assert got == {1: ("x", None), 2: ("z", "e"), 3: ("w", "e")}
+    back = {r.k: (r.v, r.extra) for r in merge.upsert_staging(wide, a, ["k"]).collect()}
+    assert back == {1: ("x", None), 2: ("y", "e"), 3: ("w", "e")}
+
+
+def test_the_assertion_finds_what_a_merge_lost_or_left(spark, target):
+    s = folded(spark, [(1, 1, "u", "new"), (2, 1, "d", "x"), (20, 1, "c", "in"), (21, 1, "d", "x")])
+    good = merge.merge(target, s, ["k"])
+    assert merge.unmerged(good, s, ["k"]).count() == 0
+    assert sorted((r.k, r.problem) for r in merge.unmerged(target, s, ["k"]).collect()) == [(2, "not deleted"), (20, "lost")]
+    with pytest.raises(merge.MergeError, match="lost"):
+        merge.assert_merged(good.where("k <> 20"), s, ["k"])
 
 
 def test_dedupe(spark):

@@ -1,4 +1,5 @@
 import base64
+import json
 import hashlib
 import hmac
 import struct
@@ -104,11 +105,65 @@ def test_masking(spark):
 
 
 def test_redaction(spark):
-    for raw, clean in (
-        ("mysql://u:p@h/d", "mysql://u:[REDACTED]@h/d"), ('{"api_key": "k"}', '{"api_key": "[REDACTED]"}'), ("token=abc; x", "token=[REDACTED]; x"), ("AKIA" + "A" * 16, "[REDACTED]"),
-        ("Bearer abc.def", "Bearer [REDACTED]"), ("-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "[REDACTED]"), ("a.b@c.de", "[REDACTED]"), ("123-45-6789", "[REDACTED]"), ("4111-1111-1111-1111", "[REDACTED]"), ("plain", "plain"), (None, None),
-    ):
-        assert one(spark, raw, redact.redact) == clean
+    R = redact.MARKER
+    jwt = "eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl"
+    pairs = [
+        ("https://svc:pa:ss@word@host:8443/x?y=1", f"https://svc:{R}@host:8443/x?y=1"), ("https://host/a@b.example", f"https://host/{R}"), ("ftp://host/path:with@nothing", "ftp://host/path:with@nothing"),
+        ("PASSWORD = 'two words', next", f"PASSWORD = '{R}', next"), ('{"Private_Key":"a\\"b","n":1}', f'{{"Private_Key":"{R}","n":1}}'), ("access_key:zzz;other=1", f"access_key:{R};other=1"),
+        ("Authorization: Bearer abcdef.ghi", f"Authorization: Bearer {R}"), ("auth=Basic dXNlcg==", f"auth={R}"), (f"cookie {jwt} end", f"cookie {R} end"), ("ASIA" + "7" * 16, R), ("AKIA" + "a" * 16, "AKIA" + "a" * 16),
+        ("x -----BEGIN EC PRIVATE KEY-----\nMIIB\n-----END EC PRIVATE KEY----- y", f"x {R} y"), ("write to o.x+1@mail.example, please", f"write to {R}, please"),
+        ("078-05-1120 and 666-12-3456 and 123-45 6789", f"{R} and 666-12-3456 and 123-45 6789"), ("pay 5555 5555 5555 4444 now", f"pay {R} now"), ("no. 5555555555554445", "no. 5555555555554445"), ("378282246310005", R),
+        ("author: Bob, secretary", "author: Bob, secretary"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(pairs)], "i int, a string")
+    assert [r.v for r in df.orderBy("i").select(redact.redact(F.col("a")).alias("v")).collect()] == [p[1] for p in pairs]
+    numbers = spark.createDataFrame([("79927398713",), ("79927398710",), ("4111 1111-11111111",)], "a string").select(redact.luhn(F.col("a")).alias("v"))
+    assert [r.v for r in numbers.collect()] == [True, False, True]
+
+
+def test_values_that_do_not_fit_are_null(spark):
+    assert one(spark, "!!", lambda c: decode.fixed_decimal(c, 2)) is None and one(spark, "", lambda c: decode.fixed_decimal(c, 2)) is None
+    assert one(spark, coded(2**127 - 1), lambda c: decode.fixed_decimal(c, 0)) is None and one(spark, coded(2**127 - 1), lambda c: decode.any_decimal(c, F.lit(0))) == str(2**127 - 1)
+    assert one(spark, coded(12345), lambda c: decode.fixed_decimal(c, 2, 4)) is None and one(spark, coded(5), lambda c: decode.fixed_decimal(c, 20)) == Decimal(5).scaleb(-20)
+    big = 2**63 - 1
+    assert [one(spark, big, lambda c, u=u: decode.timestamp(c, u), "bigint") for u in ("ms", "us")] == [None, None]
+    assert one(spark, "!!", decode.binary) is None and one(spark, PH, decode.binary) is None
+    assert one(spark, Decimal("-12.345"), lambda c: decode.fixed_decimal(decode.encode_decimal(c, 2), 2), "decimal(10,3)") == Decimal("-12.35")
+
+
+def test_fields_by_their_definition(spark):
+    import gzip
+
+    packed = base64.b64encode(gzip.compress(b"squeezed")).decode()
+    assert one(spark, packed, lambda c: decode.decode(c, None, "string", compressed=True)) == "squeezed" and one(spark, PH, lambda c: decode.decode(c, None, "string", compressed=True)) == PH
+    assert one(spark, packed, lambda c: decode.decode(c, None, "bytes", compressed=True)) == b"squeezed" and one(spark, "junk", lambda c: decode.decode(c, None, "string", compressed=True)) is None
+    days = {"type": "int32", "name": "io.debezium.time.Date"}
+    assert one(spark, "[0, 1, null]", lambda c: decode.decode(c, None, "array", items=days)) == ["1970-01-01", "1970-01-02", None]
+    assert one(spark, "[[0],[1]]", lambda c: decode.decode(c, None, "array", items={"type": "array", "items": days})) == ['["1970-01-01"]', '["1970-01-02"]']
+    assert one(spark, '[{"a":1},"x"]', lambda c: decode.decode(c, None, "array", items={"type": "string"})) == ['{"a":1}', "x"]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.createDataFrame([("1000000",)], "a string").select(decode.decode(F.col("a"), "io.debezium.time.MicroTimestamp", "int64", force_utc=True).alias("v"))
+        assert df.dtypes == [("v", "timestamp")] and df.select(F.unix_micros("v")).first()[0] == 1_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_lists_as_text(spark):
+    df = spark.sql("select array(named_struct('a', 1, 'b', 'x')) s, array(map('k', 1)) m, array(array(1, 2)) l, array(1, null) n, named_struct('a', 1) one, 'plain' p")
+    got = df.select(*[text.text_list(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert got.s == ['{"a":1,"b":"x"}'] and got.m == ['{"k":1}'] and got.l == ["[1,2]"] and got.n == ["1", None] and got.one == ['{"a":1}'] and got.p == ["plain"]
+    assert one(spark, "1e39", text.float32) is None and one(spark, "1.5", text.float32) == 1.5
+
+
+def test_columns_that_schemas_define_differently(spark):
+    f = lambda *fields: json.dumps([{"field": n, "type": t, **({"name": k} if k else {})} for n, t, k in fields])
+    rows = [('{"a":1,"b":2}', f(("a", "int32", None), ("b", "int32", None))), ('{"a":3,"b":0}', f(("a", "int32", None), ("b", "int32", "io.debezium.time.Date"))), ('{"a":1}', None), (f'{{"a":"{PH}"}}', f(("a", "int32", None)))]
+    t = relational.typed_rows(spark.createDataFrame(rows, "row string, after_schema string")).collect()
+    assert [(r.a, r.b, r.unavailable) for r in t] == [(1, "2", []), (3, "1970-01-01", []), (None, None, []), (None, None, ["a"])]
+    many = [(json.dumps({f"c{i}": i}), f((f"c{i}", "int32", None))) for i in range(600)]
+    wide = relational.typed_rows(spark.createDataFrame(many, "row string, after_schema string"))
+    assert len(wide.columns) == 601 and wide.select(F.sum("c7"), F.sum("c599"), F.count("*")).first()[:] == (7, 599, 600)
 
 
 def test_kinds_and_names():
@@ -124,8 +179,6 @@ def test_kinds_and_names():
 
 def test_extended_json(spark):
     t = '{"_id":{"$oid":"ab"},"n":{"$numberLong":"5"},"d":{"$date":0},"far":{"$date":{"$numberLong":"999999999999999999"}},"x":NaN,"q":"NaN","l":[{"$numberDecimal":"1.50"},-Infinity],"b":{"$binary":{"base64":"AA==","subType":"0"}},"u":{"$binary":{"base64":"AAAAAAAAAAAAAAAAAAAAAA==","subType":"04"}},"k":{"$minKey":1}}'
-    import json
-
     got = json.loads(one(spark, t, documents.plain_json))
     assert got == {"_id": "ab", "n": 5, "d": "1970-01-01T00:00:00Z", "far": None, "x": None, "q": "NaN", "l": ["1.50", None], "b": {"$binary": {"base64": "AA==", "subType": "00"}}, "u": "00000000-0000-0000-0000-000000000000", "k": {"$minKey": 1}}
     assert one(spark, "{", documents.plain_json) is None and one(spark, None, documents.plain_json) is None and one(spark, '{"a": 1}', documents.plain_json) == '{"a":1}'
