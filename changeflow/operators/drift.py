@@ -18,10 +18,17 @@ _FIELD = "STRUCT<field: STRING, type: STRING, fields: ARRAY<STRUCT<field: STRING
 _RECORD = f"`schema` STRUCT<fields: ARRAY<{_FIELD}>>, payload STRING"
 
 
-def _pairs_to_map(entries: Column) -> Column:
-    """A map of lower-cased names; of names that differ only in case the first counts."""
-    low = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    return F.map_from_entries(F.filter(low, lambda e, i: F.array_position(F.transform(low, lambda x: x["key"]), e["key"]) == i + 1))
+def _lower_names(entries: Column) -> Column:
+    """Entries of (key, value) with lower-cased keys."""
+    return F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+
+def _to_map(entries: str) -> Column:
+    """A map of a column of entries; of entries with one key the first counts. Such are rare, and looked for only where there are any."""
+    e = F.col(entries)
+    keys = F.transform(e, lambda x: x["key"])
+    first = F.filter(e, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(e), F.map_from_entries(e)).otherwise(F.map_from_entries(first))
 
 
 def parse_feed(records: DataFrame) -> DataFrame:
@@ -32,20 +39,18 @@ def parse_feed(records: DataFrame) -> DataFrame:
     where the record has no values. Columns are the fields of the member ``after``, or
     ``schema.fields`` themselves. Null or unreadable values give nulls for both.
     """
-    j = F.from_json(F.col("rec_value"), _RECORD)
-    df = records.select("feed", "file_no", "rec_id", "written_at", j.alias("_j"))
-    fields, payload = F.col("_j.schema.fields"), F.col("_j.payload")
-    after = F.filter(fields, lambda f: (f["field"] == "after") & f["fields"].isNotNull())
-    wrapped = F.size(after) > 0
-    inner = F.get_json_object(payload, "$.after")
-    columns = F.when(wrapped, after[0]["fields"]).otherwise(F.transform(fields, lambda f: F.struct(f["field"].alias("field"), f["type"].alias("type"))))
-    columns = F.filter(columns, lambda f: f["field"].isNotNull())
-    body = F.when(wrapped | (fields.isNull() & inner.startswith("{")), inner).otherwise(payload)
-    return df.select(
-        "feed", "file_no", "rec_id", "written_at",
-        _pairs_to_map(F.transform(columns, lambda f: F.struct(f["field"].alias("key"), F.coalesce(f["type"], F.lit("")).alias("value")))).alias("fields"),
-        _pairs_to_map(F.map_entries(F.from_json(body, "map<string,string>"))).alias("row"),
-    )
+    keys = ["feed", "file_no", "rec_id", "written_at"]
+    # Lists of one that are exploded keep what they hold from being worked out again in every use.
+    held = lambda df, **cols: df.select(*[c for c in df.columns], F.explode(F.array(F.struct(*[v.alias(n) for n, v in cols.items()]))).alias("_h"))
+    df = held(records.select(*keys, "rec_value"), j=F.from_json("rec_value", _RECORD)).select(*keys, F.col("_h.j").alias("j"))
+    fields, payload = F.col("j.schema.fields"), F.col("j.payload")
+    df = held(df, after=F.filter(fields, lambda f: (f["field"] == "after") & f["fields"].isNotNull()), inner=F.get_json_object(payload, "$.after")).withColumnRenamed("_h", "_a")
+    wrapped = F.size("_a.after") > 0
+    columns = F.when(wrapped, F.col("_a.after")[0]["fields"]).otherwise(F.transform(fields, lambda f: F.struct(f["field"].alias("field"), f["type"].alias("type"))))
+    named = F.transform(F.filter(columns, lambda f: f["field"].isNotNull()), lambda f: F.struct(f["field"].alias("key"), F.coalesce(f["type"], F.lit("")).alias("value")))
+    body = F.when(wrapped | (fields.isNull() & F.col("_a.inner").startswith("{")), F.col("_a.inner")).otherwise(payload)
+    df = held(df, f=_lower_names(named), r=_lower_names(F.map_entries(F.from_json(body, "map<string,string>")))).select(*keys, F.col("_h.f").alias("f"), F.col("_h.r").alias("r"))
+    return df.select(*keys, _to_map("f").alias("fields"), _to_map("r").alias("row"))
 
 
 def file_schemas(parsed: DataFrame) -> DataFrame:
@@ -120,15 +125,27 @@ def _renames(parsed: DataFrame, diff: DataFrame, record_key: str, keep: float) -
     one = parsed.where(F.col("row")[record_key].isNotNull()).groupBy("feed", "file_no", key).agg(F.max_by("row", F.struct(F.col("fields").isNotNull(), F.size("row"), "written_at", "rec_id")).alias("row"))
     now = one.join(open_, ["feed", "file_no"]).select("feed", "file_no", "key", "pairs", rescue(F.col("row"), F.col("fields"), F.col("target"))[1].alias("rescued_row"))
     before = one.withColumnRenamed("file_no", "prev_no").join(open_.select("feed", "file_no", "prev_no"), ["feed", "prev_no"]).select("feed", "file_no", "key", F.col("row").alias("old"))
-    both = now.join(before, ["feed", "file_no", "key"]).select("feed", "file_no", "old", "rescued_row", F.explode("pairs").alias("p"))
-    was, replayed = F.col("old")[F.col("p.a")], F.col("rescued_row")[F.col("p.b")]
-    score = (
-        both.where(was.isNotNull() | replayed.isNotNull())
-        .groupBy("feed", "file_no", "p.a", "p.b")
-        .agg((F.sum(F.coalesce((was == replayed), F.lit(False)).cast("int")) / F.count("*")).alias("share"))
-        .where(F.col("share") > keep)
-    )
-    return best_matches(score)
+    both = now.join(before, ["feed", "file_no", "key"])
+    # A record gives a row for each pair whose values are equal, and one for each value it has on either side; not for all pairs.
+    was, replayed = (lambda p: F.col("old")[p["a"]]), (lambda p: F.col("rescued_row")[p["b"]])
+    nothing = F.lit(None).cast("string")
+    alike = F.transform(F.filter("pairs", lambda p: F.coalesce(was(p) == replayed(p), F.lit(False))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    left = F.transform(F.filter(F.array_distinct(F.transform("pairs", lambda p: p["a"])), lambda a: F.col("old")[a].isNotNull()), lambda a: F.struct(a.alias("a"), nothing.alias("b")))
+    right = F.transform(F.filter(F.array_distinct(F.transform("pairs", lambda p: p["b"])), lambda b: F.col("rescued_row")[b].isNotNull()), lambda b: F.struct(nothing.alias("a"), b.alias("b")))
+    n = both.select("feed", "file_no", F.explode(F.concat(alike, left, right)).alias("p")).groupBy("feed", "file_no", "p.a", "p.b").agg(F.count("*").alias("n"))
+    file = ["feed", "file_no"]
+    # Records with a value on either side are at least as many as those with one on the more frequent: the share can't be above keep for other pairs.
+    likely = (
+        n.where("a is not null and b is not null").withColumnRenamed("n", "same")
+        .join(n.where("b is null").select(*file, "a", F.col("n").alias("n_a")), [*file, "a"]).join(n.where("a is null").select(*file, "b", F.col("n").alias("n_b")), [*file, "b"])
+        .where(F.col("same") > keep * F.greatest("n_a", "n_b"))
+    )
+    picked = likely.groupBy(*file).agg(F.collect_list(F.struct("a", "b", "same", "n_a", "n_b")).alias("likely"))
+    counted = (
+        both.join(picked, file).select(*file, F.explode("likely").alias("p"), (F.col("old")[F.col("p.a")].isNotNull() & F.col("rescued_row")[F.col("p.b")].isNotNull()).cast("int").alias("both"))
+        .groupBy(*file, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg((F.max("p.same") / (F.max("p.n_a") + F.max("p.n_b") - F.sum("both"))).alias("share"))
+    )
+    return best_matches(counted.where(F.col("share") > keep))
 
 
 def best_matches(score: DataFrame) -> DataFrame:
@@ -168,7 +185,7 @@ def consistent(parsed: DataFrame, changes: DataFrame) -> DataFrame:
     df = parsed.join(names, "feed", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     step = lambda at, m: F.when((m["file_no"] > F.col("file_no")) & (m["field_from"] == at), m["field_to"]).otherwise(at)
     over = F.transform(F.map_entries("row"), lambda e: F.struct(F.aggregate("moves", e["key"], step).alias("key"), e["value"].alias("value")))
-    df = df.withColumn("_all", _pairs_to_map(over))
+    df = df.withColumn("_over", over).withColumn("_all", _to_map("_over"))
 
     def fits(n: Column, v: Column) -> Column:
         t = F.col("final")[n]

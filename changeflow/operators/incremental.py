@@ -64,32 +64,35 @@ class HashState:
         return now + 1
 
 
-def run_new(current: DataFrame, state: HashState, key: list[str], content: list[str], keep: list[str] | None = None) -> tuple[DataFrame, Callable[[], int]]:
-    """One run: the rows of ``current`` that are new or changed against ``state``, and what to call once they are processed.
+def run_new(current: DataFrame, state: HashState, key: list[str], content: list[str]) -> tuple[DataFrame, Callable[[], int]]:
+    """One run: the rows of ``current`` that are new or changed against ``state`` (as of :func:`select_new`), and what to call once they are processed.
 
-    ``content`` columns are hashed; ``keep`` columns stand in the state beside key and
-    hash and are compared as well. Until the call succeeds the state stays as it was, so a
-    run that fails selects the same rows again; a call after another run's fails.
+    The state's columns are the key and ``content_hash``. Until the call succeeds it stays
+    as it was, so a run that fails selects the same rows again; a call after another run's
+    fails, and its rows are in no version.
     """
+    return run_hashed(with_hash(current, content), state, key)
+
+
+def run_hashed(hashed: DataFrame, state: HashState, key: list[str]) -> tuple[DataFrame, Callable[[], int]]:
+    """:func:`run_new` of rows that have their ``content_hash``."""
     version = state.version()
-    new = materialize(select_new(with_hash(current, content), state.read(version), key, exact=keep), "new")
-    names = [f.split()[0] for f in state.columns.split(", ")]
-    return new, lambda: state.swap(new.select(*names), version, add=True)
+    new = materialize(select_new(hashed, state.read(version), key), "new")
+    return new, lambda: state.swap(new.select(*key, "content_hash"), version, add=True)
 
 
-def select_new(current: DataFrame, state: DataFrame, key: list[str], hash_col: str = "content_hash", exact: list[str] | None = None) -> DataFrame:
-    """Distinct (key, hash) of ``current`` that ``state`` doesn't have; keys may be null.
+def select_new(current: DataFrame, state: DataFrame, key: list[str], hash_col: str = "content_hash") -> DataFrame:
+    """Distinct (key, hash) of ``current`` that ``state`` doesn't have, with ``change_kind``: ``new`` if it has nothing of the key, else ``changed``.
 
-    ``exact``: content columns that the state keeps beside the hash, compared too, so
-    that no record is lost to two contents with the same hash.
+    Keys may be null. A key must identify a record, so that its contents are few: all of
+    them meet in one task. One shuffle by the key, after repeats are combined map-side.
     """
-    on = [*key, hash_col, *(exact or [])]
-    rows = current.select(*on).distinct()
-    right = state.select(*[F.col(c).alias(f"_s_{c}") for c in on])
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    return rows.join(right, cond, "left_anti")
+    mark = lambda df, n: df.select(*key, hash_col, F.lit(n).alias("_in"))
+    # Bit 1: in the current rows; bit 2: in the state.
+    by = mark(current, 1).unionByName(mark(state, 2)).groupBy(*key, hash_col).agg(F.bit_or("_in").alias("_in"))
+    keyed = by.groupBy(*key).agg(F.bit_or("_in").alias("_key"), F.collect_list(F.when(F.col("_in") == 1, F.col(hash_col))).alias("_new"))
+    kind = F.when(F.col("_key").bitwiseAND(F.lit(2)) == 0, F.lit("new")).otherwise(F.lit("changed"))
+    return keyed.select(*key, F.explode("_new").alias(hash_col), kind.alias("change_kind"))
 
 
 def committed_ranges(runs: DataFrame) -> DataFrame:
@@ -117,7 +120,10 @@ def mark_covered(rows: DataFrame, ranges: DataFrame, group: list[str], number: s
     Both sides meet in blocks of ``2**block_bits`` numbers (a range is entered in each
     block it touches), so no group is one task; ranges are disjoint, so no row doubles.
     """
-    cut = ranges.select(*[F.col(g).alias(f"_r_{g}") for g in group], "lo", "hi", F.explode(F.sequence(F.shiftright("lo", block_bits), F.shiftright("hi", block_bits))).alias("_r_block"))
+    # A range is entered in blocks that rows lie in, not in all that it spans: one bad bound may span any number.
+    held = rows.groupBy(*group).agg(F.min(number).alias("_least"), F.max(number).alias("_most"))
+    within = ranges.join(held, group).select(*group, F.greatest("lo", "_least").alias("lo"), F.least("hi", "_most").alias("hi")).where("lo <= hi")
+    cut = within.select(*[F.col(g).alias(f"_r_{g}") for g in group], "lo", "hi", F.explode(F.sequence(F.shiftright("lo", block_bits), F.shiftright("hi", block_bits))).alias("_r_block"))
     cond = F.shiftright(F.col(number), block_bits) == F.col("_r_block")
     for g in group:
         cond = cond & (F.col(g) == F.col(f"_r_{g}"))

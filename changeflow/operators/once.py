@@ -13,9 +13,13 @@ and kept in a keyed table beside the ranges from batch to batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 RANGE_SCHEMA = "producer array<string>, block bigint, lo bigint, hi bigint"
 TEXT_SCHEMA = "producer array<string>, text string"
 
@@ -44,8 +48,9 @@ def mark_repeats(
     columns whose ascending order says which copy came first (unique).
     A message with a null producer column, or with neither number nor text, has no
     identity: never a repeat. Repeated rows equal in ``arrival`` are repeats as well.
-    ``seen``: ranges as of :func:`seen_ranges`; ``texts``: malformed identifiers as of
-    :func:`seen_texts`. Empty input gives an empty result.
+    ``seen``: ranges as of :func:`seen_ranges`, or ranges and malformed identifiers as of
+    :func:`next_state`; ``texts``: malformed identifiers as of :func:`seen_texts`. Empty
+    input gives an empty result.
     """
     spread = F.pmod(F.xxhash64(*arrival), F.lit(salts)).cast("int")
     known = F.lit(True)
@@ -65,8 +70,9 @@ def mark_repeats(
     group = [F.col("_producer"), F.col("_block"), F.col("_text")]
     df = _sweep(df, [*group, F.col("_salt")], arrival, "_local")
     if seen is not None:
+        texts_too = [F.col("text").alias("_text")] if "text" in seen.columns else []
         df = df.unionByName(
-            seen.select(F.col("producer").alias("_producer"), F.col("block").alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(0).alias("_is_message"), F.lit(False).alias("_local")),
+            seen.select(F.col("producer").alias("_producer"), F.col("block").alias("_block"), *texts_too, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(0).alias("_is_message"), F.lit(False).alias("_local")),
             allowMissingColumns=True,
         )
     if texts is not None:
@@ -95,7 +101,7 @@ def seen_ranges(accepted: DataFrame, producer: list[str], number: str, seen: Dat
         F.array(*[F.col(c).cast("string") for c in producer]).alias("producer"),
         F.shiftright(F.col(number), block_bits).alias("block"),
         F.col(number).alias("lo"), F.col(number).alias("hi"),
-    ).distinct()
+    )
     every = new if seen is None else new.unionByName(seen.select("producer", "block", "lo", "hi"))
     return merge_ranges(every, ["producer", "block"])
 
@@ -121,3 +127,47 @@ def merge_ranges(ranges: DataFrame, group: list[str]) -> DataFrame:
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .drop("_island")
     )
+
+
+def next_state(accepted: DataFrame, producer: list[str], number: str, number_text: str, state: DataFrame | None = None, block_bits: int = 20) -> DataFrame:
+    """The whole state after ``accepted``: ``producer, block, text, lo, hi``; ranges have no text, a malformed identifier is one row with its text."""
+    known = F.col(number).isNotNull() | F.col(number_text).isNotNull()
+    for c in producer:
+        known = known & F.col(c).isNotNull()
+    at = F.coalesce(F.col(number), F.lit(0).cast("bigint"))
+    new = accepted.where(known).select(
+        F.array(*[F.col(c).cast("string") for c in producer]).alias("producer"), F.shiftright(F.col(number), block_bits).alias("block"),
+        F.when(F.col(number).isNull(), F.col(number_text)).alias("text"), at.alias("lo"), at.alias("hi"),
+    )
+    return merge_ranges(new if state is None else new.unionByName(state), ["producer", "block", "text"])
+
+
+def sweep(batches: Iterable[DataFrame], producer: list[str], number: str, number_text: str, arrival: list[str], state: DataFrame | None = None, block_bits: int = 20, salts: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Batch after batch against the state that those before left: (all messages, marked; the state after them).
+
+    Every batch is marked by :func:`mark_repeats` with the ranges and texts stored so far,
+    and what it accepts is merged into them; marked messages and the state are written to the
+    shared folder before the next batch, so none is worked out again. Batches must come in
+    the order of arrival for the copy that came first to be the one that is kept. No batch at
+    all is an error.
+    """
+    done: list[DataFrame] = []
+    for batch in batches:
+        if done:
+            state = materialize(next_state(done[-1].where("not is_repeat"), producer, number, number_text, state, block_bits), "ranges")
+        done.append(materialize(mark_repeats(batch, producer, number, number_text, arrival, state, block_bits, salts), "marked"))
+    out = done[0]
+    for m in done[1:]:
+        out = out.unionByName(m)
+    return out, next_state(done[-1].where("not is_repeat"), producer, number, number_text, state, block_bits)
+
+
+def time_slices(df: DataFrame, at: str, slices: int) -> list[DataFrame]:
+    """``df`` in at most ``slices`` parts by equal spans of the timestamp ``at``, the earliest first; a null time is in the first part."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    r = df.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
+    if r.a is None or slices < 2:
+        return [df]
+    step = max((r.b - r.a) // slices + 1, 1)
+    part = F.coalesce(((micros - F.lit(r.a)) / F.lit(step)).cast("int"), F.lit(0))
+    return [df.where(part == i) for i in range((r.b - r.a) // step + 1)]

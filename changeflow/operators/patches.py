@@ -44,8 +44,11 @@ def compose(patches: DataFrame, by: list) -> DataFrame:
     return patches.groupBy(*by).agg(*[F.max(c).alias(c) for c in parts])
 
 
-def compose_by_chunks(patches: DataFrame, key: list[str], chunk_bits: int = 30) -> DataFrame:
-    """One patch a key: chunks of ``2**chunk_bits`` positions first, then the chunks of each key."""
+def compose_by_chunks(patches: DataFrame, key: list[str], chunk_bits: int = 20) -> DataFrame:
+    """One patch a key: chunks of ``2**chunk_bits`` positions first, then the chunks of each key.
+
+    A key with any number of changes is as many groups as its positions span chunks.
+    """
     chunk = F.shiftright("_top", chunk_bits + 1).alias("_chunk")
     first = compose(patches, [*key, chunk])
     return compose(first, key)

@@ -17,22 +17,27 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 ARRIVAL = ["kafka_ts", "kafka_partition", "kafka_offset", "topic"]
 
 
-def p2_marked(spark: SparkSession, d: str) -> DataFrame:
+PRODUCER = ["db", "table_name", "id_key"]
+#: Batches that the feed is swept in.
+BATCHES = 3
+
+
+def _swept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The feed's messages, marked batch by batch in the order of publishing against the ranges seen so far, and the ranges in the end."""
     m = _messages(spark, d).withColumn("id_key", F.coalesce(F.col("row_id").cast("string"), F.col("id_text")))
     slim = m.select("topic", "kafka_partition", "kafka_offset", "kafka_ts", "db", "table_name", "id_key", "lsn", "position_text")
-    slim = slim.withColumn("position_text", F.when(F.col("lsn").isNull(), F.col("position_text")))
-    return once.mark_repeats(slim, ["db", "table_name", "id_key"], "lsn", "position_text", ARRIVAL)
+    slim = materialize(slim.withColumn("position_text", F.when(F.col("lsn").isNull(), F.col("position_text"))), "messages")
+    return once.sweep(once.time_slices(slim, "kafka_ts", BATCHES), PRODUCER, "lsn", "position_text", ARRIVAL)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each message to be dropped: a repeat of an earlier one."""
-    return p2_marked(spark, d).where("is_repeat").select("topic", "kafka_partition", "kafka_offset")
+    """Each message to be dropped: its number was in the ranges seen before, or came before in its batch."""
+    return _swept(spark, d)[0].where("is_repeat").select("topic", "kafka_partition", "kafka_offset")
 
 
 def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The seen ranges after the whole feed, by source table: how many, and how many numbers they hold."""
-    kept = p2_marked(spark, d).where("not is_repeat")
-    r = once.seen_ranges(kept, ["db", "table_name", "id_key"], "lsn")
+    r = _swept(spark, d)[1].where("text is null")
     return r.groupBy(F.col("producer")[0].alias("src_db"), F.col("producer")[1].alias("src_table")).agg(
         F.count("*").alias("ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("numbers")
     )
@@ -50,7 +55,7 @@ def _current(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each row of the current state with the position that shaped it."""
-    return _current(spark, d, [])
+    return p4_state(spark, d).select("src_db", "src_table", "row_id", "last_lsn")
 
 
 def p4_state(spark: SparkSession, d: str) -> DataFrame:
@@ -58,34 +63,63 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     return _current(spark, d, ["email"])
 
 
+CHANGE = ["topic", "row_id", "lsn"]
+#: What a change says; its identity is its row and position.
+CONTENT = ["op", "before", "after"]
 STATE_COLUMNS = "topic string, row_id bigint, lsn bigint, content_hash bigint"
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Hashed current changes (written once), and the state of what committed attempts processed."""
-    m = _messages(spark, d).select("topic", "kafka_partition", "kafka_offset", "row_id", "lsn").where("row_id is not null and lsn is not null")
-    slim = materialize(incremental.with_hash(m, ["lsn"]), "changes")
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    """The feed's changes with the hash of what they say, written once."""
+    m = _messages(spark, d).where("row_id is not null and lsn is not null")
+    slim = incremental.with_hash(m, CONTENT).select(*CHANGE, "kafka_partition", "kafka_offset", "kafka_ts", "content_hash")
+    return materialize(slim, "changes")
+
+
+def _next_run(spark: SparkSession, d: str) -> DataFrame:
+    """New and changed against the state that the committed attempts left."""
+    current = _hashed(spark, d)
     done = incremental.committed_ranges(read_table(spark, d, "sync_runs"))
-    processed = incremental.mark_covered(slim, done, ["topic", "kafka_partition"], "kafka_offset").where("covered")
-    return slim, processed.select("topic", "row_id", "lsn", "content_hash").distinct()
+    processed = incremental.mark_covered(current, done, ["topic", "kafka_partition"], "kafka_offset").where("covered")
+    state = incremental.HashState(spark, fresh_path(spark, "state"), STATE_COLUMNS)
+    state.swap(processed.select(*CHANGE, "content_hash").distinct())
+    return incremental.select_new(current, state.read(), CHANGE)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct change that no committed attempt has processed, against a persisted state."""
-    slim, processed = _pairs(spark, d)
+    """Each distinct change that no committed attempt has processed, against a persisted state; one that was processed with another content isn't among them."""
+    return _next_run(spark, d).where("change_kind = 'new'").select(*CHANGE).distinct()
+
+
+def p5_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Changes that were processed, and have come again with another content (texts as they are, so another order of members is another content)."""
+    return _next_run(spark, d).where("change_kind = 'changed'").groupBy("topic").agg(F.count("*").alias("contents"), F.count_distinct("row_id", "lsn").alias("changes"))
+
+
+def p5_rerun(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs over one state: over the frames of half the partitions, then over all, then over all again; what each selected.
+
+    The second run's first try fails before its state is in force, and is made again.
+    """
+    current = _hashed(spark, d)
     state = incremental.HashState(spark, fresh_path(spark, "state"), STATE_COLUMNS)
-    state.swap(processed)
-    return incremental.select_new(slim, state.read(), ["topic", "row_id"], exact=["lsn"]).select("topic", "row_id", "lsn")
+    picked = []
+    for i, rows in enumerate((current.where("kafka_partition % 2 = 0"), current, current, current)):
+        new, done = incremental.run_hashed(rows, state, CHANGE)
+        if i != 1:  # the run that fails
+            done()
+            picked.append(new.groupBy("change_kind").agg(F.count("*").alias("contents")).withColumn("run", F.lit(len(picked) + 1)))
+    return picked[0].unionByName(picked[1]).unionByName(picked[2])
 
 
-def _objects(spark: SparkSession, d: str, details: bool = True, every: bool = False) -> DataFrame:
+def _objects(spark: SparkSession, d: str, values: bool = True, every: bool = False) -> DataFrame:
     t = read_table(spark, d, "doc_messages")
-    return nested.shred(spread(t.select("rec_id", "msg_value"), t), "rec_id", "msg_value", details=details, every=every)
+    return nested.shred(spread(t.select("rec_id", "msg_value"), t), "rec_id", "msg_value", values=values, every=every)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each object that is an element of a list, with the nearest such object around it."""
-    return _objects(spark, d).select("rec_id", "parent_path", "child_path")
+    """Each object, of any variant, that is an element of a list, with the nearest such object around it."""
+    return _objects(spark, d, values=False).where("variant is not null").select("rec_id", "parent_path", "child_path")
 
 
 def p1_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -94,9 +128,30 @@ def p1_objects(spark: SparkSession, d: str) -> DataFrame:
     return _objects(spark, d, every=True).select("rec_id", "parent_path", "child_path", "member_path", "variant", *as_json)
 
 
+def _by_signature(variants: DataFrame) -> DataFrame:
+    """Variants added up by what their own members are, in the order of names."""
+    members = F.array_sort(F.transform(F.map_entries(F.from_json("signature", "map<string,string>")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return variants.groupBy("member_path", F.array_join(members, ",").alias("members")).agg(F.sum("objects").alias("objects"))
+
+
 def p1_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Every structural variant of each member, and how many objects have it."""
-    return nested.variants(_objects(spark, d))
+    """The structural variants of each member, and how many objects have them."""
+    return _by_signature(nested.variants(_objects(spark, d, values=False)))
+
+
+def p1_subtypes(spark: SparkSession, d: str) -> DataFrame:
+    """The same, counted in the typed table that each variant was sent to."""
+    objects = _objects(spark, d)
+    path = fresh_path(spark, "subtypes")
+    listed = nested.route(objects, path).select("member_path", F.concat(F.lit("m"), F.md5("member_path")).alias("member"))
+    stored = spark.read.schema("misfit string, member string, variant string").parquet(f"{path}/tables").groupBy("member", "variant").agg(F.count("*").alias("objects"))
+    signatures = spark.read.schema(f"{nested.OBJECTS}, member string").parquet(f"{path}/objects").groupBy("member", "variant").agg(F.min("signature").alias("signature"))
+    return _by_signature(stored.join(signatures, ["member", "variant"]).join(listed, "member"))
+
+
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Records that can't be read, and why."""
+    return nested.rejects(read_table(spark, d, "doc_messages"), "rec_id", "msg_value").select("rec_id", "reason")
 
 
 def p1_order_lines(spark: SparkSession, d: str) -> DataFrame:

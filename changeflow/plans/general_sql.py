@@ -89,6 +89,44 @@ WITH {_MESSAGES}, ended AS (
 SELECT topic, row_id, lsn FROM marked GROUP BY ALL HAVING NOT bool_or(processed)
 """
 
+_CONTENTS = f"""
+WITH {_MESSAGES}, c AS (
+  SELECT m.*, hash_of FROM m JOIN (
+    SELECT topic AS t, kafka_partition AS p, kafka_offset AS o,
+      coalesce(j->>'$.payload.op', 'null') || chr(1) || coalesce(j->>'$.payload.before', 'null') || chr(1) || coalesce(j->>'$.payload.after', 'null') AS hash_of FROM parsed
+  ) ON topic = t AND kafka_partition = p AND kafka_offset = o
+  WHERE row_id IS NOT NULL AND lsn IS NOT NULL
+)
+"""
+
+P5_CHANGED = f"""{_CONTENTS}, ended AS (
+  SELECT * FROM sync_runs
+  QUALIFY row_number() OVER (PARTITION BY run_id, attempt_no, topic, kafka_partition ORDER BY logged_at DESC, log_id DESC) = 1
+), done AS (
+  SELECT topic, kafka_partition, first_offset, next_offset FROM ended WHERE lower(trim(run_status)) = 'committed'
+), marked AS (
+  SELECT c.topic, c.row_id, c.lsn, c.hash_of, d.topic IS NOT NULL AS processed
+  FROM c LEFT JOIN done d ON c.topic = d.topic AND c.kafka_partition = d.kafka_partition AND c.kafka_offset >= d.first_offset AND c.kafka_offset < d.next_offset
+), by_content AS (
+  SELECT topic, row_id, lsn, hash_of, bool_or(processed) AS processed FROM marked GROUP BY ALL
+), changed AS (
+  SELECT * FROM by_content b WHERE NOT processed AND EXISTS (SELECT 1 FROM by_content p WHERE p.processed AND p.topic = b.topic AND p.row_id = b.row_id AND p.lsn = b.lsn)
+)
+SELECT topic, count(*) AS contents, count(DISTINCT (row_id, lsn)) AS changes FROM changed GROUP BY topic
+"""
+
+P5_RERUN = f"""{_CONTENTS}, first AS (
+  SELECT DISTINCT topic, row_id, lsn, hash_of FROM c WHERE kafka_partition % 2 = 0
+), every AS (
+  SELECT DISTINCT topic, row_id, lsn, hash_of FROM c
+), second AS (
+  SELECT topic, row_id, lsn, CASE WHEN EXISTS (SELECT 1 FROM first f WHERE f.topic = e.topic AND f.row_id = e.row_id AND f.lsn = e.lsn) THEN 'changed' ELSE 'new' END AS change_kind
+  FROM every e WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.topic = e.topic AND f.row_id = e.row_id AND f.lsn = e.lsn AND f.hash_of = e.hash_of)
+)
+SELECT 'new' AS change_kind, count(*) AS contents, 1 AS run FROM first HAVING count(*) > 0
+UNION ALL SELECT change_kind, count(*), 2 FROM second GROUP BY change_kind
+"""
+
 _PLACED = """
 WITH RECURSIVE docs AS (
   SELECT rec_id, CAST(msg_value AS JSON) AS j FROM doc_messages WHERE json_valid(msg_value)
@@ -132,6 +170,24 @@ SELECT rec_id, holder AS parent_path, path AS child_path, value->>'$.sku' AS sku
 FROM placed WHERE members = 'payload.after.orders.lines' AND {_ELEMENTS}
 """
 
+P1_VARIANTS = f"""{_PLACED}, kinds AS (
+  SELECT p.rec_id, p.path, p.members, e.key, CASE json_type(e.value)
+      WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'text' WHEN 'ARRAY' THEN 'list' WHEN 'DOUBLE' THEN 'real'
+      WHEN 'OBJECT' THEN coalesce('ext:' || list_min(list_filter(json_keys(e.value), lambda k: k LIKE '$%')), 'object') ELSE 'int' END AS kind
+  FROM placed p, json_each(p.value) e WHERE {_ELEMENTS.replace("value", "p.value").replace("element AND type", "p.element AND p.type")}
+), shapes AS (
+  SELECT rec_id, path, members AS member_path, string_agg(key || '=' || kind, ',' ORDER BY key || '=' || kind) AS members FROM kinds GROUP BY ALL
+  UNION ALL
+  SELECT rec_id, path, members, '' FROM placed WHERE {_ELEMENTS} AND len(json_keys(value)) = 0
+)
+SELECT member_path, members, CAST(count(*) AS BIGINT) AS objects FROM shapes GROUP BY ALL
+"""
+
+P1_REJECTS = """
+SELECT rec_id, CASE WHEN msg_value IS NULL THEN 'null' WHEN trim(msg_value) = '' THEN 'empty' WHEN json_valid(msg_value) THEN 'scalar' ELSE 'no JSON' END AS reason
+FROM doc_messages WHERE msg_value IS NULL OR NOT json_valid(msg_value) OR json_type(CAST(CASE WHEN json_valid(msg_value) THEN msg_value END AS JSON)) NOT IN ('OBJECT', 'ARRAY')
+"""
+
 P3_FOUND = """
 WITH r AS (
   SELECT feed, file_no, rec_id, written_at, CAST(rec_value AS JSON) AS j FROM feed_records WHERE json_valid(rec_value)
@@ -186,4 +242,4 @@ UNION ALL
 SELECT feed, file_no, 'added', '', new_name FROM both_cols a WHERE old_name IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = a.feed AND r.file_no = a.file_no AND r.new_name = a.new_name)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_order_lines": P1_ORDER_LINES, "p3_found": P3_FOUND, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_variants": P1_VARIANTS, "p1_subtypes": P1_VARIANTS, "p1_rejects": P1_REJECTS, "p1_order_lines": P1_ORDER_LINES, "p3_found": P3_FOUND, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND, "p5_changed": P5_CHANGED, "p5_rerun": P5_RERUN}

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from changeflow.operators import incremental, once, patches
@@ -212,3 +212,58 @@ def test_committed_ranges(spark):
     assert got.count() == 10
     assert sorted(r.kafka_offset for r in got.where("covered").collect()) == [0, 9, 30, 49]
     assert incremental.committed_ranges(runs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 2, 5])
+def test_sweeping_in_batches_keeps_the_first_copy(spark, slices):
+    """Against a plain loop over all messages in the order of arrival, malformed identifiers and negative numbers among them."""
+    import random
+
+    r = random.Random(slices)
+    rows = []
+    for i in range(600):
+        n = r.choice([None, r.randint(-40, 40), r.randint(0, 5), 7])
+        rows.append((r.choice(["a", "b", "hot", "hot", None]), n, None if n is not None else r.choice(["x", "y", None]), datetime(2025, 1, 1) + timedelta(seconds=r.randint(0, 300)), i))
+    df = spark.createDataFrame(rows, "producer string, n bigint, text string, at timestamp_ntz, part int")
+    marked, state = once.sweep(once.time_slices(df, "at", slices), ["producer"], "n", "text", ["at", "part"], block_bits=3, salts=4)
+    got = {x.part: x.is_repeat for x in marked.collect()}
+    seen, want = set(), {}
+    for p, n, t, at, i in sorted(rows, key=lambda x: (x[3], x[4])):
+        known = p is not None and (n is not None or t is not None)
+        want[i] = known and (p, n, t) in seen
+        if known:
+            seen.add((p, n, t))
+    assert got == want
+    held = set()
+    for x in state.collect():
+        ids = [(x.producer[0], None, x.text)] if x.text is not None else [(x.producer[0], n, None) for n in range(x.lo, x.hi + 1)]
+        assert not held & {*ids}, "ranges are disjoint"
+        held |= {*ids}
+    assert held == seen
+    assert once.time_slices(df.limit(0), "at", 3)[0].count() == 0
+
+
+def test_new_changed_and_failed_runs(spark, tmp_path):
+    s = incremental.HashState(spark, str(tmp_path / "s"), "k string, content_hash bigint")
+    df = lambda *r: spark.createDataFrame(list(r), "k string, v string, extra string")
+    run = lambda rows: incremental.run_new(rows, s, ["k"], ["v"])
+    kinds = lambda new: sorted((r.k or "", r.change_kind) for r in new.collect())
+    first = df(("a", "1", "x"), ("a", "1", "y"), (None, "1", "x"), ("b", None, "x"))
+    new, done = run(first)
+    assert kinds(new) == [("", "new"), ("a", "new"), ("b", "new")] and s.version() == 0
+    new, done = run(first)
+    other, other_done = run(first)
+    done()
+    with pytest.raises(Exception, match="taken"):
+        other_done()
+    new, done = run(df(("a", "1", "z"), ("a", "2", "x"), ("b", "", "x"), ("c", "1", "x")))
+    assert kinds(new) == [("a", "changed"), ("b", "changed"), ("c", "new")]
+    done()
+    assert kinds(run(df(("a", "2", None), ("c", "1", None), (None, "1", None)))[0]) == [] and kinds(run(first.limit(0))[0]) == []
+
+
+def test_one_bad_bound_spans_no_blocks(spark):
+    rows = spark.createDataFrame([("t", 0, 5), ("t", 0, 70_000), ("u", 0, 1)], "topic string, p int, o bigint")
+    ranges = spark.createDataFrame([("t", 0, 6, 2**62), ("v", 0, 0, 2**62)], "topic string, p int, lo bigint, hi bigint")
+    got = sorted((r.topic, r.o, r.covered) for r in incremental.mark_covered(rows, ranges, ["topic", "p"], "o").collect())
+    assert got == [("t", 5, False), ("t", 70_000, True), ("u", 1, False)]

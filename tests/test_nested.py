@@ -78,6 +78,9 @@ def test_empty_table_repeats_and_depth(spark):
     deep = '{"a":' * 300 + "[{}]" + "}" * 300
     assert [r[2].count(".") for r in links(shred(spark, [deep]))] == [299]
     assert links(shred(spark, ["[" * 100_000])) == []
+    deeper = '{"a":[' * 20_000 + '{"v": 1}' + "]}" * 20_000
+    assert len(links(shred(spark, ["[" * 5_000 + "{}" + "]" * 5_000]))) == 1
+    assert nested.states(nested.load(deeper, ())) and nested.load(deeper[:-1], ()) is None
     long = json.dumps({"a": [{"i": i} for i in range(30_000)]})
     assert shred(spark, [long]).count() == 30_000
 
@@ -119,3 +122,43 @@ def test_what_does_not_fit_stays_beside_the_typed_row(spark, tmp_path):
     row = next(r for r in nested.route(objects, str(tmp_path / "typed")).collect() if r.member_path == "a")
     assert row.misfits == 1
     assert {r.child_path: (r.n, r.misfit) for r in spark.read.parquet(row.location).collect()} == {"a[0]": (1, None), "a[1]": (None, json.dumps({"n": big}, separators=(",", ":")))}
+
+
+def test_the_deep_parser_is_the_parser():
+    """Both on texts that are JSON and on texts that a change has broken."""
+    import random
+
+    r = random.Random(3)
+    texts = ['{"a": [1, -2.5e3, "x\\u00e9", null, true, {"b": {}}], "": []}', "[]", '"t"', " 7 ", "[1,]", "{,}", '{"a":1,}', '{"a" 1}', "[1 2]", "01", "-", "1.", "tru", '{"a":}', "", "  ", "]", "[}", '{"a":1}}', '"\\x"', "[nulll]", '{1:2}', '{"a":"b\tc"}']
+    for t in list(texts):
+        for _ in range(40):
+            i = r.randrange(len(t) + 1)
+            texts.append(t[:i] + r.choice(["", ",", "}", "]", '"', "0", " ", ":"]) + t[i + r.randint(0, 1) :])
+
+    def out(f, t):
+        try:
+            return repr(f(t))
+        except ValueError:
+            return "no JSON"
+
+    assert nested._DECODER.decode('"\t"') == "\t"
+    for t in texts:
+        if "NaN" not in t and "Infinity" not in t:
+            assert out(nested._parse_deep, t) == out(nested._DECODER.decode, t), t
+
+
+def test_rejects_say_why(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "{"), (4, "7"), (5, "null"), (6, "{}"), (7, '{"a":["x\ty",{"b":"\x01"}]}'), (None, "x"), (9, "[" * 3000)], "rec_id bigint, msg_value string")
+    assert sorted((r.rec_id or 0, r.reason) for r in nested.rejects(df, "rec_id", "msg_value").collect()) == [(0, "no JSON"), (1, "null"), (2, "empty"), (3, "no JSON"), (4, "scalar"), (5, "scalar"), (9, "no JSON")]
+    assert links(nested.shred(df, "rec_id", "msg_value")) == [(7, "$", "a[1]")], "control characters in texts are let pass"
+    assert nested.rejects(df.limit(0), "rec_id", "msg_value").count() == 0
+
+
+def test_a_variant_has_a_table_of_its_own(spark, tmp_path):
+    objects = shred(spark, [doc({"orders": [{"no": 1, "qty": 2}, {"no": "x"}, {"no": 5, "qty": 7}]}), doc({"orders": {"no": 3, "qty": 9}})])
+    listed = nested.route(objects, str(tmp_path / "typed")).collect()
+    assert [(r.member_path, r.variants, r.objects) for r in listed] == [(A + "orders", 2, 4)]
+    found = {json.loads(r.signature)["no"]: r for r in nested.variants(objects).collect()}
+    read = lambda kind: nested.variant_table(objects, listed[0].location, found[kind].variant, json.loads(listed[0].fields), found[kind].signature)
+    assert sorted((r.rec_id, r.child_path, r.no, r.qty) for r in read("int").collect()) == [(0, A + "orders[0]", "1", 2), (0, A + "orders[2]", "5", 7), (1, A + "orders[0]", "3", 9)]
+    assert read("text").columns == ["rec_id", "parent_path", "child_path", "no", "misfit", "lists"] and [r.no for r in read("text").collect()] == ["x"]
