@@ -3,20 +3,27 @@
 A text is parsed into blocks (paragraphs and list lines; headings, tables, rules and
 the like end a block and hold no sentence). Within a block every end mark outside of
 quotations, brackets, links, templates, tags, comments, addresses and titles is a
-candidate. Some candidates are decided by form alone; for the others a maximum-entropy
-model weighs the tokens on both sides, their case, length, digits and script, and how
-often over all documents they stand at the end and at the start of a block.
+candidate, and so is the end of a quotation and, in Thai, a space. A maximum-entropy
+model decides each: it weighs the tokens on both sides, their case, length, digits and
+script, how often over all documents they stand at the end and at the start of a block,
+and the form of the place as a whole. Only a block's own end needs no decision.
 
 The model is trained on boundaries that are reliable without it: the end of a block
 followed by the start of the next one (positive), and marks followed by a small letter,
-after tokens that never end a block, or before tokens that never start one (negative).
+after tokens that never end a block, or before tokens that never start one (negative);
+places whose form leaves no doubt, such as a Chinese full stop, are examples of both.
 Words that end blocks as often as words do on average are reliable within one, too.
+Weights start from what the form alone would say, so that little text is enough.
+
+Texts are analysed once: equal passages of documents that lie together are remembered,
+and what is found is kept in the shared folder, from which counts, examples and decisions
+are taken.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,20 +35,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread
+from ..shared import materialize
+from .encode import together
 
 BUCKETS = 1 << 17
-DIMS = 1 << 16
+#: Features of tokens and their habits, hashed; those of whole forms have indexes of their own after them.
+DIMS, FORMS = 1 << 16, 1 << 12
+#: Weight that a form without doubt begins with.
+PRIOR = 4.0
 #: Decisions that a worker keeps for equal contexts.
 MOST_KNOWN = 200_000
+#: Characters of distinct blocks that a worker keeps with what it found in them.
+MOST_KEPT = 8_000_000
 #: Different surroundings from which on a token's habits count as known.
 MANY = 8
 #: Different surroundings, left and right of a mark, from which on :func:`features` and :func:`label` tell a token from one never met.
 LEAST_LEFT, LEAST_RIGHT = 2, 3
 #: Training examples for each document of the sample, on average, at most.
 EXAMPLES = 40
-#: Keys that a task counts before it hands them on.
-MOST_KEYS = 200_000
 #: White space, zero-width space and byte-order mark included.
 SPACE = r"\s​﻿"
 
@@ -202,14 +213,15 @@ class Candidate:
 
     end: int  # where the sentence would end
     next: int  # where the next one would start; the block's end if nothing follows
-    kind: str  # dot, strong (! ?), full (marks of scripts without case), dots (ellipsis), quote
+    kind: str  # dot, strong (! ?), full (marks of scripts without case), dots (ellipsis), quote, space (Thai)
     left: str = ""
     before: str = ""
     right: str = ""
     form: str = ""  # of what follows
     gap: bool = True
     run: int = 1
-    opened: int = -1  # of a quotation: where it was opened
+    lead: int = -1  # of a quotation: where the last word before it ends, -1 if its block has none
+    flags: str = ""  # of the form: a mark that goes on (a), a full stop without a space between words (k), a Japanese quoting word (t), Latin or a number on the left (x)
     final: bool = False
     tongue: str = ""
     around: int = 0  # hash of the text on both sides
@@ -223,6 +235,7 @@ class Block:
     thai: bool
     tongue: str = ""
     first: str = ""  # its first token
+    head: tuple[str, str] | None = None  # token and form of its start, if it is no list line
     candidates: list[Candidate] = field(default_factory=list)
     inside: list[tuple[int, int]] = field(default_factory=list)
 
@@ -238,7 +251,15 @@ _TONGUES = {
     }.items()
     for w in words.split()
 }
-_SCRIPTS = regex.compile(r"(?P<el>\p{Greek})|(?P<ru>\p{Cyrillic})|(?P<ar>\p{Arabic})|(?P<hi>\p{Devanagari})|(?P<ja>[\p{Hiragana}\p{Katakana}])|(?P<zh>\p{Han})|(?P<th>\p{Thai})|(?P<x>\p{Latin})")
+_SCRIPTS = regex.compile(r"(?P<el>\p{Greek})|(?P<ru>\p{Cyrillic})|(?P<ar>\p{Arabic})|(?P<hi>\p{Devanagari})|(?P<ja>[\p{Hiragana}\p{Katakana}])|(?P<zh>\p{Han})|(?P<th>\p{Thai})")
+#: Script of each character met so far, but for ASCII.
+_SCRIPT_OF: dict[str, str | None] = {}
+
+
+def _script_of(ch: str) -> str | None:
+    m = _SCRIPTS.match(ch)
+    found = _SCRIPT_OF[ch] = m.lastgroup if m else None
+    return found
 
 
 def tongue(text: str) -> str:
@@ -247,10 +268,10 @@ def tongue(text: str) -> str:
     for w in text.lower().split():
         if k := _TONGUES.get(w):
             votes[k] = votes.get(k, 0) + 2
-    for i in range(0, len(text), max(1, len(text) // 16)):
-        m = _SCRIPTS.match(text, i)
-        if m and m.lastgroup != "x":
-            votes[m.lastgroup] = votes.get(m.lastgroup, 0) + 1
+    if not text.isascii():
+        for ch in text[:: max(1, len(text) // 16)]:
+            if ch > "\x7f" and (k := _SCRIPT_OF[ch] if ch in _SCRIPT_OF else _script_of(ch)):
+                votes[k] = votes.get(k, 0) + 1
     return max(votes, key=lambda k: (votes[k], k)) if votes else ""
 
 
@@ -298,35 +319,63 @@ def _follow(text: str, at: int, end: int, by_start: dict[int, Opaque]) -> tuple[
     return t, lead + form
 
 
-def analyze(text: str) -> list[Block]:
-    """The blocks of a text with their candidates, in order."""
+#: What was found in the blocks met so far, by their text, place on the line and markup; positions from the block's start.
+_FOUND: dict[tuple, Block] = {}
+_FILLED = [0]
+
+
+def _block(text: str, s: int, e: int, listed: bool, own: list[Opaque]) -> Block:
+    """The block at ``s`` to ``e``, positions from its start; remembered, as it depends on nothing outside."""
+    piece = text[s:e]
+    key = (piece, listed, *[(o.start - s, o.end - s, o.kind) for o in own])
+    b = _FOUND.get(key)
+    if b is None:
+        spans = [Opaque(o.start - s, o.end - s, o.kind) for o in own]
+        by_start = {o.start: o for o in spans}
+        n = len(piece)
+        b = Block(0, n, listed, bool(_THAI.search(piece)), tongue(piece))
+        b.first = _follow(piece, 0, n, by_start)[0]
+        b.head = None if listed else _follow(piece, 0, n, {})
+        _scan(piece, b, spans, by_start)
+        if b.thai:
+            b.candidates = sorted([*b.candidates, *_thai_spaces(piece, b)], key=lambda c: (c.end, c.next))
+        if _FILLED[0] + n > MOST_KEPT:
+            _FOUND.clear()
+            _FILLED[0] = 0
+        _FOUND[key] = b
+        _FILLED[0] += n
+    return b
+
+
+def passages(text: str) -> list[tuple[int, Block]]:
+    """The blocks of a text in order: where each starts, and what is in it."""
     spans = opaque_spans(text)
-    by_start = {o.start: o for o in spans}
     out = []
     k = 0
-    main: str | None = None
     for s, e, listed in blocks(text, spans):
         m = _VISIBLE.search(text, s, e)
         if not m:
             continue
         s = m.start()
-        while e > s and (text[e - 1].isspace() or text[e - 1] in "​﻿"):
+        while e > s and (text[e - 1].isspace() or text[e - 1] in "\u200b\ufeff"):
             e -= 1
         while k < len(spans) and spans[k].end <= s:
             k += 1
-        own = []
         i = k
         while i < len(spans) and spans[i].start < e:
-            own.append(spans[i])
             i += 1
-        b = Block(s, e, listed, bool(_THAI.search(text, s, e)), tongue(text[s:e]))
-        if not b.tongue:
-            if main is None:
-                main = tongue(text)
-            b.tongue = main
-        b.first = _follow(text, s, e, by_start)[0]
-        _scan(text, b, own, by_start)
-        out.append(b)
+        out.append((s, _block(text, s, e, listed, spans[k:i])))
+    return out
+
+
+def tongues(text: str, found: list[tuple[int, Block]]) -> list[str]:
+    """The language of each block; where a block shows none, the whole text's."""
+    main: str | None = None
+    out = []
+    for _, b in found:
+        if not b.tongue and main is None:
+            main = tongue(text)
+        out.append(b.tongue or main)
     return out
 
 
@@ -369,7 +418,7 @@ def _scan(text: str, b: Block, own: list[Opaque], by_start: dict[int, Opaque]) -
                 _shut(stack, "[[", q, inside, quotes, text)
         elif kind == "plain":
             if any(c == '"' for c, _ in stack):
-                if not text[p - 1].isspace():
+                if p > s and not text[p - 1].isspace():
                     _shut(stack, '"', q, inside, quotes, text)
             elif q < e and not text[q].isspace():
                 stack.append(('"', p))
@@ -453,7 +502,10 @@ def _around(text: str, b: Block, c: Candidate, p: int, by_start: dict[int, Opaqu
     c.gap = bool(m)
     c.final = c.next >= b.end
     c.right, c.form = _follow(text, c.next, b.end, by_start)
-    c.tongue = b.tongue
+    if c.right and _ASIDE.match(c.right):
+        c.flags = "a"
+    elif c.kind == "quote" and c.right[:1] in ("と", "っ"):
+        c.flags = "t"
     c.around = zlib.crc32((text[max(b.start, p - 24) : p] + "|" + text[c.next : c.next + 16]).encode("utf8", "surrogatepass"))
     lo = max(b.start, p - 40)
     c.left = _LEFT.match(text, lo, p).group().lstrip("'’.-–,/")
@@ -461,6 +513,8 @@ def _around(text: str, b: Block, c: Candidate, p: int, by_start: dict[int, Opaqu
     while at > lo and (text[at - 1].isspace() or text.endswith("&nbsp;", lo, at)):
         at -= 1 if text[at - 1] != ";" else 6
     c.before = _LEFT.match(text, max(b.start, at - 20), at).group()
+    if c.kind == "dot" and not c.gap and _glued(c):
+        c.flags += "k"
     return c
 
 
@@ -493,10 +547,53 @@ def _letter_before(text: str, p: int, least: int) -> int:
 
 
 def _quote(text: str, b: Block, opened: int, q: int, notes: dict[int, int], by_start: dict[int, Opaque]) -> Candidate:
-    c = Candidate(_absorb(text, q, b.end, notes, by_start), 0, "quote", opened=opened)
+    at = opened
+    while at > b.start and not text[at - 1].isalnum():
+        at -= 1
+    c = Candidate(_absorb(text, q, b.end, notes, by_start), 0, "quote", lead=at if at > b.start else -1)
     return _around(text, b, c, q - 1, by_start)
 
 
+_ASIDE = regex.compile(r"[,;:，；：、،؛·)\]）]")
+_LATIN_OR_NUMBER = regex.compile(r"[\p{Latin}\p{N}ๆ]")
+
+
+def _glued(c: Candidate) -> bool:
+    """Whether a full stop without a space after it stands between a word or number and a capitalised word."""
+    core = c.left.rsplit(".", 1)[-1]
+    if c.form not in ("upper", "camel", "oupper", "qupper", "uncased", "ouncased", "template", "otemplate") or (c.form == "upper" and len(c.right) < 2):
+        return c.form in ("digit", "caps") and len(core) > 2 and core.isalpha()
+    if c.form in ("uncased", "ouncased"):
+        return len(core) > 2
+    return core.isdigit() or (len(core) > 2 and not core.isupper()) or (len(core) > 1 and core.islower()) or not core
+
+
+def _thai_spaces(text: str, b: Block) -> Iterator[Candidate]:
+    """The spaces of a block outside of quotations and the like; ``form`` and ``flags`` say whether Latin, a number or markup stands beside."""
+    j = 0
+    for m in _GAP.finditer(text, b.start, b.end):
+        p, q = m.span()
+        while j < len(b.inside) and b.inside[j][1] <= p:
+            j += 1
+        if j < len(b.inside) and b.inside[j][0] <= p:
+            continue
+        left, right = p - 1, q
+        while left > b.start and text[left] in "]'\"”)":
+            left -= 1
+        r = text[right : right + 1]
+        if text.startswith("[[", right):
+            at = _LINKED.match(text, right, b.end).end()
+            r = text[at : at + 1]
+        else:
+            while r and r in "'\"“(" and right < b.end - 1:
+                right += 1
+                r = text[right : right + 1]
+        c = Candidate(p, q, "space", gap=True, final=q >= b.end)
+        c.form = "x" if r and (_LATIN_OR_NUMBER.match(r) or r in "{}<") else "thai"
+        c.flags = "x" if _LATIN_OR_NUMBER.match(text[left]) or text[left] == "}" else ""
+        yield c
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -508,8 +605,12 @@ def bucket(key: str) -> int:
     return zlib.crc32(key.encode("utf8", "surrogatepass")) % BUCKETS
 
 
+def _place(h: int) -> int:
+    return (h ^ (h >> 16)) & 63
+
+
 def _bit(h: int) -> int:
-    h = (h ^ (h >> 16)) & 63
+    h = _place(h)
     return (1 << h) - (1 << 64 if h == 63 else 0)
 
 
@@ -520,19 +621,20 @@ def habits(text: str) -> Iterator[tuple[int, str, int]]:
     start; and 64-bit sketches of the different surroundings of tokens left and right of
     a mark (a page's many revisions repeat one, they don't add any).
     """
-    for b in analyze(text):
+    found = passages(text)
+    for (_, b), t in zip(found, tongues(text, found), strict=True):
         if not b.listed and b.first:
-            yield 3, key_of(b.first, b.tongue), 1
+            yield 3, key_of(b.first, t), 1
         for c in b.candidates:
             if c.kind == "dot" and c.run == 1 and c.left:
-                k = key_of(c.left, c.tongue)
+                k = key_of(c.left, t)
                 yield 0, k, 1
                 if c.final:
                     yield 1, k, 1
                 else:
                     yield 4, k, _bit(c.around)
             if not c.final and c.right and c.kind in ("dot", "strong"):
-                k = key_of(c.right, c.tongue)
+                k = key_of(c.right, t)
                 yield 2, k, 1
                 yield 5, k, _bit(c.around)
 
@@ -602,76 +704,168 @@ def _script(token: str) -> str:
     return "-"
 
 
-def features(c: Candidate, counts: Counts) -> list[int]:
-    """Indexes of the features that hold."""
-    nl, sl = counts.left(c.left, c.tongue)
-    nr, sr = counts.right(c.right, c.tongue)
-    ll, lr, sh, bs = _level(nl, sl), _level(nr, sr), _shape(c.left), _shape(c.before)
-    run = min(c.run, 2)
-    parts = [
-        "bias", f"kind={c.kind}{run}", f"left={c.tongue}|{_norm(c.left)}" if nl >= LEAST_LEFT else "left=?", f"ll={ll}", f"sh={sh}", f"form={c.form}", f"lr={lr}",
-        f"ll={ll}|form={c.form}", f"sh={sh}|form={c.form}", f"ll={ll}|lr={lr}", f"sh={sh}|lr={lr}", f"before={bs}|sh={sh}", f"before={_norm(c.before)[-8:]}|sh={sh}",
-        f"gap={c.gap}|form={c.form}", f"script={_script(c.left)}|ll={ll}", f"run={run}|form={c.form}", f"ll={ll}|sh={sh}",
+def form_of(kind: str, run: int, gap: bool, form: str, flags: str, lead: bool) -> str:
+    """The form of a place as a whole; ``lead``: words stand between the sentence's start and a quotation."""
+    return f"{kind}|{'g' if gap else 'n'}|{form}|{flags}{'l' if lead and kind == 'quote' else ''}{'r' if run > 1 and kind == 'dot' else ''}"
+
+
+def verdict(kind: str, run: int, gap: bool, form: str, flags: str, lead: bool) -> int | None:
+    """What the form alone says of a place within a block: 1 an end, 0 none, None if it doesn't tell."""
+    if kind == "space":
+        return int(form != "x" and "x" not in flags)
+    if "a" in flags:
+        return 0
+    lower = form in ("lower", "olower", "dlower")
+    if kind == "quote":  # without words before it, those that name the speaker follow
+        return int(lead and not lower and form[:1] != "d" and "t" not in flags)
+    if kind == "full":
+        return 1
+    if lower:
+        return 0
+    if kind == "dots":
+        return int(gap and form not in ("uncased", "ouncased"))
+    if kind == "strong":
+        return int(gap or form in ("upper", "uncased", "ouncased", "oupper", "camel", "qupper", "digit", "template", "caps", "oother"))
+    if not gap and "k" not in flags:
+        return 0
+    return 1 if run > 1 else None  # an abbreviation's full stop, and one of its own
+
+
+def _all_forms() -> Iterator[tuple[str, int | None]]:
+    plain = ["other", "digit", "camel", "lower", "caps", "upper", "uncased", "template"]
+    forms = ["none", *[lead + f for lead in ("", "o", "d", "q") for f in plain]]
+    for kind in ("dot", "strong", "full", "dots", "quote"):
+        for gap in (True, False):
+            for form in forms:
+                for flags in ("", "a", *(["k", "ak"] if kind == "dot" and not gap else ["t"] if kind == "quote" else [])):
+                    for run in (1, 2) if kind == "dot" else (1,):
+                        for lead in (False, True) if kind == "quote" else (False,):
+                            yield form_of(kind, run, gap, form, flags, lead), verdict(kind, run, gap, form, flags, lead)
+    for form in ("x", "thai"):
+        for flags in ("", "x"):
+            yield form_of("space", 1, True, form, flags, False), verdict("space", 1, True, form, flags, False)
+
+
+_VERDICTS = dict(_all_forms())
+_FORM_INDEX = {f: DIMS + i for i, f in enumerate(_VERDICTS)}
+
+
+def prior() -> np.ndarray:
+    """Weights before any training: what the form alone says."""
+    w = np.zeros(DIMS + FORMS)
+    for f, v in _VERDICTS.items():
+        if v is not None:
+            w[_FORM_INDEX[f]] = PRIOR if v else -PRIOR
+    return w
+
+
+def _index(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf8", "surrogatepass")) % DIMS
+
+
+# The features of a place in four groups, by what they depend on.
+
+
+def _left_features(left: str, tongue_: str, counts: Counts) -> tuple[str, str, list[int]]:
+    """Level of its habits, its shape, and features."""
+    n, share = counts.left(left, tongue_)
+    ll, sh = _level(n, share), _shape(left)
+    return ll, sh, [_index(x) for x in (f"left={tongue_}|{_norm(left)}" if n >= LEAST_LEFT else "left=?", f"ll={ll}", f"sh={sh}", f"script={_script(left)}|ll={ll}", f"ll={ll}|sh={sh}")]
+
+
+def _right_features(right: str, tongue_: str, counts: Counts) -> tuple[str, list[int]]:
+    lr = _level(*counts.right(right, tongue_))
+    return lr, [_index(f"lr={lr}")]
+
+
+def _before_features(before: str, sh: str) -> list[int]:
+    return [_index(f"before={_shape(before)}|sh={sh}"), _index(f"before={_norm(before)[-8:]}|sh={sh}")]
+
+
+def _place_features(kind: str, run: int, gap: bool, form: str, flags: str, lead: bool, ll: str, sh: str, lr: str) -> list[int]:
+    whole = form_of(kind, run, gap, form, flags, lead)
+    # Where the form tells, habits of tokens have features of their own, so that what is learned of full stops stays with them.
+    open_ = "" if _VERDICTS.get(whole) is None else "~"
+    return [
+        _FORM_INDEX.get(whole, DIMS + len(_FORM_INDEX) + zlib.crc32(whole.encode()) % (FORMS - len(_FORM_INDEX))),
+        *[_index(open_ + x) for x in ("bias", f"kind={kind}{min(run, 2)}", f"form={form}", f"ll={ll}|form={form}", f"sh={sh}|form={form}", f"ll={ll}|lr={lr}", f"sh={sh}|lr={lr}", f"gap={gap}|form={form}", f"run={min(run, 2)}|form={form}")],
     ]
-    return [zlib.crc32(x.encode("utf8", "surrogatepass")) % DIMS for x in parts]
 
 
-def label(c: Candidate, counts: Counts, start: str | None) -> tuple[int, Candidate] | None:
-    """A reliable label, and the candidate as it is to be learned; ``start``: first token of the next block."""
-    if c.kind not in ("dot", "strong"):
-        return None
+def features(c: Candidate, tongue_: str, counts: Counts, lead: bool = False) -> list[int]:
+    """Indexes of the features that hold."""
+    ll, sh, a = _left_features(c.left, tongue_, counts)
+    lr, b = _right_features(c.right, tongue_, counts)
+    return [*a, *b, *_before_features(c.before, sh), *_place_features(c.kind, c.run, c.gap, c.form, c.flags, lead, ll, sh, lr)]
+
+
+def label(c: Candidate, tongue_: str, counts: Counts, start: tuple[str, str] | None, lead: bool) -> tuple[int, Candidate] | None:
+    """A reliable label, and the candidate as it is to be learned; ``start``: first token and form of a block near by."""
     if c.final:
-        if start is None:
+        if start is None or c.kind not in ("dot", "strong"):
             return None
         token, form = start
-        n, share = counts.left(c.left, c.tongue)
+        n, share = counts.left(c.left, tongue_)
         if n >= MANY and share < 0.02:
             return None
-        return 1, Candidate(c.end, c.next, c.kind, c.left, c.before, token, form, True, c.run, tongue=c.tongue)
-    if c.form in ("lower", "olower", "dlower") or c.right in (",", ";", ":", ")", "،", "、"):
+        return 1, Candidate(c.end, c.next, c.kind, c.left, c.before, token, form, True, c.run)
+    known = verdict(c.kind, c.run, c.gap, c.form, c.flags, lead)
+    if known is not None:
+        return known, c
+    n, share = counts.left(c.left, tongue_)
+    if n >= MANY and share < 0.02:
+        return 0, c
+    if share >= 0.5 and n >= MANY and len(c.left) > 2 and c.left.isalpha():
+        return 1, c  # a word that ends blocks as often as words do
+    n, share = counts.right(c.right, tongue_)
+    if share >= 0.5 and n >= MANY and len(c.left) > 3 and c.left.isalpha():
+        return 1, c  # and before one that starts them as often
+    if n >= MANY and share < 0.02 and c.form not in ("template", "digit") and not (len(c.left) > 3 and c.left.isalpha()):
         return 0, c
-    if c.kind == "dot" and c.run == 1:
-        n, share = counts.left(c.left, c.tongue)
-        if n >= MANY and share < 0.02:
-            return 0, c
-        if share >= 0.5 and n >= MANY and len(c.left) > 2 and c.left.isalpha():
-            return 1, c  # a word that ends blocks as often as words do
-        n, share = counts.right(c.right, c.tongue)
-        if share >= 0.5 and n >= MANY and len(c.left) > 3 and c.left.isalpha():
-            return 1, c  # and before one that starts them as often
-        if n >= MANY and share < 0.02 and c.form not in ("template", "digit") and not (len(c.left) > 3 and c.left.isalpha()):
-            return 0, c
     return None
 
 
-def labelled(text: str, counts: Counts) -> list[tuple[int, list[int]]]:
-    """Training examples of a text: label and features."""
+def labelled_blocks(found: list[tuple[list[Candidate], str, tuple[str, str] | None]], counts: Counts) -> list[tuple[int, list[int]]]:
+    """Training examples of a text's blocks (candidates, language, head): label and features."""
     out = []
-    found = analyze(text)
-    heads = [_follow(text, b.start, b.end, {}) if not b.listed else None for b in found]
-    for i, b in enumerate(found):
-        if b.thai:
-            continue
-        start = next((h for h in heads[i + 1 :] if h and h[1] != "lower"), None) or next((h for h in heads[:i] if h and h[1] != "lower"), None)
-        for c in b.candidates:
-            if got := label(c, counts, start):
-                out.append((got[0], features(got[1], counts)))
+    heads = [h if h and h[1] != "lower" else None for _, _, h in found]
+    after: list[tuple[str, str] | None] = [None] * len(heads)
+    for i in range(len(heads) - 2, -1, -1):
+        after[i] = heads[i + 1] or after[i + 1]
+    first = next((h for h in heads if h), None)
+    for i, (candidates, t, _) in enumerate(found):
+        start = after[i] or (first if any(heads[:i]) else None)
+        at = 0
+        for c in candidates:
+            lead = c.lead > at
+            if got := label(c, t, counts, start, lead):
+                out.append((got[0], features(got[1], t, counts, lead)))
+                if got[0]:
+                    at = c.next
     return out
 
 
+def labelled(text: str, counts: Counts) -> list[tuple[int, list[int]]]:
+    """Training examples of a text: label and features."""
+    found = passages(text)
+    return labelled_blocks([(b.candidates, t, b.head) for (_, b), t in zip(found, tongues(text, found), strict=True)], counts)
+
+
 def fit(examples: list[tuple[int, list[int]]], **options) -> np.ndarray:  # noqa: ANN003
     """:func:`fit_arrays` of labels and features in a list."""
     if not examples:
-        return np.zeros(DIMS)
+        return prior()
     return fit_arrays(np.array([e[0] for e in examples]), np.array([e[1] for e in examples]), **options)
 
 
 def fit_arrays(y: np.ndarray, x: np.ndarray, rounds: int = 12, rate: float = 0.3, decay: float = 1e-5, batch: int = 256) -> np.ndarray:
     """Weights of the maximum-entropy (logistic) model, by AdaGrad; ``x``: the indexes of each example's features.
 
-    The examples are put in an order that depends on their content only.
+    Weights start from :func:`prior` and decay towards it. The examples are put in an
+    order that depends on their content only.
     """
-    w, g = np.zeros(DIMS), np.full(DIMS, 1e-8)
+    w0 = prior()
+    w, g = w0.copy(), np.full(DIMS + FORMS, 1e-8)
     if not len(y):
         return w
     mix = np.random.default_rng(3).integers(1, 1 << 40, x.shape[1])
@@ -681,8 +875,8 @@ def fit_arrays(y: np.ndarray, x: np.ndarray, rounds: int = 12, rate: float = 0.3
     for _ in range(rounds):
         for part in np.array_split(order.permutation(len(y)), max(1, len(y) // batch)):
             p = 1 / (1 + np.exp(-np.clip(w[x[part]].sum(1), -30, 30)))
-            d = np.bincount(x[part].ravel(), np.repeat((p - y[part]) / len(part), x.shape[1]), DIMS)
-            d += decay * w
+            d = np.bincount(x[part].ravel(), np.repeat((p - y[part]) / len(part), x.shape[1]), DIMS + FORMS)
+            d += decay * (w - w0)
             g += d * d
             w -= rate * d / np.sqrt(g)
     return w
@@ -690,171 +884,199 @@ def fit_arrays(y: np.ndarray, x: np.ndarray, rounds: int = 12, rate: float = 0.3
 
 # ---------------------------------------------------------------- decisions
 
-_ASIDE = regex.compile(r"[,;:，；：、،؛·)\]）]")
-_LATIN_OR_NUMBER = regex.compile(r"[\p{Latin}\p{N}ๆ]")
-
-
-def _thai_gaps(text: str, b: Block) -> list[tuple[int, int]]:
-    out = []
-    j = 0
-    for m in _GAP.finditer(text, b.start, b.end):
-        p, q = m.span()
-        while j < len(b.inside) and b.inside[j][1] <= p:
-            j += 1
-        if j < len(b.inside) and b.inside[j][0] <= p:
-            continue
-        left, right = p - 1, q
-        while left > b.start and text[left] in "]'\"”)":
-            left -= 1
-        r = text[right : right + 1]
-        if text.startswith("[[", right):
-            at = _LINKED.match(text, right, b.end).end()
-            r = text[at : at + 1]
-        else:
-            while r and r in "'\"“(" and right < b.end - 1:
-                right += 1
-                r = text[right : right + 1]
-        if _LATIN_OR_NUMBER.match(text[left]) or (r and _LATIN_OR_NUMBER.match(r)) or r in "{}<" or text[left] in "}":
-            continue
-        out.append((p, q))
-    return out
-
 
 @dataclass
 class Model:
     counts: Counts
     weights: np.ndarray
-    known: dict[tuple, bool] = field(default_factory=dict, repr=False)  # decisions made before
-
-    def ends(self, text: str, c: Candidate, start: int) -> bool:
-        """Whether a sentence that began at ``start`` ends at the candidate."""
-        if c.final:
-            return True
-        if c.right and _ASIDE.match(c.right):
-            return False
-        lower = c.form in ("lower", "olower", "dlower")
-        if c.kind == "quote":
-            at = text[start : c.opened].strip("  ​\n\t—–-¿¡'[*")
-            if not any(ch.isalnum() for ch in at):
-                return False  # the words that name the speaker follow
-            return not lower and not c.form.startswith("d") and c.right[:1] not in ("と", "っ")
-        if c.kind == "full":
-            return True
-        if lower:
-            return False
-        if c.kind == "dots":
-            return c.gap and c.form not in ("uncased", "ouncased")
-        if c.kind == "strong":
-            return c.gap or c.form in ("upper", "uncased", "ouncased", "oupper", "camel", "qupper", "digit", "template", "caps", "oother")
-        if not c.gap and not self._glued(c):
-            return False
-        if c.run > 1:
-            return True  # an abbreviation's full stop, and one of its own
-        key = (c.kind, c.tongue, c.left, c.before, c.right, c.form, c.gap)
+    known: dict[tuple, tuple[bool, bool]] = field(default_factory=dict, repr=False)  # decisions made before, without and with words before a quotation
+    parts: dict[tuple, tuple] = field(default_factory=dict, repr=False)  # sums of weights of parts of contexts
+
+    def _part(self, key: tuple, make) -> tuple:  # noqa: ANN001
+        found = self.parts.get(key)
+        if found is None:
+            if len(self.parts) >= MOST_KNOWN:
+                self.parts.clear()
+            *out, indexes = make()
+            found = self.parts[key] = (*out, float(self.weights[indexes].sum()))
+        return found
+
+    def decide(self, c: Candidate, tongue_: str) -> tuple[bool, bool]:
+        """Whether a sentence ends at a candidate within its block: if no words, and if some, stand before a quotation."""
+        key = (tongue_, c.kind, c.left, c.before, c.right, c.form, c.flags, c.gap, c.run)
         found = self.known.get(key)
         if found is None:
             if len(self.known) >= MOST_KNOWN:
                 self.known.clear()
-            found = self.known[key] = float(self.weights[features(c, self.counts)].sum()) > 0
+            ll, sh, a = self._part((0, tongue_, c.left), lambda: _left_features(c.left, tongue_, self.counts))
+            lr, b = self._part((1, tongue_, c.right), lambda: _right_features(c.right, tongue_, self.counts))
+            (d,) = self._part((2, c.before, sh), lambda: (_before_features(c.before, sh),))
+            place = lambda lead: self._part((3, c.kind, min(c.run, 2), c.gap, c.form, c.flags, lead, ll, sh, lr), lambda: (_place_features(c.kind, c.run, c.gap, c.form, c.flags, lead, ll, sh, lr),))[0]
+            no = a + b + d + place(False) > 0
+            found = self.known[key] = (no, a + b + d + place(True) > 0 if c.kind == "quote" else no)
         return found
 
-    @staticmethod
-    def _glued(c: Candidate) -> bool:
-        """A full stop without a space after it is an end only between a word or number and a capitalised word."""
-        core = c.left.rsplit(".", 1)[-1]
-        if c.form not in ("upper", "camel", "oupper", "qupper", "uncased", "ouncased", "template", "otemplate") or (c.form == "upper" and len(c.right) < 2):
-            return c.form in ("digit", "caps") and len(core) > 2 and core.isalpha()
-        if c.form in ("uncased", "ouncased"):
-            return len(core) > 2
-        return core.isdigit() or (len(core) > 2 and not core.isupper()) or (len(core) > 1 and core.islower()) or not core
-
     def sentences(self, text: str | None) -> list[tuple[int, int]]:
         """Each sentence's start and end, in code points."""
         out: list[tuple[int, int]] = []
-        for b in analyze(text) if text else ():
-            cuts = [(c.end, c.next, c) for c in b.candidates]
-            if b.thai:
-                cuts = sorted([*cuts, *((p, q, None) for p, q in _thai_gaps(text, b))], key=lambda x: x[:2])
-            start = b.start
-            for e, nxt, c in cuts:
-                if e > start and nxt < b.end and (c is None or self.ends(text, c, start)):
-                    out.append((start, e))
-                    start = nxt
-            e = b.end
-            while e > start and (text[e - 1].isspace() or text[e - 1] in "​﻿"):
-                e -= 1
-            if e > start:
-                out.append((start, e))
+        found = passages(text) if text else []
+        for (at, b), t in zip(found, tongues(text, found) if text else [], strict=True):
+            start = 0
+            for c in b.candidates:
+                if c.end > start and c.next < b.end and self.decide(c, t)[c.kind == "quote" and c.lead > start]:
+                    out.append((at + start, at + c.end))
+                    start = c.next
+            if b.end > start:
+                out.append((at + start, at + b.end))
         return out
 
 
 # ---------------------------------------------------------------- on Spark
 
+_US = "\x1f"
+_I, _T = pa.list_(pa.int32()), pa.list_(pa.string())
+_ANALYSIS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("b_start", _I), ("b_end", _I), ("b_n", _I), ("b_tongue", _T), ("b_first", _T), ("b_head", _T), ("c_block", _I), ("c_end", _I), ("c_next", _I), ("c_lead", _I), ("c_place", _I), ("c_context", _T)])
+ANALYSIS = "doc_id bigint, h bigint, b_start array<int>, b_end array<int>, b_n array<int>, b_tongue array<string>, b_first array<string>, b_head array<string>, c_block array<int>, c_end array<int>, c_next array<int>, c_lead array<int>, c_place array<int>, c_context array<string>"
+#: Rows of one batch of results.
+_ROWS = 500
 
-def corpus_counts(docs: DataFrame) -> Counts:
-    """Exact counts over every text of ``docs`` (one column), by language and token.
 
-    Only tokens with as many different surroundings as make a difference (:data:`LEAST_LEFT`,
-    :data:`LEAST_RIGHT`) come to the driver; the totals are of all.
+def context(c: Candidate) -> str:
+    """A candidate without its position, as text."""
+    return _US.join((c.kind, "2" if c.run > 1 else "1", "g" if c.gap else "n", "f" if c.final else "", c.form, c.flags, c.left, c.before, c.right, _norm(c.left), _norm(c.right)))
+
+
+def candidate(text: str, end: int = 0, next_: int = 0, lead: int = -1) -> Candidate:
+    """The candidate of a :func:`context`."""
+    kind, run, gap, final, form, flags, left, before, right, _, _ = text.split(_US)
+    return Candidate(end, next_, kind, left, before, right, form, gap == "g", int(run), lead, flags, final == "f")
+
+
+def _lists(rows: list[list[list]], schema: pa.Schema, first: int) -> list[pa.Array]:
+    """Columns of lists, from rows of lists."""
+    out = []
+    for i, f in enumerate(schema):
+        if i < first:
+            continue
+        column = [r[i] for r in rows]
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(x) for x in column], out=offsets[1:])
+        flat = pa.array([v for x in column for v in x], f.type.value_type)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
+    return out
+
+
+def analysis(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What is found in each text (:data:`ANALYSIS`): its blocks, and their candidates with positions from the block's start.
+
+    Texts that share passages are brought together first, so that these are gone through once.
     """
+    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str | None, list[int]] = {}
-        totals = [0, 0, 0, 0, -1, -1]  # all bits set: never left out
-
-        def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), *[pa.array(c, pa.int64()) for c in zip(*sums.values(), strict=True)]], names=["key", *"abcdef"])
+        kept: dict[int, tuple] = {}
+
+        def listed(b: Block) -> tuple:
+            # Blocks live as long as this: an id is never another's.
+            found = kept.get(id(b))
+            if found is None:
+                if len(kept) >= MOST_KNOWN:
+                    kept.clear()
+                cs = b.candidates
+                found = kept[id(b)] = b, [c.end for c in cs], [c.next for c in cs], [c.lead for c in cs], [_place(c.around) for c in cs], [context(c).replace("\x00", "") for c in cs]
+            return found
 
         for batch in it:
-            for text in batch.column(0).to_pylist():
-                for row, key, n in habits(text) if text else ():
-                    at = sums.get(key)
-                    if at is None:
-                        at = sums[key] = [0] * 6
-                    if row < 4:
-                        at[row] += n
-                        totals[row] += n
-                    else:
-                        at[row] |= n
-                if len(sums) >= MOST_KEYS:
-                    yield table()
-                    sums.clear()
-        sums[None] = totals
-        yield table()
-
-    cells = docs.mapInArrow(scan, "key string, " + ", ".join(f"{x} bigint" for x in "abcdef"))
-    by = cells.groupBy("key").agg(*[F.sum(x).alias(x) for x in "abcd"], *[F.bit_or(x).alias(x) for x in "ef"])
+            rows: list[list] = []
+            for d, t, h in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if not t:
+                    continue
+                r: list[list] = [d, h, [], [], [], [], [], [], [], [], [], [], [], []]
+                found = passages(t)
+                for i, ((at, b), tongue_) in enumerate(zip(found, tongues(t, found), strict=True)):
+                    _, ends, nexts, leads, places, contexts = listed(b)
+                    r[2].append(at)
+                    r[3].append(b.end)
+                    r[4].append(len(ends))
+                    r[5].append(tongue_)
+                    r[6].append(_norm(b.first) if b.first and not b.listed else None)
+                    r[7].append(None if b.head is None or b.thai else _US.join(b.head))
+                    r[8] += [i] * len(ends)
+                    r[9] += ends
+                    r[10] += nexts
+                    r[11] += leads
+                    r[12] += places
+                    r[13] += contexts
+                rows.append(r)
+                if len(rows) >= _ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), *_lists(rows, _ANALYSIS, 2)], schema=_ANALYSIS)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), *_lists(rows, _ANALYSIS, 2)], schema=_ANALYSIS)
+
+    return together(slim).withColumn("h", F.xxhash64("doc_id", "text")).mapInArrow(scan, ANALYSIS)
+
+
+def corpus_counts(found: DataFrame) -> Counts:
+    """Exact counts over all documents of an :func:`analysis`, by language and token.
+
+    Only tokens with as many different surroundings as make a difference (:data:`LEAST_LEFT`,
+    :data:`LEAST_RIGHT`) come to the driver; the totals are of all.
+    """
+    one, none, bit = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("c.place"))
+    row = lambda key, *v: F.struct(F.concat(F.col("c.tongue"), F.lit("|"), key).alias("key"), *[x.alias(n) for x, n in zip(v, "abcdef", strict=True)])
+    zipped = F.arrays_zip(F.col("c_block").alias("block"), F.col("c_place").alias("place"), F.col("c_context").alias("context"))
+    cs = found.select("b_tongue", F.explode(zipped).alias("z")).select(
+        F.struct(F.element_at("b_tongue", F.col("z.block") + 1).alias("tongue"), F.col("z.place").alias("place"), F.split("z.context", _US).alias("p")).alias("c")
+    )
+    part = lambda i: F.col("c.p")[i]
+    final = part(3) == "f"
+    lefts = F.when((part(0) == "dot") & (part(1) == "1") & (part(6) != ""), row(part(9), one, F.when(final, one).otherwise(none), none, none, F.when(final, none).otherwise(bit), none))
+    rights = F.when(~final & (part(8) != "") & part(0).isin("dot", "strong"), row(part(10), none, none, one, none, none, bit))
+    marks = cs.select(F.explode(F.array_compact(F.array(lefts, rights))).alias("r")).select("r.*")
+    starts = found.select(F.explode(F.arrays_zip("b_tongue", "b_first")).alias("z")).where("z.b_first is not null").select(
+        F.concat(F.col("z.b_tongue"), F.lit("|"), F.col("z.b_first")).alias("key"), none.alias("a"), none.alias("b"), none.alias("c"), one.alias("d"), none.alias("e"), none.alias("f")
+    )
+    by = materialize(marks.unionByName(starts).groupBy("key").agg(*[F.sum(x).alias(x) for x in "abcd"], *[F.bit_or(x).alias(x) for x in "ef"]), "counts")
+    totals = [int(x or 0) for x in by.agg(*[F.sum(x) for x in "abcd"]).first()]
     t = by.where((F.bit_count("e") >= LEAST_LEFT) | (F.bit_count("f") >= LEAST_RIGHT)).toArrow()
     sums = np.array([np.asarray(t[x]) for x in "abcdef"], np.int64).reshape(6, -1)
-    index = {k: i for i, k in enumerate(t["key"].to_pylist())}
-    totals = index.pop(None, None)
-    return Counts(sums, index, [0] * 4 if totals is None else sums[:4, totals].tolist())
+    return Counts(sums, {k: i for i, k in enumerate(t["key"].to_pylist())}, totals)
+
+
+def _stored_blocks(b_n: list[int], b_tongue: list[str], b_head: list[str | None], ends: list[int], nexts: list[int], leads: list[int], contexts: list[str]) -> list[tuple[list[Candidate], str, tuple[str, str] | None]]:
+    out, k = [], 0
+    for n, t, head in zip(b_n, b_tongue, b_head, strict=True):
+        out.append(([candidate(contexts[i], ends[i], nexts[i], leads[i]) for i in range(k, k + n)], t, tuple(head.split(_US)) if head else None))
+        k += n
+    return out
 
 
-def place_hashes(text: str) -> Iterator[int]:
-    """Numbers that deal out the examples of a text, one after the other, at random but always alike."""
-    whole = hashlib.blake2b(text.encode("utf8", "surrogatepass"), digest_size=16)
-    for i in itertools.count():
-        each = whole.copy()
-        each.update(b"|%d" % i)
-        yield int.from_bytes(each.digest()[:8], "big", signed=True)
+def place_hashes(h: int, n: int) -> list[int]:
+    """Numbers that deal out ``n`` examples of a text (by its hash), one after the other, at random but always alike."""
+    return [int.from_bytes(hashlib.blake2b(struct.pack("<qq", h, i), digest_size=8).digest(), "big", signed=True) for i in range(n)]
 
 
-def train(docs: DataFrame, counts: Counts, documents: int, sample: int = 8_000) -> Model:
-    """The model, trained on the reliable boundaries of about ``sample`` documents (of ``documents``), chosen by hash.
+def train(found: DataFrame, counts: Counts, documents: int, sample: int = 8_000) -> Model:
+    """The model, trained on the reliable boundaries of about ``sample`` documents (of ``documents``), chosen by the hash of id and text.
 
     Of more than ``EXAMPLES * sample`` examples so many are taken, by a hash of their text and place in it.
     """
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [(h, *x) for text in batch.column(0).to_pylist() if text for x, h in zip(labelled(text, counts), place_hashes(text), strict=False)]
+            rows: list[tuple] = []
+            for h, *stored in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+                examples = labelled_blocks(_stored_blocks(*stored), counts)
+                rows += [(p, *x) for x, p in zip(examples, place_hashes(h, len(examples)), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    share = min(1.0, sample / max(documents, 1))
-    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
-    few = few.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text"))
+    few = found.select("h", "b_n", "b_tongue", "b_head", "c_end", "c_next", "c_lead", "c_context")
+    if sample < documents:
+        # The hash's whole range, so that a share of any size has its threshold.
+        few = few.where(F.col("h") < -(1 << 63) + (1 << 64) * sample // documents)
+    few = few.repartition(2 * found.sparkSession.sparkContext.defaultParallelism)
     t = few.mapInArrow(scan, "h bigint, y byte, x array<int>").orderBy("h").limit(EXAMPLES * sample).toArrow()
     y = np.asarray(t["y"]).astype(np.int64)
     x = np.asarray(t["x"].combine_chunks().flatten()).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.int64)
@@ -868,18 +1090,46 @@ def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     occurs twice gives its sentences twice; null ids are kept; other columns are not read.
     Counts cover all rows; ``sample`` bounds the documents that the model is trained on.
     """
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = spread(slim)
-    counts = corpus_counts(dealt.select("text"))
-    model = train(slim.select("text"), counts, slim.count(), sample)
+    found = materialize(analysis(docs, doc_id, text), "analysis")
+    counts = corpus_counts(found)
+    model = train(found, counts, found.count(), sample)
     schema = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])
-    shared = slim.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = ["doc_id", "b_start", "b_end", "b_n", "b_tongue", "c_end", "c_next", "c_lead", "c_context"]
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        by: dict[str, dict[str, tuple[bool, bool]]] = {}
+        held = 0
         for batch in it:
-            rows = [(d, s, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s, e in m.sentences(t)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
-
-    return dealt.mapInArrow(emit, "doc_id bigint, start_pos bigint, end_pos bigint")
+            ids: list[int | None] = []
+            starts: list[int] = []
+            stops: list[int] = []
+            for d, b_start, b_end, b_n, b_tongue, c_end, c_next, c_lead, c_context in zip(*[batch.column(i).to_pylist() for i in range(len(columns))], strict=True):
+                k, before = 0, len(starts)
+                for at, end, n, tongue_ in zip(b_start, b_end, b_n, b_tongue, strict=True):
+                    start = 0
+                    decided = by.setdefault(tongue_, {})
+                    for i in range(k, k + n):
+                        if c_end[i] > start and c_next[i] < end:
+                            x = c_context[i]
+                            yes = decided.get(x)
+                            if yes is None:
+                                if held >= MOST_KNOWN:
+                                    by = {tongue_: {}}
+                                    decided, held = by[tongue_], 0
+                                yes = decided[x] = m.decide(candidate(x), tongue_)
+                                held += 1
+                            if yes[c_lead[i] > start]:
+                                starts.append(at + start)
+                                stops.append(at + c_end[i])
+                                start = c_next[i]
+                    k += n
+                    if end > start:
+                        starts.append(at + start)
+                        stops.append(at + end)
+                ids += [d] * (len(starts) - before)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, stops)], schema=schema)
+
+    return found.select(*columns).mapInArrow(emit, "doc_id bigint, start_pos bigint, end_pos bigint")

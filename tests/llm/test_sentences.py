@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from changeflow.llm import sentences as S
 
-#: Texts with | where one sentence ends and the next begins; decided by form alone.
+#: Texts with | where one sentence ends and the next begins; a model without training decides them by their form.
 CASES = [
     ("A first one?| And a second!|Third one", None),
     ("One\nline break inside.\n\nAnother block without a mark\n\n* item one\n* item two? Yes.", ["One\nline break inside.", "Another block without a mark", "item one", "item two?", "Yes."]),
@@ -38,7 +38,7 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def blank():
-    return S.Model(S.Counts(np.zeros((6, S.BUCKETS), np.int64)), np.zeros(S.DIMS))
+    return S.Model(S.Counts(np.zeros((6, S.BUCKETS), np.int64)), S.prior())
 
 
 @pytest.mark.parametrize("i", range(len(CASES)))
@@ -125,7 +125,7 @@ def test_tokens_whose_hashes_collide_are_counted_apart(spark):
             break
     assert a != b
     texts = [f"They met Mr {'ab'[i % 2] * (i + 3)} of {a}. Then they left for {i}." for i in range(9)] + [f"It was near {b}.", f"The mill of {b}. Zed left it."]
-    counts = S.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts = S.corpus_counts(S.analysis(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")))
     assert counts.left(a, "en")[0] > S.LEAST_LEFT and counts.left(a, "en")[1] == 0
     assert counts.left(b, "en") == (0, 1.0)  # one surrounding: as good as never met
     sums = np.zeros((6, S.BUCKETS), np.int64)
@@ -142,12 +142,58 @@ def test_training_does_not_depend_on_the_order_of_documents_where_examples_are_c
     kept = []
     monkeypatch.setattr(S, "EXAMPLES", 1)
     monkeypatch.setattr(S, "fit_arrays", lambda y, x: kept.append((y, x)) or np.zeros(S.DIMS))
-    texts = [(t,) for t, _ in corpus()[:120]]
-    counts = S.corpus_counts(spark.createDataFrame(texts, "text string"))
+    texts = [(i, t) for i, (t, _) in enumerate(corpus()[:120])]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = S.corpus_counts(S.analysis(df(texts)))
     for rows, parts in ((texts, 1), (texts[::-1], 3)):
-        S.train(spark.createDataFrame(rows, "text string").repartition(parts), counts, 60, sample=60)
+        S.train(S.analysis(df(rows).repartition(parts)), counts, 60, sample=60)
     one, two = (sorted(zip(y.tolist(), x.tolist(), strict=True)) for y, x in kept)
-    every = sorted(x for t, in texts for x in S.labelled(t, counts))
-    assert one == two and len(one) == 60 < len(every)
-    chosen = sorted((h, x) for t, in texts for x, h in zip(S.labelled(t, counts), S.place_hashes(t), strict=False))[:60]
-    assert one == sorted((y, x) for _, (y, x) in chosen)
+    assert one == two and len(one) == 60
+    every = []
+    for r in df(texts).select("text", S.F.xxhash64("doc_id", "text").alias("h")).collect():
+        examples = S.labelled(r.text, counts)
+        every += zip(S.place_hashes(r.h, len(examples)), examples, strict=True)
+    assert len(every) > 60 and one == sorted((y, x) for _, (y, x) in sorted(every)[:60])
+
+
+def test_the_share_of_a_huge_corpus_has_a_threshold(spark, monkeypatch):
+    """A sample of 10^10 documents isn't empty where a document's hash is low enough, and no size rounds the share to nothing."""
+    texts = [(i, t) for i, (t, _) in enumerate(corpus()[:120])]
+    found = S.analysis(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    counts = S.corpus_counts(found)
+    taken = []
+    monkeypatch.setattr(S, "fit_arrays", lambda y, x: taken.append(len(y)) or S.prior())
+    low = found.withColumn("h", S.F.lit(-(1 << 63) + 1).cast("bigint"))
+    S.train(low, counts, 10**10, sample=8_000)
+    S.train(found, counts, 240, sample=120)
+    assert taken[0] > 500 and 0.25 * taken[0] < taken[1] < 0.75 * taken[0]
+
+
+def test_what_is_stored_decides_as_the_text_does(spark):
+    docs = [(i, t) for i, (t, _) in enumerate(corpus()[:60])] + [(1000 + i, "".join(S.regex.split(r"\\|(?![^\\[{]*[\\]}])", t))) for i, (t, _) in enumerate(CASES) if t]
+    docs += [(i + 5000, t) for i, t in docs[:30]]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    models = []
+    fit = S.train
+    S.train = lambda *a, **k: models.append(fit(*a, **k)) or models[-1]
+    try:
+        got = {}
+        for r in S.split(df).collect():
+            got.setdefault(r.doc_id, []).append((r.start_pos, r.end_pos))
+    finally:
+        S.train = fit
+    assert {d: sorted(x) for d, x in got.items()} == {d: x for d, t in docs if (x := models[0].sentences(t))}
+
+
+def test_forgetting_blocks_changes_nothing(blank, monkeypatch):
+    texts = [t for t, _ in corpus()[:40]]
+    want = [blank.sentences(t) for t in texts]
+    monkeypatch.setattr(S, "MOST_KEPT", 10)
+    S._FOUND.clear()
+    assert [blank.sentences(t) for t in texts] == want and len(S._FOUND) <= 1
+
+
+def test_forms_and_their_indexes():
+    assert len(S._FORM_INDEX) < S.FORMS and len({*S._FORM_INDEX.values()}) == len(S._FORM_INDEX)
+    w = S.prior()
+    assert all((w[i] > 0) == (S._VERDICTS[f] == 1) and (w[i] < 0) == (S._VERDICTS[f] == 0) for f, i in S._FORM_INDEX.items())
