@@ -105,3 +105,38 @@ class EngineConfig:
                     raise ValueError("history needs the database's update time")
         if any(t.encrypt or t.encrypt_json for t in self.topics) and bool(self.passphrase) == bool(self.key_service):
             raise ValueError("encryption needs either a passphrase or a key service")
+
+
+_TUPLES = {"include", "exclude", "hash", "encrypt", "keys_override", "keys_include", "merge_predicates"}
+
+
+def from_dict(data: dict) -> EngineConfig:
+    """Settings from plain values, as a YAML or JSON file holds them; a name that isn't a setting is an error."""
+
+    def topic(t: dict) -> TopicConfig:
+        t = {k: tuple(v) if k in _TUPLES else tuple(v.items()) if k == "static" and isinstance(v, dict) else v for k, v in t.items()}
+        if isinstance(t.get("soft_partitions"), dict):
+            t["soft_partitions"] = SoftPartitions(**t["soft_partitions"])
+        return TopicConfig(**t)
+
+    try:
+        return EngineConfig(**{**data, "topics": tuple(topic(t) for t in data.get("topics", ()))})
+    except TypeError as e:
+        raise ValueError(f"unknown setting: {e}") from None
+
+
+def from_text(text: str) -> EngineConfig:
+    """Settings from JSON text or, where the library for it is installed, YAML."""
+    import json
+
+    try:
+        data = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("these settings are no JSON, and there is no YAML library") from None
+        data = yaml.safe_load(text)
+    if not isinstance(data, dict):
+        raise ValueError("settings are an object")
+    return from_dict(data)

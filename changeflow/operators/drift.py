@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 _FIELD = "STRUCT<field: STRING, type: STRING, fields: ARRAY<STRUCT<field: STRING, type: STRING>>>"
 _RECORD = f"`schema` STRUCT<fields: ARRAY<{_FIELD}>>, payload STRING"
 
@@ -101,7 +103,7 @@ def schema_changes(records: DataFrame, record_key: str = "id", keep: float = 0.5
 
 def changes_of(parsed: DataFrame, record_key: str = "id", keep: float = 0.5) -> DataFrame:
     """:func:`schema_changes` of records parsed before; they are read four times, so a written table serves best."""
-    files = file_schemas(parsed).where("target is not null")
+    files = materialize(file_schemas(parsed).where("target is not null"), "files")
     parts = enforce(F.col("fields"), F.col("target"))
     diff = files.select("feed", "file_no", "prev_no", "fields", "target", *[c.alias(n) for n, c in parts.items() if n != "kept"])
     renames = _renames(parsed, diff, record_key, keep)
@@ -125,7 +127,8 @@ def _renames(parsed: DataFrame, diff: DataFrame, record_key: str, keep: float) -
     one = parsed.where(F.col("row")[record_key].isNotNull()).groupBy("feed", "file_no", key).agg(F.max_by("row", F.struct(F.col("fields").isNotNull(), F.size("row"), "written_at", "rec_id")).alias("row"))
     now = one.join(open_, ["feed", "file_no"]).select("feed", "file_no", "key", "pairs", rescue(F.col("row"), F.col("fields"), F.col("target"))[1].alias("rescued_row"))
     before = one.withColumnRenamed("file_no", "prev_no").join(open_.select("feed", "file_no", "prev_no"), ["feed", "prev_no"]).select("feed", "file_no", "key", F.col("row").alias("old"))
-    both = now.join(before, ["feed", "file_no", "key"])
+    # Read twice: once for all pairs, once for the few that may be renames.
+    both = materialize(now.join(before, ["feed", "file_no", "key"]).select("feed", "file_no", "pairs", "old", "rescued_row"), "replayed")
     # A record gives a row for each pair whose values are equal, and one for each value it has on either side; not for all pairs.
     was, replayed = (lambda p: F.col("old")[p["a"]]), (lambda p: F.col("rescued_row")[p["b"]])
     nothing = F.lit(None).cast("string")

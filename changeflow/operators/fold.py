@@ -118,3 +118,8 @@ def batch_flags(changes: DataFrame, op: str, soft_delete: bool = False) -> DataF
         F.count("*").alias("rows"), F.coalesce(F.bool_or(~gone), F.lit(False)).alias("other_operations"),
         F.coalesce(F.bool_or(gone & F.lit(not soft_delete)), F.lit(False)).alias("hard_deletes"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
     )
+
+
+def latest_event(changes: DataFrame, keys: list[str], at: str, seq: str) -> DataFrame:
+    """``keys, last_at, events``: the time of each group's last saved event by ``seq``, which need not be the latest time, and how many it has."""
+    return changes.groupBy(*keys).agg(F.max_by(at, seq).alias("last_at"), F.count("*").alias("events"))

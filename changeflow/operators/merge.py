@@ -132,9 +132,14 @@ def upsert_staging(pending: DataFrame, batch: DataFrame, keys: list[str], placeh
     return both.select(*out)
 
 
+def distinct_dates(rows: DataFrame, column: str) -> DataFrame:
+    """The different dates ``d`` of a column, a null among them."""
+    return rows.select(F.to_date(column).alias("d")).distinct()
+
+
 def batch_dates(rows: DataFrame, column: str) -> list | None:
-    """The distinct dates of ``column``, a null among them, for pruning; None if there are too many."""
-    dates = [r.d for r in rows.select(F.to_date(column).alias("d")).distinct().limit(MOST_DATES + 1).collect()]
+    """:func:`distinct_dates` in order, for pruning; None if there are too many."""
+    dates = [r.d for r in distinct_dates(rows, column).limit(MOST_DATES + 1).collect()]
     return None if len(dates) > MOST_DATES else sorted(dates, key=lambda d: (d is not None, d))
 
 

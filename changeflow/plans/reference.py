@@ -12,13 +12,16 @@ from ..config import TopicConfig
 from ..functions import decode, masking, redact, text
 from ..kinds import TYPE_TEXT, Kind, decimal_kind, escape_name, kind_from_text, type_text
 from ..operators import batch, dedupe, evolve, fold, merge, route, transform
+from ..sinks import files
 from ..sources import documents, frames, relational, tracking
 from ..sources.frames import UNAVAILABLE, read_table
+from ..streaming import apply
 
 KEYS = ["o_orderkey"]
 COLUMNS = ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
 DELETE, ONLY = "__cf_delete", "__cf_only_set_delete"
 SALT = "pepper"
+KIND_NAMES = ("bool", "int", "float", "decimal", "string", "struct", "array", "bytes", "date", "time", "timestamp_ntz", "timestamp_tz", "uuid", "interval", "invalid")
 KEY = masking.key_of("a passphrase for tests")
 
 
@@ -82,7 +85,7 @@ def batch_flags(spark: SparkSession, d: str) -> DataFrame:
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
     """The time of the last saved (not the latest) event of each user."""
     e = read_table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by("ts", "event_id").alias("last_ts"), F.count("*").alias("events"))
+    return fold.latest_event(e, ["user_id"], "ts", "event_id").withColumnRenamed("last_at", "last_ts")
 
 
 def _staged(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +128,13 @@ def merge_partition_pruned(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_pruned(base(spark, d), staged, KEYS, "o_orderdate", placeholder_columns=["o_orderpriority"])
 
 
+def merge_moved_date(spark: SparkSession, d: str) -> DataFrame:
+    """The same with dates that move by forty days for every ninth key: each is found where it was, and no key is doubled."""
+    days = F.when(F.col("o_orderkey") % 9 == 0, F.lit(40)).otherwise(F.lit(0))
+    staged = _staged(spark, d).where(F.col("o_orderdate") < "1995-04-01").withColumn("o_orderdate", F.col("o_orderdate") + F.make_dt_interval(days))
+    return merge.merge_pruned(base(spark, d), staged, KEYS, "o_orderdate", placeholder_columns=["o_orderpriority"])
+
+
 def merge_extra_predicate(spark: SparkSession, d: str) -> DataFrame:
     """The date joins besides the key; a staged row with another date doesn't match and is inserted."""
     moved = _staged(spark, d).withColumn("o_orderdate", F.when(F.col("o_orderkey") % 9 == 0, F.col("o_orderdate") + F.expr("interval 1 day")).otherwise(F.col("o_orderdate")))
@@ -135,8 +145,8 @@ def merge_counts(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_counts(base(spark, d), _staged(spark, d), KEYS)
 
 
-def multi_step_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Three flushes folded onto each other in staging, then merged: the same as one."""
+def staging_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Three flushes folded onto each other, then merged: the same as one."""
     e = feed(spark, d)
     step = [_fold(e.where(f"seq = {i}")).drop("seq") for i in (1, 2, 3)]
     pending = merge.upsert_staging(merge.upsert_staging(step[0], step[1], KEYS, ["o_orderpriority"]), step[2], KEYS, ["o_orderpriority"])
@@ -195,7 +205,7 @@ def partition_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_dates(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return merge.distinct_dates(read_table(spark, d, "orders"), "o_orderdate")
 
 
 def batch_by_bytes(spark: SparkSession, d: str) -> DataFrame:
@@ -272,8 +282,7 @@ def message_fold(spark: SparkSession, d: str) -> DataFrame:
 def skip_applied(spark: SparkSession, d: str) -> DataFrame:
     """Frames above the last committed offset of their partition; tombstones are none."""
     m = read_table(spark, d, "change_messages").where("octet_length(msg_value) > 0").select("topic", "kafka_partition", "kafka_offset")
-    r = read_table(spark, d, "sync_runs").where("lower(trim(run_status)) = 'committed'").groupBy("topic", "kafka_partition").agg(F.max("next_offset").alias("next"))
-    return m.join(r, ["topic", "kafka_partition"], "left").where("next is null or kafka_offset >= next").drop("next").dropDuplicates()
+    return apply.skip_applied(m, read_table(spark, d, "sync_runs").where("lower(trim(run_status)) = 'committed'"))
 
 
 def document_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -404,25 +413,25 @@ def value_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def type_texts(spark: SparkSession, d: str) -> DataFrame:
     """Type text of kinds in each dialect, and the kind read back; names of columns as they are escaped."""
-    rows = [(dialect, name, type_text(Kind(name), dialect), kind_from_text(type_text(Kind(name), dialect), dialect).name) for dialect in sorted(TYPE_TEXT) for name in ("bool", "float", "date", "timestamp_tz")]
+    rows = [(dialect, name, type_text(Kind(name), dialect), kind_from_text(type_text(Kind(name), dialect), dialect).name) for dialect in sorted(TYPE_TEXT) for name in KIND_NAMES]
     return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("dialect"), F.lit(b).alias("kind"), F.lit(c).alias("type_text"), F.lit(e).alias("read_back")) for a, b, c, e in rows])).alias("r")).select("r.*", F.lit(escape_name("1st Order#")).alias("escaped_name"))
 
 
 def message_json(spark: SparkSession, d: str) -> DataFrame:
     """Rows as the messages that a queue gets."""
-    return read_table(spark, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("message"))
+    return files.messages(read_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
 def sample_scan(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty orders by key: the sampling operator."""
-    return read_table(spark, d, "orders").orderBy("o_orderkey").limit(50)
+    return frames.sample_rows(read_table(spark, d, "orders"), ["o_orderkey"])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         fold_last_wins, fold_unavailable_carry, fold_delete_keeps_previous, fold_delete_first, fold_maps, batch_flags, latest_event,
-        merge_hard_delete, merge_soft_delete, merge_split_update, merge_split_insert, merge_split_delete, merge_null_safe_key, merge_partition_pruned, merge_extra_predicate, merge_counts, multi_step_merge,
+        merge_hard_delete, merge_soft_delete, merge_split_update, merge_split_insert, merge_split_delete, merge_null_safe_key, merge_partition_pruned, merge_moved_date, merge_extra_predicate, merge_counts, staging_upsert,
         dedupe_latest, dedupe_second, dedupe_identity, history_append, append_only_fold, latest_view, soft_partition_route, partition_distance, distinct_dates, batch_by_bytes,
         envelope_decode, envelope_meta, decimal_decode, scalar_decoders, text_arrays, key_parse, message_fold, skip_applied, document_rows, tracking_rows, row_images,
         schema_infer, schema_diff_add, cast_to_target, default_backfill, mask_hash, mask_hmac, mask_encrypt, columns_include, columns_exclude, static_columns, skip_operations,

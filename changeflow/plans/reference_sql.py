@@ -95,7 +95,10 @@ FROM b FULL OUTER JOIN s ON b.o_orderkey IS NOT DISTINCT FROM s.o_orderkey""",
 SELECT count(*) AS staged, count(b.o_orderkey) AS matched, count(*) FILTER (b.o_orderkey IS NULL AND NOT is_deleted) AS inserted,
   count(*) FILTER (b.o_orderkey IS NOT NULL AND is_deleted) AS deleted, CAST(count(*) FILTER (b.o_orderkey IS NULL AND s.o_orderpriority = '{_PH}') AS BIGINT) AS unavailable
 FROM staged s LEFT JOIN base b ON b.o_orderkey = s.o_orderkey""",
-    "multi_step_merge": f"{_WITH} {_hard()}",
+    "staging_upsert": f"{_WITH} {_hard()}",
+    "merge_moved_date": f"""{_WITH}, early AS (
+  SELECT * REPLACE (CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate + INTERVAL 40 DAY ELSE o_orderdate END AS o_orderdate) FROM staged WHERE o_orderdate < TIMESTAMP '1995-04-01'
+) {_hard('early')}""",
     "dedupe_latest": f"WITH {_REPEATED} SELECT * FROM copies QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) = 1",
     "dedupe_second": f"WITH {_REPEATED} SELECT * FROM copies QUALIFY count(*) OVER (PARTITION BY o_orderkey) = 1 OR row_number() OVER (PARTITION BY o_orderkey ORDER BY version) = 2",
     "dedupe_identity": f"WITH {_REPEATED}, top AS (SELECT o_orderkey, max(version) AS version FROM copies GROUP BY o_orderkey) SELECT c.* FROM copies c JOIN top USING (o_orderkey, version)",
@@ -175,19 +178,22 @@ SELECT event_id, CASE WHEN k IN (0, 3) THEN date_trunc('second', ts) WHEN k = 1
     "value_texts": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text, CASE WHEN value > 5 THEN '1' ELSE '0' END AS flag_text,
   '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS struct_text, event_type || chr(92) || chr(92) || 'x' AS escaped FROM events""",
     "type_texts": """
-WITH t(dialect, bool, float, date, timestamp_tz) AS (VALUES
-  ('spark', 'BOOLEAN', 'DOUBLE', 'DATE', 'TIMESTAMP'),
-  ('databricks', 'BOOLEAN', 'DOUBLE', 'DATE', 'TIMESTAMP'),
-  ('snowflake', 'boolean', 'float', 'date', 'timestamp_tz'),
-  ('bigquery', 'bool', 'float64', 'date', 'timestamp'),
-  ('redshift', 'BOOLEAN NULL', 'float', 'DATE', 'TIMESTAMP WITH TIME ZONE'),
-  ('postgres', 'boolean', 'double precision', 'date', 'timestamp with time zone'),
-  ('mysql', 'BOOLEAN', 'DOUBLE', 'DATE', 'DATETIME(6)'),
-  ('mssql', 'BIT', 'float', 'DATE', 'datetimeoffset'),
-  ('duckdb', 'boolean', 'double', 'date', 'timestamp with time zone'),
-  ('clickhouse', 'Bool', 'Float64', 'Date', 'DateTime'))
-SELECT dialect, kind, type_text, CASE WHEN dialect = 'mysql' AND kind = 'timestamp_tz' THEN 'timestamp_ntz' ELSE kind END AS read_back, 'col_1st__order__' AS escaped_name
-FROM (UNPIVOT t ON bool, float, date, timestamp_tz INTO NAME kind VALUE type_text)""",
+WITH t(dialect, "bool", "int", "float", "decimal", "string", "struct", "array", "bytes", "date", "time", "timestamp_ntz", "timestamp_tz", "uuid", "interval") AS (VALUES
+  ('bigquery', 'bool', 'int64', 'float64', 'numeric', 'string', 'json', 'array<string>', 'bytes', 'date', 'time', 'datetime', 'timestamp', 'string', 'string'),
+  ('clickhouse', 'Bool', 'Int64', 'Float64', 'String', 'String', 'JSON', 'Array(String)', 'String', 'Date', 'String', 'DateTime', 'DateTime', 'String', 'String'),
+  ('databricks', 'BOOLEAN', 'BIGINT', 'DOUBLE', 'STRING', 'STRING', 'STRING', 'ARRAY<string>', 'BINARY', 'DATE', 'STRING', 'TIMESTAMP_NTZ', 'TIMESTAMP', 'STRING', 'STRING'),
+  ('duckdb', 'boolean', 'bigint', 'double', 'decimal', 'text', 'json', 'text[]', 'blob', 'date', 'time', 'timestamp', 'timestamp with time zone', 'text', 'interval'),
+  ('mssql', 'BIT', 'bigint', 'float', 'VARCHAR(MAX)', 'VARCHAR(MAX)', 'NVARCHAR(MAX)', 'NVARCHAR(MAX)', 'VARBINARY(MAX)', 'DATE', 'TIME', 'datetime2', 'datetimeoffset', 'VARCHAR(MAX)', 'NVARCHAR(MAX)'),
+  ('mysql', 'BOOLEAN', 'BIGINT', 'DOUBLE', 'DECIMAL(65,30)', 'TEXT', 'JSON', 'JSON', 'BLOB', 'DATE', 'TIME(6)', 'DATETIME(6)', 'DATETIME(6)', 'TEXT', 'TEXT'),
+  ('postgres', 'boolean', 'bigint', 'double precision', 'numeric', 'text', 'jsonb', 'text[]', 'bytea', 'date', 'time', 'timestamp without time zone', 'timestamp with time zone', 'uuid', 'interval'),
+  ('redshift', 'BOOLEAN NULL', 'INT8', 'float', 'VARCHAR(MAX)', 'VARCHAR(MAX)', 'SUPER', 'VARCHAR(MAX)', 'VARBYTE', 'DATE', 'TIME', 'TIMESTAMP WITHOUT TIME ZONE', 'TIMESTAMP WITH TIME ZONE', 'VARCHAR(MAX)', 'VARCHAR(MAX)'),
+  ('snowflake', 'boolean', 'int', 'float', 'string', 'string', 'variant', 'array', 'binary', 'date', 'time', 'timestamp_ntz', 'timestamp_tz', 'string', 'string'),
+  ('spark', 'BOOLEAN', 'BIGINT', 'DOUBLE', 'STRING', 'STRING', 'STRING', 'STRING', 'BINARY', 'DATE', 'STRING', 'TIMESTAMP_NTZ', 'TIMESTAMP', 'STRING', 'STRING')
+), every AS (
+  FROM (UNPIVOT t ON "bool", "int", "float", "decimal", "string", "struct", "array", "bytes", "date", "time", "timestamp_ntz", "timestamp_tz", "uuid", "interval" INTO NAME kind VALUE type_text)
+  UNION ALL SELECT dialect, 'invalid', "string" FROM t
+)
+SELECT dialect, kind, type_text, CASE WHEN kind = 'invalid' THEN 'string' ELSE CASE WHEN dialect = 'bigquery' AND kind = 'uuid' THEN 'string' WHEN dialect = 'bigquery' AND kind = 'interval' THEN 'string' WHEN dialect = 'clickhouse' AND kind = 'decimal' THEN 'string' WHEN dialect = 'clickhouse' AND kind = 'bytes' THEN 'string' WHEN dialect = 'clickhouse' AND kind = 'time' THEN 'string' WHEN dialect = 'clickhouse' AND kind = 'timestamp_ntz' THEN 'timestamp_tz' WHEN dialect = 'clickhouse' AND kind = 'uuid' THEN 'string' WHEN dialect = 'clickhouse' AND kind = 'interval' THEN 'string' WHEN dialect = 'databricks' AND kind = 'decimal' THEN 'string' WHEN dialect = 'databricks' AND kind = 'struct' THEN 'string' WHEN dialect = 'databricks' AND kind = 'time' THEN 'string' WHEN dialect = 'databricks' AND kind = 'uuid' THEN 'string' WHEN dialect = 'databricks' AND kind = 'interval' THEN 'string' WHEN dialect = 'duckdb' AND kind = 'uuid' THEN 'string' WHEN dialect = 'mssql' AND kind = 'decimal' THEN 'string' WHEN dialect = 'mssql' AND kind = 'struct' THEN 'string' WHEN dialect = 'mssql' AND kind = 'array' THEN 'string' WHEN dialect = 'mssql' AND kind = 'uuid' THEN 'string' WHEN dialect = 'mssql' AND kind = 'interval' THEN 'string' WHEN dialect = 'mysql' AND kind = 'array' THEN 'struct' WHEN dialect = 'mysql' AND kind = 'timestamp_tz' THEN 'timestamp_ntz' WHEN dialect = 'mysql' AND kind = 'uuid' THEN 'string' WHEN dialect = 'mysql' AND kind = 'interval' THEN 'string' WHEN dialect = 'redshift' AND kind = 'decimal' THEN 'string' WHEN dialect = 'redshift' AND kind = 'array' THEN 'string' WHEN dialect = 'redshift' AND kind = 'uuid' THEN 'string' WHEN dialect = 'redshift' AND kind = 'interval' THEN 'string' WHEN dialect = 'snowflake' AND kind = 'decimal' THEN 'string' WHEN dialect = 'snowflake' AND kind = 'uuid' THEN 'string' WHEN dialect = 'snowflake' AND kind = 'interval' THEN 'string' WHEN dialect = 'spark' AND kind = 'decimal' THEN 'string' WHEN dialect = 'spark' AND kind = 'struct' THEN 'string' WHEN dialect = 'spark' AND kind = 'array' THEN 'string' WHEN dialect = 'spark' AND kind = 'time' THEN 'string' WHEN dialect = 'spark' AND kind = 'uuid' THEN 'string' WHEN dialect = 'spark' AND kind = 'interval' THEN 'string' ELSE kind END END AS read_back, 'col_1st__order__' AS escaped_name FROM every""",
     "message_json": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS message FROM nation""",
     "sample_scan": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50",
 }

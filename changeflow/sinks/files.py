@@ -155,13 +155,13 @@ class DelimitedSink:
                 c = repair_utf8(c) if self.repair else F.base64(c)
             cols.append(c.alias(f.name))
         out = for_files(rows).select(*cols)
-        out.write.mode("append").options(sep="\t", header=False, nullValue=self.null, emptyValue="", quote='"', escape='"', compression="gzip").csv(self.path)
+        out.write.mode("append").options(sep="\t", header=False, nullValue=self.null, quote='"', escape='"', compression="gzip").csv(self.path)
 
     def merge(self, staged: DataFrame, keys: list[str]) -> None:
         self.append(staged)
 
     def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
-        return spark.read.schema(schema).options(sep="\t", header=False, nullValue=self.null, emptyValue="", quote='"', escape='"', multiLine=True).csv(self.path)
+        return spark.read.schema(schema).options(sep="\t", header=False, nullValue=self.null, quote='"', escape='"', multiLine=True).csv(self.path)
 
 
 def messages(rows: DataFrame, out: str = "message") -> DataFrame:

@@ -23,6 +23,18 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def sample_rows(df: DataFrame, keys: list[str], n: int = 50) -> DataFrame:
+    """The first ``n`` rows in the order of ``keys``."""
+    return df.orderBy(*keys).limit(n)
+
+
+def describe_table(spark: SparkSession, name: str) -> list[dict] | None:
+    """Columns of a table of the session's catalog, ``name, type``; None if there is no such table."""
+    if not spark.catalog.tableExists(name):
+        return None
+    return [{"name": f.name, "type": f.dataType.simpleString()} for f in spark.table(name).schema]
+
+
 def whole_number(c: Column) -> Column:
     """The bigint that a number's text stands for (``7``, ``7.0``, ``"7"``, ``7e0``); null for any other text."""
     text = F.trim(c)

@@ -101,6 +101,19 @@ class VersionedTable:
         self.pointer.put(now + 1, {"properties": {**s["properties"], **(properties or {})}, "keys": keys, "buckets": buckets, "parts": parts, "schema": json.loads(df.schema.json())})
         return now + 1
 
+    def append(self, df: DataFrame, properties: dict | None = None, expect: int | None = None) -> int:
+        """Add the rows of ``df`` as a part of its own, for tables without keys; ``df`` has all the table's columns."""
+        now = self.version() if expect is None else expect
+        s = self.state(now)
+        if s["keys"]:
+            raise ValueError("a table with keys is merged into")
+        name = uuid.uuid4().hex
+        df.withColumn(BUCKET, F.lit(now)).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
+        made = self.pointer._fs.exists(self.pointer._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{name}/{BUCKET}={now}"))
+        parts = s["parts"] | ({str(now): name} if made else {})
+        self.pointer.put(now + 1, {"properties": {**s["properties"], **(properties or {})}, "keys": [], "buckets": 1, "parts": parts, "schema": json.loads(df.schema.json())})
+        return now + 1
+
     def touched(self, staged: DataFrame) -> list[int]:
         """The buckets that hold the keys of ``staged``, whose key columns have the table's types."""
         s = self.state()
@@ -125,12 +138,12 @@ class VersionedTable:
 def merge_batch(
     table: VersionedTable, staged: DataFrame, keys: list[str], batch_id: int | None = None, soft_delete: bool = False,
     defaults: dict[str, object] | None = None, placeholder_columns: list[str] | None = None, prefix: str = "__cf_", drop_missing: bool = False, event_time: datetime | None = None,
-    buckets: int = 64, now: datetime | None = None, check: bool = True,
+    buckets: int = 64, now: datetime | None = None, check: bool = True, extra: list[str] | None = None,
 ) -> int | None:
     """Merge a folded batch: diff, add columns, cast, fill defaults, join, check, commit. A batch id already applied does nothing.
 
     Only the buckets that hold keys of the batch are read and written, unless a default
-    is filled in or a column dropped. ``staged`` is read up to three times, so a
+    is filled in or a column dropped. ``extra`` columns join besides the keys. ``staged`` is read up to three times, so a
     written table serves best. With ``check`` the merged buckets must hold every key
     that the batch leaves alive and none that it deletes, else nothing is committed.
     """
@@ -164,11 +177,23 @@ def merge_batch(
         touched = None
     else:
         target = evolve.add_columns(table.read(touched, start), staged.drop(*hidden).schema, prefix, keep)
-    merged = merge.merge(target, staged, keys, soft_delete, placeholder_columns, null_safe=True, prefix=prefix).drop(*gone)
-    test = (lambda written: merge.assert_merged(written, staged, keys, soft_delete, prefix)) if check else None
+    merged = merge.merge(target, staged, keys, soft_delete, placeholder_columns, null_safe=True, prefix=prefix, extra=extra, null_safe_extra=True).drop(*gone)
+    test = (lambda written: merge.assert_merged(written, staged, [*keys, *(extra or [])], soft_delete, prefix)) if check else None
     return table.commit(merged, changed, touched=touched, expect=start, check=test)
 
 
+def append_batch(table: VersionedTable, rows: DataFrame, batch_id: int | None = None, partition_keys: list[str] | None = None) -> int | None:
+    """Add rows to a table, once a batch id; columns that either side lacks are null. Folders written before stay as they are."""
+    start = table.version()
+    props = table.properties()
+    if batch_id is not None and props.get("batch_id") is not None and batch_id <= props["batch_id"]:
+        return None
+    if start:
+        old = table.read(version=start).limit(0)
+        rows = old.unionByName(evolve.cast_to_target(rows, old.schema), allowMissingColumns=True)
+    return table.append(rows, {"batch_id": batch_id}, start)
+
+
 class MultiStepMerge:
     """Gathers batches in a staging table; every ``flushes + 1``-th call merges them into the target."""
 
