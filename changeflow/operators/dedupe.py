@@ -13,7 +13,8 @@ def dedupe(df: DataFrame, keys: list[str], updated: list[str] | None = None, str
     a maximum, combined map-side, so a hot key costs nothing.
     ``second``: of keys with several rows, the second oldest, as engines that delete and
     re-insert a key's second row do; with two rows that is the newer one. Each of
-    ``slices`` slices keeps its two oldest first, so a hot key is no single task.
+    ``slices`` slices keeps its two oldest first, so a hot key is no single task; equal
+    rows are dealt to slices by the input split that they come from.
     """
     rest = [c for c, t in df.dtypes if c not in keys and "map<" not in t and "variant" not in t]
     order = [*(updated or []), *[c for c in rest if c not in (updated or [])]]
@@ -27,7 +28,7 @@ def dedupe(df: DataFrame, keys: list[str], updated: list[str] | None = None, str
         raise ValueError(f"unknown strategy {strategy!r}")
     by = [F.col(c).asc_nulls_first() for c in order]
     spread = Window.partitionBy(*keys, "_slice").orderBy(*by)
-    few = df.withColumn("_slice", F.pmod(F.xxhash64(*(rest or keys)), F.lit(slices))).withColumn("_n", F.row_number().over(spread)).where("_n <= 2")
+    few = df.withColumn("_slice", F.pmod(F.xxhash64(*(rest or keys), F.spark_partition_id()), F.lit(slices))).withColumn("_n", F.row_number().over(spread)).where("_n <= 2")
     w = Window.partitionBy(*keys)
     ranked = few.withColumn("_rn", F.row_number().over(w.orderBy(*by))).withColumn("_count", F.count("*").over(w))
     return ranked.where("_count = 1 or _rn = 2").select(*df.columns)

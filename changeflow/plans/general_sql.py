@@ -188,7 +188,7 @@ SELECT rec_id, CASE WHEN msg_value IS NULL THEN 'null' WHEN trim(msg_value) = ''
 FROM doc_messages WHERE msg_value IS NULL OR NOT json_valid(msg_value) OR json_type(CAST(CASE WHEN json_valid(msg_value) THEN msg_value END AS JSON)) NOT IN ('OBJECT', 'ARRAY')
 """
 
-P3_FOUND = """
+_P3 = """
 WITH r AS (
   SELECT feed, file_no, rec_id, written_at, CAST(rec_value AS JSON) AS j FROM feed_records WHERE json_valid(rec_value)
 ), f AS (
@@ -233,6 +233,9 @@ WITH r AS (
   SELECT * FROM scores WHERE share > 0.5
   QUALIFY row_number() OVER (PARTITION BY feed, file_no, old_name ORDER BY share DESC, new_name) = 1 AND row_number() OVER (PARTITION BY feed, file_no, new_name ORDER BY share DESC, old_name) = 1
 )
+"""
+
+P3_FOUND = f"""{_P3}
 SELECT feed, file_no, 'renamed' AS change_kind, old_name AS field_from, new_name AS field_to FROM renamed
 UNION ALL
 SELECT feed, file_no, 'retyped', old_name, new_name FROM both_cols WHERE old_type <> new_type
@@ -242,4 +245,32 @@ UNION ALL
 SELECT feed, file_no, 'added', '', new_name FROM both_cols a WHERE old_name IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = a.feed AND r.file_no = a.file_no AND r.new_name = a.new_name)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_variants": P1_VARIANTS, "p1_subtypes": P1_VARIANTS, "p1_rejects": P1_REJECTS, "p1_order_lines": P1_ORDER_LINES, "p3_found": P3_FOUND, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND, "p5_changed": P5_CHANGED, "p5_rerun": P5_RERUN}
+P3_TABLE = f"""{_P3.replace("WITH r AS", "WITH RECURSIVE r AS")}, cells0 AS (
+  SELECT feed, file_no, rec_id, i, lower(k) AS name, body->>('$."' || k || '"') AS v
+  FROM (SELECT feed, file_no, rec_id, body, unnest(json_keys(body)) AS k, generate_subscripts(json_keys(body), 1) AS i FROM s WHERE json_type(body) = 'OBJECT')
+), moves AS (
+  SELECT feed, file_no AS at_no, old_name, new_name, row_number() OVER (PARTITION BY feed ORDER BY file_no, old_name, new_name) AS n FROM renamed
+), steps_of AS (
+  SELECT DISTINCT feed, file_no, name AS first_name, name AS cur, CAST(0 AS BIGINT) AS n FROM cells0
+  UNION ALL
+  SELECT t.feed, t.file_no, t.first_name, CASE WHEN m.at_no > t.file_no AND m.old_name = t.cur THEN m.new_name ELSE t.cur END, m.n FROM steps_of t JOIN moves m ON m.feed = t.feed AND m.n = t.n + 1
+), last_names AS (
+  SELECT feed, file_no, first_name, arg_max(cur, n) AS name FROM steps_of GROUP BY ALL
+), finals AS (
+  SELECT feed, split_part(x, chr(1), 1) AS name, split_part(x, chr(1), 2) AS type FROM (SELECT feed, unnest(arg_max(sig, file_no)) AS x FROM files GROUP BY feed)
+), cells1 AS (
+  SELECT c.feed, c.file_no, c.rec_id, c.i, l.name, c.v, f.type FROM cells0 c JOIN last_names l ON l.feed = c.feed AND l.file_no = c.file_no AND l.first_name = c.name LEFT JOIN finals f ON f.feed = c.feed AND f.name = l.name
+  QUALIFY row_number() OVER (PARTITION BY c.rec_id, l.name ORDER BY c.i) = 1
+), judged AS (
+  SELECT *, type IS NOT NULL AND (v IS NULL OR CASE
+      WHEN type IN ('int8', 'int16', 'int32', 'int64') THEN regexp_full_match(v, '\\s*[+-]?\\d+\\s*') AND coalesce(TRY_CAST(v AS HUGEINT) BETWEEN -(2::HUGEINT ** CAST(substr(type, 4) AS INTEGER)) // 2 AND (2::HUGEINT ** CAST(substr(type, 4) AS INTEGER)) // 2 - 1, false)
+      WHEN type IN ('float', 'float32', 'double', 'float64') THEN TRY_CAST(v AS DOUBLE) IS NOT NULL WHEN type = 'boolean' THEN TRY_CAST(v AS BOOLEAN) IS NOT NULL ELSE true END) AS fits FROM cells1
+), made AS (
+  SELECT rec_id, '{{' || coalesce(string_agg(to_json(name) || ':' || coalesce(to_json(v), 'null'), ',' ORDER BY name) FILTER (fits), '') || '}}' AS "row",
+    '{{' || string_agg(to_json(name) || ':' || coalesce(to_json(v), 'null'), ',' ORDER BY i) FILTER (NOT fits) || '}}' AS rescued FROM judged GROUP BY rec_id
+)
+SELECT t.feed, t.file_no, t.rec_id, coalesce(m."row", CASE WHEN json_type(s.body) = 'OBJECT' THEN '{{}}' END) AS "row", m.rescued
+FROM feed_records t LEFT JOIN s ON s.rec_id = t.rec_id LEFT JOIN made m ON m.rec_id = t.rec_id
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p1_variants": P1_VARIANTS, "p1_subtypes": P1_VARIANTS, "p1_rejects": P1_REJECTS, "p1_order_lines": P1_ORDER_LINES, "p3_found": P3_FOUND, "p3_table": P3_TABLE, "p2_found": P2_FOUND, "p2_ranges": P2_RANGES, "p4_found": P4_FOUND, "p4_state": P4_STATE, "p5_found": P5_FOUND, "p5_changed": P5_CHANGED, "p5_rerun": P5_RERUN}
