@@ -28,6 +28,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -275,6 +276,7 @@ def tongue(text: str) -> str:
     return max(votes, key=lambda k: (votes[k], k)) if votes else ""
 
 
+@lru_cache(100_000)
 def _norm(token: str) -> str:
     token = token.replace("­", "")
     if len(token) < 3 and token.isalpha():
@@ -291,7 +293,7 @@ def _follow(text: str, at: int, end: int, by_start: dict[int, Opaque]) -> tuple[
     if (o := by_start.get(at)) and o.kind == "template":
         return "{{", "template"
     lead = ""
-    m = _SKIP.match(text, at, end)
+    m = None if text[at].isalnum() else _SKIP.match(text, at, end)
     if m:
         lead = "q" if any(c in "¿¡" for c in m.group()) else "d" if m.group().strip()[:1] in "—–-" else "o"
         link = m.group().rfind("[[")
@@ -482,11 +484,20 @@ def _shut(stack: list[tuple[str, int]], opening: str, q: int, inside: list[tuple
             return
 
 
+def _gap_end(text: str, at: int, end: int) -> int:
+    """Where the white space at ``at`` ends."""
+    if at >= end or text[at].isalnum():
+        return at
+    if text[at] == " " and at + 1 < end and text[at + 1].isalnum():
+        return at + 1
+    m = _GAP.match(text, at, end)
+    return m.end() if m else at
+
+
 def _absorb(text: str, at: int, end: int, notes: dict[int, int], by_start: dict[int, Opaque]) -> int:
     """The end of the references, note numbers and maintenance templates that follow an end mark."""
     while True:
-        m = _GAP.match(text, at, end)
-        p = m.end() if m else at
+        p = _gap_end(text, at, end)
         o = by_start.get(p)
         if o is not None and (o.kind == "ref" or (o.kind == "template" and _MAINT.match(text, p))):
             at = min(o.end, end)
@@ -497,16 +508,16 @@ def _absorb(text: str, at: int, end: int, notes: dict[int, int], by_start: dict[
 
 
 def _around(text: str, b: Block, c: Candidate, p: int, by_start: dict[int, Opaque]) -> Candidate:
-    m = _GAP.match(text, c.end, b.end)
-    c.next = m.end() if m else c.end
-    c.gap = bool(m)
+    c.next = _gap_end(text, c.end, b.end)
+    c.gap = c.next > c.end
     c.final = c.next >= b.end
     c.right, c.form = _follow(text, c.next, b.end, by_start)
     if c.right and _ASIDE.match(c.right):
         c.flags = "a"
     elif c.kind == "quote" and c.right[:1] in ("と", "っ"):
         c.flags = "t"
-    c.around = zlib.crc32((text[max(b.start, p - 24) : p] + "|" + text[c.next : c.next + 16]).encode("utf8", "surrogatepass"))
+    if c.kind in ("dot", "strong"):
+        c.around = zlib.crc32((text[max(b.start, p - 24) : p] + "|" + text[c.next : c.next + 16]).encode("utf8", "surrogatepass"))
     lo = max(b.start, p - 40)
     c.left = _LEFT.match(text, lo, p).group().lstrip("'’.-–,/")
     at = p - len(c.left)
@@ -935,20 +946,20 @@ class Model:
 
 _US = "\x1f"
 _I, _T = pa.list_(pa.int32()), pa.list_(pa.string())
-_ANALYSIS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("b_start", _I), ("b_end", _I), ("b_n", _I), ("b_tongue", _T), ("b_first", _T), ("b_head", _T), ("c_block", _I), ("c_end", _I), ("c_next", _I), ("c_lead", _I), ("c_place", _I), ("c_context", _T)])
-ANALYSIS = "doc_id bigint, h bigint, b_start array<int>, b_end array<int>, b_n array<int>, b_tongue array<string>, b_first array<string>, b_head array<string>, c_block array<int>, c_end array<int>, c_next array<int>, c_lead array<int>, c_place array<int>, c_context array<string>"
+_ANALYSIS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("b_start", _I), ("b_end", _I), ("b_n", _I), ("b_tongue", _T), ("b_first", _T), ("b_head", _T), ("c_block", _I), ("c_end", _I), ("c_next", _I), ("c_lead", _I), ("c_place", _I), ("c_left", _T), ("c_right", _T), ("c_context", _T)])
+ANALYSIS = "doc_id bigint, h bigint, b_start array<int>, b_end array<int>, b_n array<int>, b_tongue array<string>, b_first array<string>, b_head array<string>, c_block array<int>, c_end array<int>, c_next array<int>, c_lead array<int>, c_place array<int>, c_left array<string>, c_right array<string>, c_context array<string>"
 #: Rows of one batch of results.
 _ROWS = 500
 
 
 def context(c: Candidate) -> str:
     """A candidate without its position, as text."""
-    return _US.join((c.kind, "2" if c.run > 1 else "1", "g" if c.gap else "n", "f" if c.final else "", c.form, c.flags, c.left, c.before, c.right, _norm(c.left), _norm(c.right)))
+    return _US.join((c.kind, "2" if c.run > 1 else "1", "g" if c.gap else "n", "f" if c.final else "", c.form, c.flags, c.left, c.before, c.right))
 
 
 def candidate(text: str, end: int = 0, next_: int = 0, lead: int = -1) -> Candidate:
     """The candidate of a :func:`context`."""
-    kind, run, gap, final, form, flags, left, before, right, _, _ = text.split(_US)
+    kind, run, gap, final, form, flags, left, before, right = text.split(_US)
     return Candidate(end, next_, kind, left, before, right, form, gap == "g", int(run), lead, flags, final == "f")
 
 
@@ -983,7 +994,9 @@ def analysis(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 if len(kept) >= MOST_KNOWN:
                     kept.clear()
                 cs = b.candidates
-                found = kept[id(b)] = b, [c.end for c in cs], [c.next for c in cs], [c.lead for c in cs], [_place(c.around) for c in cs], [context(c).replace("\x00", "") for c in cs]
+                lefts = [_norm(c.left) if c.left and c.kind == "dot" and c.run == 1 else None for c in cs]
+                rights = [_norm(c.right) if c.right and not c.final and c.kind in ("dot", "strong") else None for c in cs]
+                found = kept[id(b)] = b, [c.end for c in cs], [c.next for c in cs], [c.lead for c in cs], [-1 if c.final else _place(c.around) for c in cs], lefts, rights, [context(c) for c in cs]
             return found
 
         for batch in it:
@@ -991,10 +1004,10 @@ def analysis(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             for d, t, h in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if not t:
                     continue
-                r: list[list] = [d, h, [], [], [], [], [], [], [], [], [], [], [], []]
+                r: list[list] = [d, h, *([] for _ in range(14))]
                 found = passages(t)
                 for i, ((at, b), tongue_) in enumerate(zip(found, tongues(t, found), strict=True)):
-                    _, ends, nexts, leads, places, contexts = listed(b)
+                    _, ends, nexts, leads, places, lefts, rights, contexts = listed(b)
                     r[2].append(at)
                     r[3].append(b.end)
                     r[4].append(len(ends))
@@ -1006,7 +1019,9 @@ def analysis(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     r[10] += nexts
                     r[11] += leads
                     r[12] += places
-                    r[13] += contexts
+                    r[13] += lefts
+                    r[14] += rights
+                    r[15] += contexts
                 rows.append(r)
                 if len(rows) >= _ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), *_lists(rows, _ANALYSIS, 2)], schema=_ANALYSIS)
@@ -1023,16 +1038,13 @@ def corpus_counts(found: DataFrame) -> Counts:
     Only tokens with as many different surroundings as make a difference (:data:`LEAST_LEFT`,
     :data:`LEAST_RIGHT`) come to the driver; the totals are of all.
     """
-    one, none, bit = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("c.place"))
-    row = lambda key, *v: F.struct(F.concat(F.col("c.tongue"), F.lit("|"), key).alias("key"), *[x.alias(n) for x, n in zip(v, "abcdef", strict=True)])
-    zipped = F.arrays_zip(F.col("c_block").alias("block"), F.col("c_place").alias("place"), F.col("c_context").alias("context"))
-    cs = found.select("b_tongue", F.explode(zipped).alias("z")).select(
-        F.struct(F.element_at("b_tongue", F.col("z.block") + 1).alias("tongue"), F.col("z.place").alias("place"), F.split("z.context", _US).alias("p")).alias("c")
-    )
-    part = lambda i: F.col("c.p")[i]
-    final = part(3) == "f"
-    lefts = F.when((part(0) == "dot") & (part(1) == "1") & (part(6) != ""), row(part(9), one, F.when(final, one).otherwise(none), none, none, F.when(final, none).otherwise(bit), none))
-    rights = F.when(~final & (part(8) != "") & part(0).isin("dot", "strong"), row(part(10), none, none, one, none, none, bit))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    final = F.col("z.c_place") < 0
+    bit = F.when(final, none).otherwise(F.call_function("shiftleft", one, F.col("z.c_place")))
+    tongue_ = F.element_at("b_tongue", F.col("z.c_block") + 1)
+    row = lambda key, *v: F.when(F.col(key).isNotNull(), F.struct(F.concat(tongue_, F.lit("|"), F.col(key)).alias("key"), *[x.alias(n) for x, n in zip(v, "abcdef", strict=True)]))
+    cs = found.select("b_tongue", F.explode(F.arrays_zip("c_block", "c_place", "c_left", "c_right")).alias("z")).where("z.c_left is not null or z.c_right is not null")
+    lefts, rights = row("z.c_left", one, F.when(final, one).otherwise(none), none, none, bit, none), row("z.c_right", none, none, one, none, none, bit)
     marks = cs.select(F.explode(F.array_compact(F.array(lefts, rights))).alias("r")).select("r.*")
     starts = found.select(F.explode(F.arrays_zip("b_tongue", "b_first")).alias("z")).where("z.b_first is not null").select(
         F.concat(F.col("z.b_tongue"), F.lit("|"), F.col("z.b_first")).alias("key"), none.alias("a"), none.alias("b"), none.alias("c"), one.alias("d"), none.alias("e"), none.alias("f")
@@ -1099,35 +1111,42 @@ def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        by: dict[str, dict[str, tuple[bool, bool]]] = {}
-        held = 0
         for batch in it:
+            # Flat columns: every context of the batch is decided once, and no list becomes a list of objects.
+            flat = lambda n: batch.column(n).flatten()  # noqa: E731, B023
+            numbers = lambda n: flat(n).to_numpy(zero_copy_only=False).tolist()  # noqa: E731, B023
+            coded = flat("c_context").dictionary_encode()
+            which, contexts = coded.indices.to_numpy(zero_copy_only=False).tolist(), coded.dictionary.to_pylist()
+            b_start, b_end, b_n, b_tongue = numbers("b_start"), numbers("b_end"), numbers("b_n"), flat("b_tongue").to_pylist()
+            c_end, c_next, c_lead = numbers("c_end"), numbers("c_next"), numbers("c_lead")
+            decided: dict[str, list[tuple[bool, bool] | None]] = {}
             ids: list[int | None] = []
             starts: list[int] = []
             stops: list[int] = []
-            for d, b_start, b_end, b_n, b_tongue, c_end, c_next, c_lead, c_context in zip(*[batch.column(i).to_pylist() for i in range(len(columns))], strict=True):
-                k, before = 0, len(starts)
-                for at, end, n, tongue_ in zip(b_start, b_end, b_n, b_tongue, strict=True):
+            j = k = 0
+            for d, blocks_ in zip(batch.column("doc_id").to_pylist(), batch.column("b_start").value_lengths().to_pylist(), strict=True):
+                before = len(starts)
+                for j in range(j, j + blocks_):  # noqa: B020, PLW2901
+                    at, end, tongue_ = b_start[j], b_end[j], b_tongue[j]
                     start = 0
-                    decided = by.setdefault(tongue_, {})
-                    for i in range(k, k + n):
+                    known = decided.get(tongue_)
+                    if known is None:
+                        known = decided[tongue_] = [None] * len(contexts)
+                    for i in range(k, k + b_n[j]):
                         if c_end[i] > start and c_next[i] < end:
-                            x = c_context[i]
-                            yes = decided.get(x)
+                            x = which[i]
+                            yes = known[x]
                             if yes is None:
-                                if held >= MOST_KNOWN:
-                                    by = {tongue_: {}}
-                                    decided, held = by[tongue_], 0
-                                yes = decided[x] = m.decide(candidate(x), tongue_)
-                                held += 1
+                                yes = known[x] = m.decide(candidate(contexts[x]), tongue_)
                             if yes[c_lead[i] > start]:
                                 starts.append(at + start)
                                 stops.append(at + c_end[i])
                                 start = c_next[i]
-                    k += n
+                    k += b_n[j]
                     if end > start:
                         starts.append(at + start)
                         stops.append(at + end)
+                j += 1 if blocks_ else 0
                 ids += [d] * (len(starts) - before)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, stops)], schema=schema)
