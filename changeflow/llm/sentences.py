@@ -47,7 +47,9 @@ PRIOR = 4.0
 #: Decisions that a worker keeps for equal contexts.
 MOST_KNOWN = 200_000
 #: Characters of distinct blocks that a worker keeps with what it found in them.
-MOST_KEPT = 8_000_000
+MOST_KEPT = 3_000_000
+#: Blocks that a worker keeps as lists, ready to be written.
+MOST_LISTED = 20_000
 #: Different surroundings from which on a token's habits count as known.
 MANY = 8
 #: Different surroundings, left and right of a mark, from which on :func:`features` and :func:`label` tell a token from one never met.
@@ -991,7 +993,7 @@ def analysis(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             # Blocks live as long as this: an id is never another's.
             found = kept.get(id(b))
             if found is None:
-                if len(kept) >= MOST_KNOWN:
+                if len(kept) >= MOST_LISTED:
                     kept.clear()
                 cs = b.candidates
                 lefts = [_norm(c.left) if c.left and c.kind == "dot" and c.run == 1 else None for c in cs]
