@@ -19,7 +19,7 @@ ARRIVAL = ["kafka_ts", "kafka_partition", "kafka_offset", "topic"]
 
 PRODUCER = ["db", "table_name", "id_key"]
 #: Batches that the feed is swept in.
-BATCHES = 3
+BATCHES = 2
 
 
 def _swept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
