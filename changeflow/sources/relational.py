@@ -46,7 +46,8 @@ def with_image(df: DataFrame, prefix: str = "__cf_") -> DataFrame:
 
 def schema_fields(df: DataFrame, schema: str = "after_schema") -> list[dict]:
     """Every different field that the messages' schemas have; their number grows with columns, not with schemas or messages."""
-    each = df.select(F.explode(F.from_json(schema, "array<string>")).alias("f")).distinct().orderBy("f")
+    # Different schemas first, map-side: only those are taken apart.
+    each = df.select(schema).distinct().select(F.explode(F.from_json(schema, "array<string>")).alias("f")).distinct().orderBy("f")
     found = [json.loads(r.f) | {"_text": r.f} for r in each.collect()]
     return [f for f in found if f.get("field")]
 
